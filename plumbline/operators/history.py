@@ -19,9 +19,9 @@ HISTORY_COLUMNS = (
 )
 
 
-def mean_score(column: str) -> Column:
-    """Mean of a score column to two decimals."""
-    return half_up(F.sum(to_units(F.col(column), 2)), F.count(column) * 100, 2)
+def mean_score(column: str, digits: int = 2) -> Column:
+    """Mean of a score column, two decimals unless more are asked for."""
+    return half_up(F.sum(to_units(F.col(column), 2)), F.count(column) * 100, digits)
 
 
 def history_rows(scored: DataFrame, scan_id: Column, scan_date: Column, recorded_at: Column,
@@ -50,11 +50,12 @@ def latest_per_table(history: DataFrame) -> DataFrame:
     return newest.select("row.*")
 
 
-def trend(history: DataFrame) -> DataFrame:
+def trend(history: DataFrame, digits: int = 2) -> DataFrame:
+    """Mean score, issues and rows at risk per date."""
     return (
         history.groupBy("scan_date")
         .agg(
-            mean_score("health_score").alias("score"),
+            mean_score("health_score", digits).alias("score"),
             F.sum("total_issues").alias("issues"),
             F.sum("rows_at_risk").alias("rows_at_risk"),
         )
@@ -79,33 +80,50 @@ def mean_dimensions(history: DataFrame) -> DataFrame:
     ])))
 
 
+# Differences of means are taken on more decimals than are shown.
+FINE = 6
+
+
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b).cast("long"))
+
+
+def _difference(a: str, b: str) -> Column:
+    """a - b of two fine means, as an exact count of their last place."""
+    return to_units(F.col(a), FINE) - to_units(F.col(b), FINE)
+
+
+def _rounded(units: Column) -> Column:
+    """Fine units to two decimals, half up away from zero."""
+    return F.signum(units) * _div(F.abs(units) + 5 * 10 ** (FINE - 3), 10 ** (FINE - 2)) / 100.0
+
+
 def _text_tenths(units: Column) -> Column:
-    """Hundredths as text with one decimal."""
-    tenths = F.call_function("div", F.abs(units) + 5, F.lit(10).cast("long"))
-    return F.concat(F.call_function("div", tenths, F.lit(10).cast("long")), F.lit("."), tenths % 10)
+    """Fine units as text with one decimal, without sign."""
+    tenths = _div(F.abs(units) + 5 * 10 ** (FINE - 2), 10 ** (FINE - 1))
+    return F.concat(_div(tenths, 10), F.lit("."), tenths % 10)
 
 
 def trust_delta(history: DataFrame) -> DataFrame:
     """First and last point of the trend."""
-    points = trend(history).agg(
+    points = trend(history, FINE).agg(
         F.min("scan_date").alias("first_date"), F.max("scan_date").alias("last_date"),
         F.min_by("score", "scan_date").alias("first_score"), F.max_by("score", "scan_date").alias("last_score"),
         F.max_by("issues", "scan_date").alias("issues"), F.max_by("rows_at_risk", "scan_date").alias("rows_at_risk"),
     )
-    delta = (to_units(F.col("last_score"), 2) - to_units(F.col("first_score"), 2)) / 100.0
-    return points.withColumn("delta", delta)
+    return points.withColumn("delta", _rounded(_difference("last_score", "first_score")))
 
 
 def trust_change(history: DataFrame) -> DataFrame:
     """Last date against the one before; empty with fewer than two dates."""
-    last_two = trend(history).orderBy(F.desc("scan_date")).limit(2)
+    last_two = trend(history, FINE).orderBy(F.desc("scan_date")).limit(2)
     pair = last_two.agg(
         F.count(F.lit(1)).alias("n"),
         F.max("scan_date").alias("scan_date"),
         F.max_by("score", "scan_date").alias("score"), F.min_by("score", "scan_date").alias("previous_score"),
         F.max_by("issues", "scan_date").alias("issues"), F.min_by("issues", "scan_date").alias("previous_issues"),
     ).where("n = 2").drop("n")
-    units = to_units(F.col("score"), 2) - to_units(F.col("previous_score"), 2)
+    units = _difference("score", "previous_score")
     message = (
         F.when(units > 0, F.concat(
             F.lit("Trust improved +"), _text_tenths(units), F.lit(" pts. Issues: "),
@@ -114,7 +132,7 @@ def trust_change(history: DataFrame) -> DataFrame:
             F.lit("Trust dropped -"), _text_tenths(units), F.lit(" pts. Investigate recent ingestion.")))
         .otherwise("Stable since last scan.")
     )
-    return pair.withColumns({"change": units / 100.0, "message": message})
+    return pair.withColumns({"change": _rounded(units), "message": message})
 
 
 def changes_over_time(scored: DataFrame) -> DataFrame:

@@ -66,15 +66,19 @@ def count_orphans(df, index: int, fk: ForeignKey, parent: DataFrame, by=(), phas
     )
 
 
-def count_before_parent(df, index: int, link: ParentDate, parent: DataFrame, by=(), phase: str = CURRENT) -> DataFrame:
-    """Rows dated before their parent row (the latest date if the parent key repeats)."""
-    dated = key_counts(df, [link.foreign_key, link.column], by).withColumnRenamed(link.foreign_key, "ref")
-    limits = (
+def parent_dates(parent: DataFrame, link: ParentDate, name: str) -> DataFrame:
+    """The parent's date per key (the latest if the key repeats)."""
+    return (
         parent.where(col(link.parent_key).isNotNull())
-        .groupBy(col(link.parent_key).alias("ref"))
+        .groupBy(col(link.parent_key).alias(name))
         .agg(F.max(col(link.parent_column)).alias("parent_date"))
     )
-    joined = dated.join(limits, "ref", "left")
+
+
+def count_before_parent(df, index: int, link: ParentDate, parent: DataFrame, by=(), phase: str = CURRENT) -> DataFrame:
+    """Rows dated before their parent row; equal dates of one reference are compared once."""
+    dated = key_counts(df, [link.foreign_key, link.column], by)
+    joined = dated.join(parent_dates(parent, link, link.foreign_key), link.foreign_key, "left")
     early = col(link.column) < F.col("parent_date")
     return _single_counter(
         joined, by, index, phase, affected=F.when(early, F.col("n_rows")), total=F.col("n_rows")

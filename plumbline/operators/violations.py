@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from plumbline.binding import BoundRule, ForeignKey, col
-from plumbline.operators.keyed import key_counts, parent_keys
-
-SALTS = 32
+from plumbline.binding import BoundRule, ForeignKey, ParentDate, col
+from plumbline.operators.keyed import key_counts, parent_dates, parent_keys
+from plumbline.operators.salting import keep_matching
 
 
 def failing_rows(df: DataFrame, bound: BoundRule) -> DataFrame:
@@ -18,23 +17,18 @@ def failing_rows(df: DataFrame, bound: BoundRule) -> DataFrame:
 
 
 def orphan_keys(df: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
-    """Distinct references without a parent, as `ref`."""
-    references = key_counts(df.where(col(fk.column).isNotNull()), [fk.column])
-    named = references.select(col(fk.column).alias("ref"))
-    return named.join(parent_keys(parent, fk.parent_key, "ref"), "ref", "left_anti")
+    """Distinct references without a parent."""
+    references = key_counts(df.where(col(fk.column).isNotNull()), [fk.column]).select(col(fk.column))
+    return references.join(parent_keys(parent, fk.parent_key, fk.column), fk.column, "left_anti")
 
 
 def orphan_rows(df: DataFrame, fk: ForeignKey, parent: DataFrame, spread_by: Sequence[str]) -> DataFrame:
-    """Rows whose reference names no parent.
-
-    References are checked once each; the rows then meet only the orphan references. That join is
-    salted by other columns of the row, since one missing parent may be named by very many rows.
-    """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted_keys = orphan_keys(df, fk, parent).withColumn("salt", salts)
-    rows = (
-        df.where(col(fk.column).isNotNull())
-        .withColumn("ref", col(fk.column))
-        .withColumn("salt", F.pmod(F.xxhash64(*[col(c) for c in spread_by]), F.lit(SALTS)).cast("int"))
-    )
-    return rows.join(salted_keys, ["ref", "salt"], "left_semi").drop("ref", "salt")
+    """Rows whose reference names no parent; each distinct reference is looked up once."""
+    return keep_matching(df, orphan_keys(df, fk, parent), spread_by)
+
+
+def early_pairs(df: DataFrame, link: ParentDate, parent: DataFrame) -> DataFrame:
+    """Distinct (reference, date) pairs with a date before the parent's."""
+    pairs = key_counts(df, [link.foreign_key, link.column]).drop("n_rows")
+    limits = parent_dates(parent, link, link.foreign_key)
+    return pairs.join(limits, link.foreign_key).where(col(link.column) < col("parent_date")).drop("parent_date")

@@ -38,13 +38,10 @@ def guardian_context(issues: DataFrame, history: DataFrame, top: int = 5, newest
             line.alias("text"), "\n",
         ).alias("scores"))
     )
-    # Three one-row relations side by side.
-    one = F.lit(1)
-    joined = (
-        counts.withColumn("k", one).join(firsts.withColumn("k", one), "k").join(scores.withColumn("k", one), "k")
-    )
+    parts = counts.unionByName(firsts, allowMissingColumns=True).unionByName(scores, allowMissingColumns=True)
+    whole = parts.agg(*[F.max(c).alias(c) for c in ("issues", "critical", "top_issues", "scores")])
     context = F.concat(
         F.lit("Scan found "), "issues", F.lit(" issues ("), "critical", F.lit(" critical). Top: "), "top_issues",
         F.lit("\nScores:\n"), "scores",
     )
-    return joined.select("issues", "critical", "top_issues", "scores", context.alias("context"))
+    return whole.select("issues", "critical", "top_issues", "scores", context.alias("context"))

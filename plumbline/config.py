@@ -48,6 +48,7 @@ BINDINGS = {
         foreign_keys=(
             ForeignKey("l_orderkey", "orders", "o_orderkey", "orders"),
             ForeignKey("l_partkey", "part", "p_partkey", "parts"),
+            ForeignKey("l_suppkey", "supplier", "s_suppkey", "suppliers"),
         ),
         parent_dates=(ParentDate("l_shipdate", "l_orderkey", "orders", "o_orderkey", "o_orderdate"),),
     ),
@@ -68,9 +69,12 @@ BASE_TABLES = (
 )
 
 
+WORKING_TABLES = ("customer", "events", "lineitem", "orders", "part", "supplier")
+
+
 def open_workspace(spark: SparkSession, directory: str) -> Workspace:
     """The driver's tables with their dirty views. Reading is lazy; unused tables cost nothing."""
-    tables = {name: load(spark, directory, name) for name in ("customer", "orders", "part", "lineitem", "events")}
+    tables = {name: load(spark, directory, name) for name in WORKING_TABLES}
     tables["customer_dirty"] = defects.dirty_customers(tables["customer"])
     tables["orders_dirty"] = defects.dirty_orders(tables["orders"])
     tables["part_dirty"] = defects.dirty_parts(tables["part"])

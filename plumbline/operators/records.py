@@ -10,7 +10,6 @@ from pyspark.sql.types import StructType
 
 from plumbline.functions.predicates import moment
 from plumbline.operators.history import HISTORY_COLUMNS, SCORE_COLUMNS, history_rows
-from plumbline.operators.issues import fix_queue
 
 SCAN_TYPE = "DEEP"
 EXECUTED, SUCCESS = "EXECUTED", "SUCCESS"
@@ -62,16 +61,15 @@ def issue_rows(issues: DataFrame, at: Column) -> DataFrame:
 
 
 def remediation_rows(
-    issues: DataFrame, before: DataFrame, after: DataFrame, at: dt.date | dt.datetime, approved_by: str
+    approved: DataFrame, before: DataFrame, after: DataFrame, at: dt.date | dt.datetime, approved_by: str
 ) -> DataFrame:
-    """The log of applied low-risk fixes, with the table's score before and after."""
+    """The log of applied fixes: the approved issues with their table's score before and after."""
     scores = before.select("table_name", F.col("health_score").alias("before_score")).join(
         after.select("table_name", F.col("health_score").alias("after_score")), "table_name"
     )
     now = moment(at).cast("timestamp_ntz")
     return (
-        fix_queue(issues).where("is_safe")
-        .withColumn("scan_id", scan_id(now))
+        approved.withColumn("scan_id", scan_id(now))
         .withColumn("issue_id", issue_id())
         .join(F.broadcast(scores), "table_name")
         .select(

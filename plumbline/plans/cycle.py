@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline import schemas
 from plumbline.functions.predicates import moment
 from plumbline.operators import records
+from plumbline.operators.fixes import apply_fixes, choose
+from plumbline.operators.issues import fix_queue
 from plumbline.plans.scan import AFTER, BEFORE, Scan, Workspace, fixed_tables, scan, scan_before_after
 from plumbline.sources.store import Store
 
 DATABASE, SCHEMA = "warehouse", "quality"
 
 
+def safe_issues(issues: DataFrame) -> DataFrame:
+    return fix_queue(issues).where("is_safe")
+
+
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """Scores and issues of each table before and after."""
     return before.select(
@@ -48,9 +54,24 @@ def remediation_log(ws: Workspace, names: Sequence[str], approved_by: str) -> Da
     """The log rows that applying the safe fixes writes."""
     both = scan_before_after(ws, names)
     return records.remediation_rows(
-        both.issues.where(F.col("phase") == BEFORE), phase_scores(both, BEFORE), phase_scores(both, AFTER),
-        ws.as_of, approved_by,
+        safe_issues(both.issues.where(F.col("phase") == BEFORE)),
+        phase_scores(both, BEFORE), phase_scores(both, AFTER), ws.as_of, approved_by,
+    )
+
+
+def approve(
+    ws: Workspace, name: str, rule_name: str, columns: Sequence[str], approved_by: str
+) -> tuple[DataFrame, DataFrame]:
+    """One fix, whatever its risk: the fixed table and the log rows."""
+    chosen = choose(ws.bound([name]), rule_name, columns)
+    both = scan_before_after(ws, [name], lambda bound: choose(bound, rule_name, columns))
+    approved = both.issues.where(
+        (F.col("phase") == BEFORE) & (F.col("rule_name") == rule_name)
+        & F.col("column_name").isin([b.column for b in chosen])
     )
+    log = records.remediation_rows(
+        approved, phase_scores(both, BEFORE), phase_scores(both, AFTER), ws.as_of, approved_by)
+    return apply_fixes(ws.tables[name], chosen), log
 
 
 def save_scan(done: Scan, store: Store, at: dt.datetime, label: str) -> Scan:
@@ -79,6 +100,6 @@ def run_cycle(ws: Workspace, names: Sequence[str], store: Store, approved_by: st
     later = at + dt.timedelta(seconds=1)
     after = save_scan(scan(fixed, names), store, later, f"{label}_after")
     store.append("remediation_log", records.conform(
-        records.remediation_rows(before.issues, before.scores, after.scores, at, approved_by),
+        records.remediation_rows(safe_issues(before.issues), before.scores, after.scores, at, approved_by),
         schemas.REMEDIATION_LOG))
     return compare(before.scores, after.scores)

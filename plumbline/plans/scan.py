@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -107,28 +107,31 @@ def scan(
     return Scan(ws, rules, _union(branches), by)
 
 
-def fixed_tables(ws: Workspace, names: Sequence[str]) -> dict[str, DataFrame]:
-    """The tables with all their low-risk fixes applied."""
-    return {name: apply_fixes(ws.tables[name], safe_rules(ws.bound([name]))) for name in names}
+Approval = Callable[[Iterable[BoundRule]], list[BoundRule]]
 
 
-def scan_before_after(ws: Workspace, names: Sequence[str]) -> Scan:
-    """Scan the tables as they are and as the low-risk fixes would leave them.
+def fixed_tables(ws: Workspace, names: Sequence[str], approved: Approval = safe_rules) -> dict[str, DataFrame]:
+    """The tables with the approved fixes applied, by default all of low risk."""
+    return {name: apply_fixes(ws.tables[name], approved(ws.bound([name]))) for name in names}
+
+
+def scan_before_after(ws: Workspace, names: Sequence[str], approved: Approval = safe_rules) -> Scan:
+    """Scan the tables as they are and as the approved fixes would leave them.
 
     The row rules of both versions are counted in the same pass over the table. The keyed rules
     read a few columns each; where the fixes leave those alone both phases are the same plan and
     Spark runs it once.
     """
-    fixed = fixed_tables(ws, names)
+    fixed = fixed_tables(ws, names, approved)
     after = Workspace(ws.spark, {**ws.tables, **fixed}, ws.bindings, ws.as_of)
     rules = ws.bound(names)
     branches = []
     for name in sorted(names):
         own = [(i, b) for i, b in enumerate(rules) if b.table == name]
         df = ws.tables[name]
-        safe = safe_rules(b for _, b in own)
-        touched = sorted({c for b in safe for c in b.inputs})
-        both = apply_fixes(df.withColumns({ORIGINAL + c: col(c) for c in touched}), safe)
+        fixes = approved(b for _, b in own)
+        touched = sorted({c for b in fixes for c in b.inputs})
+        both = apply_fixes(df.withColumns({ORIGINAL + c: col(c) for c in touched}), fixes)
         phases = {BEFORE: lambda c, t=frozenset(touched): col(ORIGINAL + c if c in t else c), AFTER: col}
         row_rules = [(i, b) for i, b in own if b.predicate is not None]
         if row_rules:

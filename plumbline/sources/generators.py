@@ -116,6 +116,27 @@ def customers(ids: DataFrame, as_of: dt.date | dt.datetime) -> DataFrame:
     }), CUSTOMERS)
 
 
+def dimension_usage(ids: DataFrame) -> DataFrame:
+    """The customer dimension lists with the number of ids that fall on each entry."""
+    spark = ids.sparkSession
+    lists = (
+        ("first_name", FIRST_NAMES, _cycle(20)), ("last_name", LAST_NAMES, _cycle(15, step=20)),
+        ("domain", DOMAINS, _cycle(5)), ("city", tuple(city for city, _ in CITIES), _cycle(8)),
+        ("state", tuple(state for _, state in CITIES), _cycle(8)), ("street", STREETS, _cycle(5)),
+        ("segment", SEGMENTS, _cycle(4)),
+    )
+    # Every id is read once and folded to one row per entry and list.
+    positions = ids.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("dimension"), index.alias("idx")) for name, _, index in lists
+    ])))
+    used = positions.groupBy("dimension", "idx").agg(F.count(F.lit(1)).alias("members"))
+    entries = literal_rows(spark, "dimension string, idx bigint, value string", [
+        (name, i, value) for name, values, _ in lists for i, value in enumerate(values, start=1)
+    ])
+    return entries.join(used, ["dimension", "idx"], "left").withColumn(
+        "members", F.coalesce("members", F.lit(0).cast("long")))
+
+
 def products(ids: DataFrame, as_of: dt.date | dt.datetime) -> DataFrame:
     spark, k = ids.sparkSession, F.col("id")
     joined = _join_dimensions(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.binding import Binding, ForeignKey, ParentDate
 from plumbline.plans.scan import Workspace
@@ -69,14 +70,37 @@ BASE_TABLES = (
 )
 
 
-WORKING_TABLES = ("customer", "events", "lineitem", "orders", "part", "supplier")
+DIRTY = {
+    "customer_dirty": ("customer", defects.dirty_customers),
+    "orders_dirty": ("orders", defects.dirty_orders),
+    "part_dirty": ("part", defects.dirty_parts),
+    "events_dirty": ("events", defects.dirty_events),
+}
+
+
+class Tables(Mapping):
+    """The driver's tables and their dirty views, opened when first asked for."""
+
+    def __init__(self, spark: SparkSession, directory: str):
+        self._spark, self._directory, self._opened = spark, directory, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._opened:
+            if name in DIRTY:
+                source, spoil = DIRTY[name]
+                self._opened[name] = spoil(self[source])
+            elif name in BASE_TABLES:
+                self._opened[name] = load(self._spark, self._directory, name)
+            else:
+                raise KeyError(name)
+        return self._opened[name]
+
+    def __iter__(self):
+        return iter((*BASE_TABLES, *DIRTY))
+
+    def __len__(self) -> int:
+        return len(BASE_TABLES) + len(DIRTY)
 
 
 def open_workspace(spark: SparkSession, directory: str) -> Workspace:
-    """The driver's tables with their dirty views. Reading is lazy; unused tables cost nothing."""
-    tables = {name: load(spark, directory, name) for name in WORKING_TABLES}
-    tables["customer_dirty"] = defects.dirty_customers(tables["customer"])
-    tables["orders_dirty"] = defects.dirty_orders(tables["orders"])
-    tables["part_dirty"] = defects.dirty_parts(tables["part"])
-    tables["events_dirty"] = defects.dirty_events(tables["events"])
-    return Workspace(spark, tables, BINDINGS, AS_OF)
+    return Workspace(spark, Tables(spark, directory), BINDINGS, AS_OF)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.binding import ForeignKey, ParentDate, col
 from plumbline.functions.predicates import moment
 from plumbline.operators.quantiles import exact_quantiles
-from plumbline.operators.rowscan import CURRENT, counter
+from plumbline.operators.rowscan import CURRENT, counter_rows
+from plumbline.operators.salting import settled
 
 
 def _all_present(columns: Sequence[str]) -> Column:
@@ -28,7 +29,7 @@ def _single_counter(df: DataFrame, by, index, phase, affected, total, groups=Non
         F.sum(affected).alias("a"), F.sum(total).alias("t"),
         F.sum(groups if groups is not None else F.lit(0)).alias("g"),
     )
-    return wide.select(*by, F.inline(F.array(counter(index, phase, F.col("a"), F.col("t"), F.col("g")))))
+    return counter_rows(wide, by, [(index, phase, "a", "g", "t")])
 
 
 def key_counts(df: DataFrame, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -85,17 +86,21 @@ def count_before_parent(df, index: int, link: ParentDate, parent: DataFrame, by=
     )
 
 
+def _row_hashes(df: DataFrame) -> DataFrame:
+    return df.withColumn("row_hash", F.xxhash64(*[col(c) for c in df.columns]))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """The repeated rows, once each, with their number of copies (`n_rows`); nulls equal nulls.
 
-    Eight-byte hashes are shuffled first. Whole rows move only where a hash repeats, and equality
-    is then decided on the columns themselves.
+    Eight-byte hashes are shuffled first. If few of them repeat, only the rows with those hashes
+    move, and equality is decided on the columns themselves; if many do, all rows are grouped,
+    combining copies before the shuffle.
     """
-    columns = df.columns
-    hashed = df.withColumn("row_hash", F.xxhash64(*[col(c) for c in columns]))
-    repeated = hashed.groupBy("row_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_hash")
-    candidates = hashed.join(repeated, "row_hash", "left_semi")
-    return key_counts(candidates, ["row_hash", *columns]).where("n_rows > 1").drop("row_hash")
+    hashed = _row_hashes(df)
+    repeated, few = settled(key_counts(hashed, ["row_hash"]).where("n_rows > 1").select("row_hash"))
+    candidates = hashed.join(F.broadcast(repeated), "row_hash", "left_semi") if few else hashed
+    return key_counts(candidates, df.columns).where("n_rows > 1")
 
 
 def count_duplicate_rows(df, index: int, phase: str = CURRENT) -> DataFrame:
@@ -137,9 +142,18 @@ def outlier_fences(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def count_outliers(df, index: int, column: str, phase: str = CURRENT) -> DataFrame:
-    fences = outlier_fences(df, [column])  # one row
-    values = df.select(F.lit(column).alias("column_name"), col(column).cast("double").alias("v"))
-    outside = (F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))
-    judged = values.join(F.broadcast(fences), "column_name", "left")
-    return _single_counter(judged, (), index, phase, affected=F.when(outside, 1), total=F.lit(1))
+def count_outliers(df, indices: Sequence[int], columns: Sequence[str], phase: str = CURRENT) -> DataFrame:
+    """Values outside the fences of their column; one counter per column, all in one pass."""
+    values = ", ".join(
+        f"struct({index} AS rule_index, '{c}' AS column_name, CAST(`{c}` AS DOUBLE) AS v)"
+        for index, c in zip(indices, columns)
+    )
+    judged = df.selectExpr(f"inline(array({values}))").join(
+        F.broadcast(outlier_fences(df, columns)), "column_name", "left")  # a row per column
+    return judged.groupBy("rule_index").agg(
+        F.count_if((F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))).alias("affected_rows"),
+        F.count(F.lit(1)).alias("total_rows"),
+    ).select(
+        F.lit(phase).alias("phase"), "rule_index", "affected_rows", F.lit(0).cast("long").alias("duplicate_groups"),
+        "total_rows",
+    )

@@ -1,7 +1,12 @@
-"""Exact quantiles of whole columns without gathering a column in one place.
+"""Exact quantiles of whole columns without gathering a column, or its sketches, in one place.
 
-A quantile sketch brackets each quantile first. The second pass folds everything below a bracket
-into one count and keeps value counts only inside it, so the sorted part is a sliver of the column.
+1. Groups of tasks each reduce their part of a column to evenly spaced quantile points. The merged
+   points place every quantile within a bracket of a few thousandths of the ranks.
+2. A second pass folds everything below a bracket into one count, drops what is above it and keeps
+   value counts inside it.
+3. Those are cut into slices; only the slice that holds the wanted rank is sorted.
+
+The points decide how much is sorted, never the result: the ranks are counted on all values.
 """
 
 from __future__ import annotations
@@ -11,72 +16,91 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.binding import col
+from plumbline.sources.values import literal_rows
+
+GROUPS = 512  # parts of the table that are reduced separately
+POINTS = 1000  # quantile points per part
+ACCURACY = 10_000  # of a part's sketch
+SLICES = 1024  # of a bracket
 
-ACCURACY = 100_000
-# Up to this many values the bracket is the whole column: a sketch would save nothing.
-SMALL_COLUMN = 1_000_000
 
+def _tall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(c, v): the non-null values of all columns, with the position of their column."""
+    values = ", ".join(f"struct({i} AS c, CAST(`{name}` AS DOUBLE) AS v)" for i, name in enumerate(columns))
+    return df.selectExpr(f"inline(array({values}))").where("v IS NOT NULL")
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    accuracy: int = ACCURACY,
-    small: int = SMALL_COLUMN,
-) -> DataFrame:
-    """(column_name, prob, value): linearly interpolated quantiles of the non-null values, as doubles.
 
-    The sketch is off by at most 1/accuracy of the ranks; brackets reach twice as far, and a
-    bracket that still missed its ranks is an error, not a wrong answer.
-    """
-    values = df.select(*[col(c).cast("double").alias(c) for c in columns])
-    margin = 2.0 / accuracy
-    probes = [q for prob in probs for q in (max(0.0, prob - margin), min(1.0, prob + margin))]
-    sketch = values.agg(*[
-        F.struct(
-            F.count(col(c)).alias("n"), F.min(col(c)).alias("lowest"), F.max(col(c)).alias("highest"),
-            F.percentile_approx(col(c), probes, accuracy).alias("cuts"),
-        ).alias(c)
-        for c in columns
+def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(c, prob, position, low, high): one row per column and probability."""
+    evenly = ", ".join(f"{i / POINTS!r}D" for i in range(POINTS + 1))
+    parts = df.groupBy((F.spark_partition_id() % GROUPS).alias("part")).agg(*[
+        F.expr(
+            f"struct(count(`{name}`) AS n, percentile_approx(CAST(`{name}` AS DOUBLE), array({evenly}), {ACCURACY}) AS xs)"
+        ).alias(f"q{i}")
+        for i, name in enumerate(columns)
     ])
-    # One row per column and probability: small enough to broadcast by construction.
-    brackets = sketch.select(F.inline(F.array(*[
-        F.struct(
-            F.lit(c).alias("column_name"), F.lit(prob).alias("prob"), F.col(f"`{c}`.n").alias("n"),
-            F.when(F.col(f"`{c}`.n") <= small, F.col(f"`{c}`.lowest"))
-            .otherwise(F.col(f"`{c}`.cuts")[2 * i]).alias("low"),
-            F.when(F.col(f"`{c}`.n") <= small, F.col(f"`{c}`.highest"))
-            .otherwise(F.col(f"`{c}`.cuts")[2 * i + 1]).alias("high"),
-        )
-        for c in columns for i, prob in enumerate(probs)
-    ])))
-    tall = values.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), col(c).alias("v")) for c in columns
-    ]))).where("v IS NOT NULL")
-    counted = (
-        tall.join(F.broadcast(brackets), "column_name")
-        .where("v <= high")
-        .groupBy("column_name", "prob", "n", F.expr("CASE WHEN v >= low THEN v END").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n_v"))
+    sketched = ", ".join(f"struct({i} AS c, q{i}.n AS n, q{i}.xs AS xs)" for i in range(len(columns)))
+    points = parts.selectExpr(f"inline(array({sketched}))").selectExpr("c", "n", "explode(xs) AS x")
+    # At most GROUPS * (POINTS + 1) points per column, whatever the table.
+    by_value = Window.partitionBy("c").orderBy("x")
+    merged = (
+        points.groupBy("c", "x").agg(F.sum("n").alias("n"))
+        .withColumn("upto", F.sum("n").over(by_value) / POINTS)
+        .withColumn("total", F.sum("n").over(Window.partitionBy("c")) / (POINTS + 1))
     )
-    upward = Window.partitionBy("column_name", "prob").orderBy(F.col("v").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("n_v").over(upward)).withColumn(
-        "position", (F.col("n") - 1) * F.col("prob")
+    slack = F.col("total") * (2.0 / POINTS + 2.0 / ACCURACY) + 2
+    limits = []
+    for i, prob in enumerate(probs):
+        rank = F.col("total") * prob
+        limits.append(F.max(F.when(F.col("upto") <= rank - slack, F.col("x"))).alias(f"low{i}"))
+        limits.append(F.min(F.when(F.col("upto") >= rank + slack, F.col("x"))).alias(f"high{i}"))
+    wide = merged.groupBy("c").agg(
+        F.max("total").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), *limits)
+    rows = ", ".join(
+        f"struct({prob!r}D AS prob, (n - 1) * {prob!r}D AS position, coalesce(low{i}, least) AS low, "
+        f"coalesce(high{i}, most) AS high)"
+        for i, prob in enumerate(probs)
+    )
+    return wide.selectExpr("c", f"inline(array({rows}))")
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(column_name, prob, value): linearly interpolated quantiles of the non-null values, as doubles."""
+    brackets = _brackets(df, columns, probs)
+    inside = (
+        _tall(df, columns).join(F.broadcast(brackets), "c").where("v <= high")
+        .withColumn("v", F.expr("CASE WHEN v >= low THEN v END"))  # null: below the bracket
+        .groupBy("c", "prob", "position", "low", "high", "v").agg(F.count(F.lit(1)).alias("n_v"))
+        .withColumn("slice", F.expr(
+            f"CASE WHEN v IS NULL THEN -1 WHEN high = low THEN 0 "
+            f"ELSE CAST(least(floor((v - low) / (high - low) * {SLICES}), {SLICES - 1}) AS INT) END"))
+    )
+    upward = Window.partitionBy("c", "prob").orderBy("slice")
+    slices = (
+        inside.groupBy("c", "prob", "position", "slice").agg(F.sum("n_v").alias("n_slice"))
+        .withColumn("before", F.sum("n_slice").over(upward) - F.col("n_slice"))
     )
     below, above = F.floor("position"), F.ceil("position")
 
-    def value_at(rank):
-        return F.max(F.when((rank >= F.col("upto") - F.col("n_v")) & (rank < F.col("upto")), F.col("v")))
+    def holds(rank, start, size):
+        return (rank >= start) & (rank < start + size)
 
-    found = ranked.groupBy("column_name", "prob").agg(
-        value_at(below).alias("lower"), value_at(above).alias("upper"), F.max("position").alias("position")
+    # The one or two slices per quantile that hold its ranks.
+    wanted = slices.where(
+        holds(below, F.col("before"), F.col("n_slice")) | holds(above, F.col("before"), F.col("n_slice"))
+    ).select("c", "prob", "slice", "before")
+    in_slice = Window.partitionBy("c", "prob", "slice").orderBy("v")
+    ranked = inside.join(F.broadcast(wanted), ["c", "prob", "slice"]).withColumn(
+        "start", F.col("before") + F.sum("n_v").over(in_slice) - F.col("n_v"))
+    found = ranked.groupBy("c", "prob").agg(
+        F.max(F.when(holds(below, F.col("start"), F.col("n_v")), F.col("v"))).alias("lower"),
+        F.max(F.when(holds(above, F.col("start"), F.col("n_v")), F.col("v"))).alias("upper"),
+        F.max("position").alias("position"),
     )
     missed = F.col("lower").isNull() | F.col("upper").isNull()
     fraction = F.col("position") - F.floor("position")
-    return found.select(
-        "column_name",
-        "prob",
-        F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-        .otherwise(F.col("lower") + (F.col("upper") - F.col("lower")) * fraction)
-        .alias("value"),
-    )
+    value = F.when(
+        missed, F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")
+    ).otherwise(F.col("lower") + (F.col("upper") - F.col("lower")) * fraction)
+    names = literal_rows(df.sparkSession, "c int, column_name string", list(enumerate(columns)))
+    return found.join(F.broadcast(names), "c").select("column_name", "prob", value.alias("value"))

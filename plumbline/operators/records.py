@@ -61,12 +61,11 @@ def issue_rows(issues: DataFrame, at: Column) -> DataFrame:
 
 
 def remediation_rows(
-    approved: DataFrame, before: DataFrame, after: DataFrame, at: dt.date | dt.datetime, approved_by: str
+    approved: DataFrame, compared: DataFrame, at: dt.date | dt.datetime, approved_by: str
 ) -> DataFrame:
     """The log of applied fixes: the approved issues with their table's score before and after."""
-    scores = before.select("table_name", F.col("health_score").alias("before_score")).join(
-        after.select("table_name", F.col("health_score").alias("after_score")), "table_name"
-    )
+    scores = compared.select(
+        "table_name", F.col("score_before").alias("before_score"), F.col("score_after").alias("after_score"))
     now = moment(at).cast("timestamp_ntz")
     return (
         approved.withColumn("scan_id", scan_id(now))

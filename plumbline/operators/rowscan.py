@@ -18,15 +18,21 @@ CURRENT = "current"
 MAX_COUNTERS = 100
 
 
-def counter(rule_index: int, phase: str, affected: Column, total: Column, groups: Column | None = None) -> Column:
-    """One counter row, as a struct."""
-    return F.struct(
-        F.lit(phase).alias("phase"),
-        F.lit(rule_index).alias("rule_index"),
-        F.coalesce(affected, F.lit(0)).cast("long").alias("affected_rows"),
-        F.coalesce(groups if groups is not None else F.lit(0), F.lit(0)).cast("long").alias("duplicate_groups"),
-        F.coalesce(total, F.lit(0)).cast("long").alias("total_rows"),
+def counter_rows(wide: DataFrame, by: Sequence[str], counters: Sequence[tuple]) -> DataFrame:
+    """Turns one wide row of aggregates into counter rows.
+
+    Each counter is (rule index, phase, column of affected rows, of duplicate groups or None, of total rows).
+    """
+    rows = ", ".join(
+        f"struct('{phase}' AS phase, {index} AS rule_index, {_count(affected)} AS affected_rows, "
+        f"{_count(groups)} AS duplicate_groups, {_count(total)} AS total_rows)"
+        for index, phase, affected, groups, total in counters
     )
+    return wide.selectExpr(*[f"`{c}`" for c in by], f"inline(array({rows}))")
+
+
+def _count(column: str | None) -> str:
+    return f"CAST(coalesce({column}, 0) AS BIGINT)" if column else "0L"
 
 
 def _by_columns(rules: Sequence[tuple[int, BoundRule]], per_chunk: int) -> list[list[tuple[int, BoundRule]]]:
@@ -54,9 +60,9 @@ def count_row_rules(
             for phase, get in phases.items():
                 name = f"n_{index}_{phase}"
                 counts.append(F.count_if(bound.predicate(get)).alias(name))
-                rows.append(counter(index, phase, F.col(name), F.col("n_total")))
+                rows.append((index, phase, name, None, "n_total"))
         wide = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_total"), *counts)
-        branches.append(wide.select(*by, F.inline(F.array(*rows))))
+        branches.append(counter_rows(wide, by, rows))
     return branches
 
 

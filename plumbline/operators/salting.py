@@ -1,8 +1,10 @@
-"""Joins of rows with a set of distinct keys, where one key may be shared by very many rows.
+"""Finding the rows of a large table that match a set of distinct keys of unknown size.
 
-The key set is repeated once per salt and the rows of one key are spread over the salts by a hash
-of their other columns, so no task gets all of them. The hash depends on the row alone: a task
-that is run again sends every row to the same place.
+The keys are written to the shared folder first. Then their number is known: few are broadcast and
+the table is not shuffled; many are joined by a shuffle. One key may be shared by very many rows,
+so that join is salted: keys are repeated once per salt, and the rows of one key are spread over
+the salts by a hash of their other columns. The hash depends on the row alone, so a task that is
+run again sends every row to the same place.
 """
 
 from __future__ import annotations
@@ -12,11 +14,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.binding import col
+from plumbline.sources.store import settle
 
+BROADCAST_ROWS = 200_000
 SALTS = 32
 SALT = "salt__"
 
 
+def settled(keys: DataFrame) -> tuple[DataFrame, bool]:
+    """The written keys, and whether they are few enough to broadcast."""
+    written = settle(keys, "keys")
+    return written, written.count() <= BROADCAST_ROWS  # counted from file footers
+
+
 def _salted_keys(keys: DataFrame) -> DataFrame:
     return keys.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
@@ -25,15 +35,21 @@ def _salt(spread_by: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*[col(c) for c in spread_by]), F.lit(SALTS)).cast("int")
 
 
+def _join(df: DataFrame, keys: DataFrame, few: bool, spread_by: Sequence[str], how: str) -> DataFrame:
+    on = [c for c in keys.columns if c in df.columns]
+    if few:
+        return df.join(F.broadcast(keys), on, how)
+    return df.withColumn(SALT, _salt(spread_by)).join(_salted_keys(keys), [*on, SALT], how).drop(SALT)
+
+
 def keep_matching(df: DataFrame, keys: DataFrame, spread_by: Sequence[str]) -> DataFrame:
     """Rows whose values in the columns of `keys` are one of its (distinct) rows."""
-    on = keys.columns
-    return df.withColumn(SALT, _salt(spread_by)).join(_salted_keys(keys), [*on, SALT], "left_semi").drop(SALT)
+    written, few = settled(keys)
+    return _join(df, written, few, spread_by, "left_semi")
 
 
 def flag_matching(df: DataFrame, keys: DataFrame, spread_by: Sequence[str], flag: str) -> DataFrame:
     """All rows, with `flag` true where their values are one of the (distinct) rows of `keys`."""
-    on = keys.columns
-    flagged = _salted_keys(keys).withColumn(flag, F.lit(True))
-    joined = df.withColumn(SALT, _salt(spread_by)).join(flagged, [*on, SALT], "left").drop(SALT)
+    written, few = settled(keys)
+    joined = _join(df, written.withColumn(flag, F.lit(True)), few, spread_by, "left")
     return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))

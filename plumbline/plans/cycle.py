@@ -33,30 +33,28 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def phase_scores(both: Scan, phase: str) -> DataFrame:
-    return both.scores.where(F.col("phase") == phase).drop("phase")
-
-
-def before_after(ws: Workspace, names: Sequence[str]) -> DataFrame:
-    """What the safe fixes would change, without writing anything."""
-    scored = scan_before_after(ws, names).scores
+def _compared(both: Scan) -> DataFrame:
+    """The comparison of a scan that counted both phases."""
 
     def of(phase, column):
         return F.max(F.when(F.col("phase") == phase, F.col(column)))
 
-    return scored.groupBy("table_name").agg(
+    return both.scores.groupBy("table_name").agg(
         of(BEFORE, "health_score").alias("score_before"), of(AFTER, "health_score").alias("score_after"),
         of(BEFORE, "issues_found").alias("issues_before"), of(AFTER, "issues_found").alias("issues_after"),
     )
 
 
+def before_after(ws: Workspace, names: Sequence[str]) -> DataFrame:
+    """What the safe fixes would change, without writing anything."""
+    return _compared(scan_before_after(ws, names))
+
+
 def remediation_log(ws: Workspace, names: Sequence[str], approved_by: str) -> DataFrame:
     """The log rows that applying the safe fixes writes."""
     both = scan_before_after(ws, names)
-    return records.remediation_rows(
-        safe_issues(both.issues.where(F.col("phase") == BEFORE)),
-        phase_scores(both, BEFORE), phase_scores(both, AFTER), ws.as_of, approved_by,
-    )
+    found = both.issues.where(F.col("phase") == BEFORE)
+    return records.remediation_rows(safe_issues(found), _compared(both), ws.as_of, approved_by)
 
 
 def approve(
@@ -69,8 +67,7 @@ def approve(
         (F.col("phase") == BEFORE) & (F.col("rule_name") == rule_name)
         & F.col("column_name").isin([b.column for b in chosen])
     )
-    log = records.remediation_rows(
-        approved, phase_scores(both, BEFORE), phase_scores(both, AFTER), ws.as_of, approved_by)
+    log = records.remediation_rows(approved, _compared(both), ws.as_of, approved_by)
     return apply_fixes(ws.tables[name], chosen), log
 
 
@@ -96,10 +93,10 @@ def run_cycle(ws: Workspace, names: Sequence[str], store: Store, approved_by: st
     snapshots = {
         name: store.write_snapshot(name, label, df) for name, df in fixed_tables(ws, names).items()
     }
-    fixed = Workspace(ws.spark, {**ws.tables, **snapshots}, ws.bindings, ws.as_of)
+    fixed = ws.replacing(snapshots)
     later = at + dt.timedelta(seconds=1)
     after = save_scan(scan(fixed, names), store, later, f"{label}_after")
+    compared = compare(before.scores, after.scores)
     store.append("remediation_log", records.conform(
-        records.remediation_rows(safe_issues(before.issues), before.scores, after.scores, at, approved_by),
-        schemas.REMEDIATION_LOG))
-    return compare(before.scores, after.scores)
+        records.remediation_rows(safe_issues(before.issues), compared, at, approved_by), schemas.REMEDIATION_LOG))
+    return compared

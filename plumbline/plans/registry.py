@@ -18,6 +18,7 @@ from plumbline.operators import (
 from plumbline.operators.keyed import duplicate_key_groups
 from plumbline.plans import cycle, report
 from plumbline.plans.scan import Scan, Workspace, scan
+from plumbline.rules import DIMENSIONS
 from plumbline.sources import generators, seed
 from plumbline.sources.defects import dirty_events
 from plumbline.sources.store import Store, shared_folder
@@ -163,12 +164,15 @@ def _catalog_scan(ws: Workspace) -> DataFrame:
 
 def _bands(done: Scan) -> DataFrame:
     scores = done.scores
-    health = scores.select(
-        "table_name", F.lit("HEALTH").alias("dimension"), F.col("health_score").alias("score"),
+    rows = [F.struct(
+        F.lit("HEALTH").alias("dimension"), F.col("health_score").alias("score"),
         health_band(F.col("health_score")).alias("band"),
-    )
-    each = scoring.dimension_scores(scores).withColumn("band", dimension_band(F.col("score")))
-    return health.unionByName(each)
+    )]
+    for dimension in DIMENSIONS:
+        score = F.col(scoring.score_column(dimension))
+        rows.append(F.struct(
+            F.lit(dimension).alias("dimension"), score.alias("score"), dimension_band(score).alias("band")))
+    return scores.select("table_name", F.inline(F.array(*rows)))
 
 
 def _contracts_eval(ws: Workspace) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.operators.issues import REPORT_ORDER
 
@@ -16,29 +18,29 @@ def explanations(issues: DataFrame) -> DataFrame:
     return issues.select("table_name", "column_name", "rule_name", text.alias("explanation"))
 
 
-def _joined(order, text, separator: str):
-    """Texts of a few rows in order, as one."""
-    ordered = F.sort_array(F.collect_list(F.struct(*order, text)))
-    return F.array_join(F.transform(ordered, lambda r: r["text"]), separator)
+def _in_order(order: Sequence[Column], text: Column, separator: str, first: int) -> Column:
+    """The first texts of a small relation in order, as one (an aggregate)."""
+    ordered = F.sort_array(F.collect_list(F.struct(*order, text.alias("text"))))
+    return F.array_join(F.transform(F.slice(ordered, 1, first), lambda r: r["text"]), separator)
 
 
 def guardian_context(issues: DataFrame, history: DataFrame, top: int = 5, newest: int = 10) -> DataFrame:
-    """One row that sums up the state: issue counts, the first issues, the newest scores."""
-    counts = issues.agg(
-        F.count(F.lit(1)).alias("issues"), F.count_if(F.col("severity") == "CRITICAL").alias("critical")
-    )
-    firsts = issues.orderBy(*REPORT_ORDER).limit(top).agg(
-        _joined([F.col(c) for c in REPORT_ORDER], F.col("issue_description").alias("text"), "; ").alias("top_issues")
+    """One row that sums up the state: issue counts, the first issues, the newest scores.
+
+    Issues are one per rule and column, so ordering them in an aggregate is bounded by the schema.
+    """
+    found = issues.agg(
+        F.count(F.lit(1)).alias("issues"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"),
+        _in_order([F.col(c) for c in REPORT_ORDER], F.col("issue_description"), "; ", top).alias("top_issues"),
     )
     line = F.concat_ws(" ", "table_name", "health_score", "total_issues", "scan_date")
     scores = (
         history.orderBy(F.desc("recorded_at"), F.desc("scan_date"), "table_name", "scan_id").limit(newest)
-        .agg(_joined(
-            [(-F.unix_date("scan_date")).alias("age"), F.col("table_name"), F.col("scan_id")],
-            line.alias("text"), "\n",
+        .agg(_in_order(
+            [(-F.unix_date("scan_date")).alias("age"), F.col("table_name"), F.col("scan_id")], line, "\n", newest,
         ).alias("scores"))
     )
-    parts = counts.unionByName(firsts, allowMissingColumns=True).unionByName(scores, allowMissingColumns=True)
+    parts = found.unionByName(scores, allowMissingColumns=True)
     whole = parts.agg(*[F.max(c).alias(c) for c in ("issues", "critical", "top_issues", "scores")])
     context = F.concat(
         F.lit("Scan found "), "issues", F.lit(" issues ("), "critical", F.lit(" critical). Top: "), "top_issues",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import ChainMap
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -36,6 +37,10 @@ class Workspace:
             for rule in bind(name, self.tables[name].schema, self.binding(name), self.as_of, rule_set)
         ]
 
+    def replacing(self, tables: Mapping[str, DataFrame]) -> Workspace:
+        """The same workspace with other versions of some tables."""
+        return Workspace(self.spark, ChainMap(dict(tables), self.tables), self.bindings, self.as_of)
+
     def key(self, name: str) -> list[str]:
         return key_columns(self.tables[name].schema, self.binding(name))
 
@@ -78,7 +83,20 @@ def _keyed_counts(ws: Workspace, df: DataFrame, index: int, bound: BoundRule, by
         return keyed.count_case_variants(df, index, bound.column, phase)
     if name == "FRESHNESS_CHECK":
         return keyed.count_stale(df, index, bound.column, *detail, phase)
-    return keyed.count_outliers(df, index, bound.column, phase)
+    raise ValueError(f"no operator counts {name}")
+
+
+def _table_branches(ws: Workspace, df: DataFrame, own: Sequence[tuple[int, BoundRule]], by, phase: str) -> list[DataFrame]:
+    """The counters of the keyed rules of one table."""
+    outliers = [(i, b) for i, b in own if b.rule.name == "OUTLIER_DETECTION"]
+    branches = [
+        _keyed_counts(ws, df, i, b, by, phase) for i, b in own if b.predicate is None and (i, b) not in outliers
+    ]
+    if outliers and by:
+        raise ValueError("OUTLIER_DETECTION is not counted per period")
+    if outliers:
+        branches.append(keyed.count_outliers(df, [i for i, _ in outliers], [b.column for _, b in outliers], phase))
+    return branches
 
 
 def _union(branches: Sequence[DataFrame]) -> DataFrame:
@@ -103,7 +121,7 @@ def scan(
         row_rules = [(i, b) for i, b in own if b.predicate is not None]
         if row_rules:
             branches += count_row_rules(df, row_rules, by)
-        branches += [_keyed_counts(ws, df, i, b, by, CURRENT) for i, b in own if b.predicate is None]
+        branches += _table_branches(ws, df, own, by, CURRENT)
     return Scan(ws, rules, _union(branches), by)
 
 
@@ -123,7 +141,7 @@ def scan_before_after(ws: Workspace, names: Sequence[str], approved: Approval =
     Spark runs it once.
     """
     fixed = fixed_tables(ws, names, approved)
-    after = Workspace(ws.spark, {**ws.tables, **fixed}, ws.bindings, ws.as_of)
+    after = ws.replacing(fixed)
     rules = ws.bound(names)
     branches = []
     for name in sorted(names):
@@ -136,8 +154,6 @@ def scan_before_after(ws: Workspace, names: Sequence[str], approved: Approval =
         row_rules = [(i, b) for i, b in own if b.predicate is not None]
         if row_rules:
             branches += count_row_rules(both, row_rules, phases=phases)
-        for i, b in own:
-            if b.predicate is None:
-                branches.append(_keyed_counts(ws, df, i, b, (), BEFORE))
-                branches.append(_keyed_counts(after, fixed[name], i, b, (), AFTER))
+        branches += _table_branches(ws, df, own, (), BEFORE)
+        branches += _table_branches(after, fixed[name], own, (), AFTER)
     return Scan(ws, rules, _union(branches), ("phase",))

@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/plumbline/{purpose}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """The result of a DataFrame, written once: its size is known, and nothing computes it again."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """The engine's tables below a root folder."""
 

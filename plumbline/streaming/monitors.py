@@ -101,7 +101,7 @@ def run_health(ws: Workspace, name: str, stream: DataFrame, folder: str, at: Col
     """
 
     def scan_batch(batch: DataFrame, batch_id: int) -> None:
-        arrived = Workspace(ws.spark, {**ws.tables, name: batch}, ws.bindings, ws.as_of)
+        arrived = ws.replacing({name: batch})
         rows = records.scan_history_rows(scan(arrived, [name]).scores, DATABASE, SCHEMA, at)
         rows.write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
 

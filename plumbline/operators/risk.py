@@ -27,7 +27,7 @@ def distinct_rows_at_risk(
             df, b.detail, tables[b.detail.parent_table])
         for b in links
     ]
-    kept = list(dict.fromkeys([*key, *[c for keys in bad_keys for c in keys.columns]]))
+    kept = list(dict.fromkeys([*key, *[c for keys in bad_keys for c in keys.columns if c in df.columns]]))
     folded = (
         df.withColumn("hit__", any_violation(bound).cast("long"))
         .groupBy(*[col(c) for c in kept])

@@ -1,10 +1,10 @@
 """Finding the rows of a large table that match a set of distinct keys of unknown size.
 
-The keys are written to the shared folder first. Then their number is known: few are broadcast and
-the table is not shuffled; many are joined by a shuffle. One key may be shared by very many rows,
-so that join is salted: keys are repeated once per salt, and the rows of one key are spread over
-the salts by a hash of their other columns. The hash depends on the row alone, so a task that is
-run again sends every row to the same place.
+The keys, each with its number of rows (`n_rows`), are written to the shared folder first. Then
+their size is known: few are broadcast and the table is not shuffled; many are joined by a shuffle.
+In that join the rows of a hot key are spread over salts by a hash of their other columns, and the
+hot key is repeated once per salt. The hash depends on the row alone, so a task that is run again
+sends every row to the same place.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ from plumbline.binding import col
 from plumbline.sources.store import settle
 
 BROADCAST_ROWS = 200_000
-SALTS = 32
+SALTS = 64
 SALT = "salt__"
+# A key is hot with more than this many rows and more than one in HOT_SHARE of all matching rows;
+# so there are fewer than HOT_SHARE hot keys, whatever the table.
+HOT_ROWS = 1_000_000
+HOT_SHARE = 10_000
 
 
 def settled(keys: DataFrame) -> tuple[DataFrame, bool]:
@@ -27,29 +31,35 @@ def settled(keys: DataFrame) -> tuple[DataFrame, bool]:
     return written, written.count() <= BROADCAST_ROWS  # counted from file footers
 
 
-def _salted_keys(keys: DataFrame) -> DataFrame:
-    return keys.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def _salt(spread_by: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*[col(c) for c in spread_by]), F.lit(SALTS)).cast("int")
 
 
-def _join(df: DataFrame, keys: DataFrame, few: bool, spread_by: Sequence[str], how: str) -> DataFrame:
+def _is_hot(keys: DataFrame) -> Column:
+    total = keys.agg(F.sum("n_rows")).first()[0] or 0
+    return F.col("n_rows") > max(HOT_ROWS, total // HOT_SHARE)
+
+
+def _join(df: DataFrame, keys: DataFrame, spread_by: Sequence[str], how: str) -> DataFrame:
+    written, few = settled(keys)
     on = [c for c in keys.columns if c in df.columns]
     if few:
-        return df.join(F.broadcast(keys), on, how)
-    return df.withColumn(SALT, _salt(spread_by)).join(_salted_keys(keys), [*on, SALT], how).drop(SALT)
+        return df.join(F.broadcast(written.drop("n_rows")), on, how)
+    hot = _is_hot(written)
+    hot_keys = written.where(hot).select(*on, F.lit(True).alias("hot__"))
+    salted_rows = df.join(F.broadcast(hot_keys), on, "left").withColumn(
+        SALT, F.when(F.col("hot__"), _salt(spread_by)).otherwise(0)).drop("hot__")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted_keys = written.withColumn(SALT, F.explode(salts)).drop("n_rows")
+    return salted_rows.join(salted_keys, [*on, SALT], how).drop(SALT)
 
 
 def keep_matching(df: DataFrame, keys: DataFrame, spread_by: Sequence[str]) -> DataFrame:
-    """Rows whose values in the columns of `keys` are one of its (distinct) rows."""
-    written, few = settled(keys)
-    return _join(df, written, few, spread_by, "left_semi")
+    """Rows whose values in the key columns are one of the keys."""
+    return _join(df, keys, spread_by, "left_semi").select(*[col(c) for c in df.columns])
 
 
 def flag_matching(df: DataFrame, keys: DataFrame, spread_by: Sequence[str], flag: str) -> DataFrame:
-    """All rows, with `flag` true where their values are one of the (distinct) rows of `keys`."""
-    written, few = settled(keys)
-    joined = _join(df, written.withColumn(flag, F.lit(True)), few, spread_by, "left")
+    """All rows, with `flag` true where their values are one of the keys."""
+    joined = _join(df, keys.withColumn(flag, F.lit(True)), spread_by, "left")
     return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))

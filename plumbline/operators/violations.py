@@ -17,8 +17,8 @@ def failing_rows(df: DataFrame, bound: BoundRule) -> DataFrame:
 
 
 def orphan_keys(df: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
-    """Distinct references without a parent."""
-    references = key_counts(df.where(col(fk.column).isNotNull()), [fk.column]).select(col(fk.column))
+    """Distinct references without a parent, with their number of rows."""
+    references = key_counts(df.where(col(fk.column).isNotNull()), [fk.column])
     return references.join(parent_keys(parent, fk.parent_key, fk.column), fk.column, "left_anti")
 
 
@@ -28,7 +28,7 @@ def orphan_rows(df: DataFrame, fk: ForeignKey, parent: DataFrame, spread_by: Seq
 
 
 def early_pairs(df: DataFrame, link: ParentDate, parent: DataFrame) -> DataFrame:
-    """Distinct (reference, date) pairs with a date before the parent's."""
-    pairs = key_counts(df, [link.foreign_key, link.column]).drop("n_rows")
+    """Distinct (reference, date) pairs with a date before the parent's, with their number of rows."""
+    pairs = key_counts(df, [link.foreign_key, link.column])
     limits = parent_dates(parent, link, link.foreign_key)
     return pairs.join(limits, link.foreign_key).where(col(link.column) < col("parent_date")).drop("parent_date")

@@ -17,7 +17,6 @@ def spark():
         "spark.sql.shuffle.partitions": "8",
         "spark.default.parallelism": "8",
         "spark.driver.memory": "4g",
-        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="plumbline-tests-"),
         "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="plumbline-warehouse-"),
     })
     session.sparkContext.setLogLevel("ERROR")

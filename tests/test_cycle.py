@@ -9,7 +9,7 @@ from plumbline.operators import history, records
 from plumbline.operators.fixes import apply_fixes, safe_rules
 from plumbline.plans.cycle import approve, before_after, run_cycle
 from plumbline.sources import seed
-from plumbline.sources.store import Store, shared_folder
+from plumbline.sources.store import SHARED_FOLDER, Store, shared_folder
 from pyspark.sql.types import StructType
 from tests.conftest import rows
 
@@ -85,4 +85,7 @@ def test_one_approved_fix_is_logged(demo):
 
 
 def test_shared_folder_is_the_sessions(spark):
-    assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    named = spark.conf.get(SHARED_FOLDER, None)
+    folder = shared_folder(spark, "x")
+    assert folder != shared_folder(spark, "x")
+    assert named is None or folder.startswith(named)

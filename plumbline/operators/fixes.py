@@ -42,12 +42,16 @@ def apply_fixes(df: DataFrame, rules: Sequence[BoundRule]) -> DataFrame:
     """Apply the given bound rules' fixes in report order; each sees the result of the ones before.
 
     A fix whose rule finds nothing changes nothing, so no scan has to run first. One fix sets all
-    its columns at once from the old values (a swap needs both).
+    its columns at once from the old values (a swap needs both); fixes that do not touch each
+    other's columns share a projection.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
+    pending: dict[str, Column] = {}
     for bound in sorted(rules, key=lambda b: (b.rule.seq, b.ordinal)):
-        df = df.withColumns(_fix_columns(bound, types))
-    return df
+        if pending.keys() & set(bound.inputs):
+            df, pending = df.withColumns(pending), {}
+        pending |= _fix_columns(bound, types)
+    return df.withColumns(pending) if pending else df
 
 
 def choose(bound: Iterable[BoundRule], rule_name: str, columns: Sequence[str] = ()) -> list[BoundRule]:

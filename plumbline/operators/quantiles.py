@@ -1,7 +1,7 @@
 """Exact quantiles of whole columns without gathering a column, or its sketches, in one place.
 
 1. Groups of tasks each reduce their part of a column to evenly spaced quantile points. The merged
-   points place every quantile within a bracket of a few thousandths of the ranks.
+   points place every quantile within a bracket of about a hundredth of the ranks.
 2. A second pass folds everything below a bracket into one count, drops what is above it and keeps
    value counts inside it.
 3. Those are cut into slices; only the slice that holds the wanted rank is sorted.
@@ -19,8 +19,8 @@ from plumbline.binding import col
 from plumbline.sources.values import literal_rows
 
 GROUPS = 512  # parts of the table that are reduced separately
-POINTS = 1000  # quantile points per part
-ACCURACY = 10_000  # of a part's sketch
+POINTS = 500  # quantile points per part
+ACCURACY = 2000  # of a part's sketch
 SLICES = 1024  # of a bracket
 
 

@@ -10,6 +10,9 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Scans are built from very many small expressions; recording where each was made costs more
+    # than making it.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Streaming state is kept off the JVM heap so that it can outgrow it.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -214,7 +214,7 @@ LONG_SCORES = "long_scores AS (" + " UNION ALL ".join(
     for d in DIMENSIONS) + ")"
 
 FIRST_FIVE = "ORDER BY table_name, rule_seq, ordinal, column_name LIMIT 5"
-GUARDIAN = f"""SELECT issues, critical, top_issues, scores,
+CONTEXT = f"""SELECT issues, critical, top_issues, scores,
  'Scan found ' || issues || ' issues (' || critical || ' critical). Top: ' || top_issues || chr(10) || 'Scores:'
   || chr(10) || scores AS context
  FROM (SELECT count(*) AS issues, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical FROM graded WHERE n > 0) a,
@@ -225,10 +225,10 @@ GUARDIAN = f"""SELECT issues, critical, top_issues, scores,
   (SELECT * FROM history ORDER BY recorded_at DESC, scan_date DESC, table_name LIMIT 10) h) c"""
 
 
-def guardian() -> str:
+def context() -> str:
     yearly = graded(selects_of(("lineitem", "orders_dirty"), unit="year"), "yearly")
     return with_views(
-        GUARDIAN, SCAN, yearly, scores("yearly", "table_name, scan_date"), YEARS[2], HISTORY)
+        CONTEXT, SCAN, yearly, scores("yearly", "table_name, scan_date"), YEARS[2], HISTORY)
 
 
 STREAM_COUNTS = " UNION ALL ".join(
@@ -275,7 +275,7 @@ REPORTS = {
     "issue_explanations": on_scan(
         "SELECT table_name, column_name, rule_name, '- **What:** ' || description || chr(10) || '- **Risk:** ' || impact "
         "|| chr(10) || '- **Fix:** ' || action AS explanation FROM graded WHERE n > 0"),
-    "guardian_context": guardian(),
+    "guardian_context": context(),
     "fix_queue": on_scan(
         "SELECT table_name, column_name, rule_name, severity, n AS affected_rows, risk_level, confidence, "
         f"fix AS remediation_sql, risk_level = 'LOW' AS is_safe FROM graded WHERE n > 0 AND {FIXABLE}"),

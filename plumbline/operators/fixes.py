@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.binding import BoundRule, col
+from plumbline.operators.keyed import all_present, duplicate_key_groups
+from plumbline.operators.salting import settled
 
 # The rules whose fix is a transform of the offending row.
 FIXABLE = (
@@ -65,18 +67,24 @@ def choose(bound: Iterable[BoundRule], rule_name: str, columns: Sequence[str] =
 def deduplicate(df: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """One row per non-null key: the first by `order`, then by all other columns. Null keys are kept.
 
-    A minimum over whole rows combines before the shuffle, so a key with very many copies is no
-    hot spot; a ranking window would sort all its copies in one task.
+    Keys alone are shuffled to find the repeated ones. If those are few, all other rows stay where
+    they are. The first row is a minimum over whole rows, which combines before the shuffle: a key
+    with very many copies is no hot spot, as it would be for a ranking window.
     """
     rest = [c for c in df.columns if c not in key]
     ranked = [*order, *[c for c in rest if c not in order]]
-    present = F.lit(True)
-    for name in key:
-        present = present & col(name).isNotNull()
+    if not ranked:
+        present = all_present(key)
+        return df.where(present).distinct().unionByName(df.where(~present))
+    repeated, few = settled(duplicate_key_groups(df, key).select(*[col(c) for c in key]))
+    if few:
+        copies = df.join(F.broadcast(repeated), list(key), "left_semi")
+        others = df.join(F.broadcast(repeated), list(key), "left_anti")
+    else:
+        copies, others = df.where(all_present(key)), df.where(~all_present(key))
     first = (
-        df.where(present)
-        .groupBy(*[col(c) for c in key])
+        copies.groupBy(*[col(c) for c in key])
         .agg(F.min(F.struct(*[col(c) for c in ranked])).alias("first_row"))
         .select(*[col(c) for c in key], *[F.col(f"first_row.`{c}`") for c in ranked])
     )
-    return first.select(*[col(c) for c in df.columns]).unionByName(df.where(~present))
+    return first.select(*[col(c) for c in df.columns]).unionByName(others.select(*[col(c) for c in df.columns]))

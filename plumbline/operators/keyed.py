@@ -17,7 +17,7 @@ from plumbline.operators.rowscan import CURRENT, counter_rows
 from plumbline.operators.salting import settled
 
 
-def _all_present(columns: Sequence[str]) -> Column:
+def all_present(columns: Sequence[str]) -> Column:
     present = col(columns[0]).isNotNull()
     for name in columns[1:]:
         present = present & col(name).isNotNull()
@@ -39,7 +39,7 @@ def key_counts(df: DataFrame, key: Sequence[str], by: Sequence[str] = ()) -> Dat
 
 def count_duplicate_keys(df, index: int, key: Sequence[str], by=(), phase: str = CURRENT) -> DataFrame:
     """Rows whose non-null key occurs more than once, first copies included, and the number of such keys."""
-    repeated = (F.col("n_rows") > 1) & _all_present(key)
+    repeated = (F.col("n_rows") > 1) & all_present(key)
     return _single_counter(
         key_counts(df, key, by), by, index, phase,
         affected=F.when(repeated, F.col("n_rows")), total=F.col("n_rows"), groups=F.when(repeated, 1),
@@ -48,7 +48,7 @@ def count_duplicate_keys(df, index: int, key: Sequence[str], by=(), phase: str =
 
 def duplicate_key_groups(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """The repeated keys with their number of rows."""
-    present = df.where(_all_present(key))
+    present = df.where(all_present(key))
     return key_counts(present, key).where("n_rows > 1")
 
 

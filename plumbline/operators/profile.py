@@ -122,3 +122,15 @@ def top_values(df: DataFrame, table: str, n: int = 5) -> DataFrame:
         for c in text_columns(df)
     ]
     return reduce(DataFrame.unionByName, tops)
+
+
+def profile_column(df: DataFrame, table: str, column: str) -> dict[str, DataFrame]:
+    """Everything about one column: what is said depends on its type."""
+    one = df.select(col(column))
+    found = {"column": profile_columns(one, table)}
+    if numeric_columns(one):
+        found["numeric"] = profile_numeric(one, table)
+    if text_columns(one):
+        found["text"] = profile_text(one, table)
+        found["top_values"] = top_values(one, table)
+    return found

@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.binding import BoundRule, Resolver, col
 
 CURRENT = "current"
+COUNTER_COLUMNS = (
+    "phase string, rule_index int, affected_rows bigint, duplicate_groups bigint, total_rows bigint"
+)
 # Generated aggregate code beyond about this many counters no longer compiles well.
 MAX_COUNTERS = 100
 

@@ -78,16 +78,20 @@ def save_scan(done: Scan, store: Store, at: dt.datetime, label: str) -> Scan:
     scores = kept.scores
     names = sorted({b.table for b in done.rules})
     widths = {name: len(ws.tables[name].columns) for name in names}
-    store.append("scan_results", records.conform(
-        records.scan_result_rows(scores, widths, DATABASE, SCHEMA, now), schemas.SCAN_RESULTS))
-    store.append("health_score_history", records.conform(
-        records.scan_history_rows(scores, DATABASE, SCHEMA, now), schemas.HEALTH_SCORE_HISTORY), ("scan_date",))
-    store.append("scan_issues", records.conform(records.issue_rows(kept.issues, now), schemas.SCAN_ISSUES))
+    store.put("scan_results", records.conform(
+        records.scan_result_rows(scores, widths, DATABASE, SCHEMA, now), schemas.SCAN_RESULTS), run=label)
+    store.put("health_score_history", records.conform(
+        records.scan_history_rows(scores, DATABASE, SCHEMA, now), schemas.HEALTH_SCORE_HISTORY),
+        scan_date=f"{at:%Y-%m-%d}", run=label)
+    store.put("scan_issues", records.conform(records.issue_rows(kept.issues, now), schemas.SCAN_ISSUES), run=label)
     return kept
 
 
 def run_cycle(ws: Workspace, names: Sequence[str], store: Store, approved_by: str, at: dt.datetime) -> DataFrame:
-    """Scan, save, apply the safe fixes as new snapshots, log them, scan those and save; the comparison."""
+    """Scan, save, apply the safe fixes as new snapshots, log them, scan those and save; the comparison.
+
+    A round that was cut short can be run again with the same `at`: it replaces what it wrote.
+    """
     label = f"{at:%Y%m%d_%H%M%S}"
     before = save_scan(scan(ws, names), store, at, f"{label}_before")
     snapshots = {
@@ -97,6 +101,7 @@ def run_cycle(ws: Workspace, names: Sequence[str], store: Store, approved_by: st
     later = at + dt.timedelta(seconds=1)
     after = save_scan(scan(fixed, names), store, later, f"{label}_after")
     compared = compare(before.scores, after.scores)
-    store.append("remediation_log", records.conform(
-        records.remediation_rows(safe_issues(before.issues), compared, at, approved_by), schemas.REMEDIATION_LOG))
+    store.put("remediation_log", records.conform(
+        records.remediation_rows(safe_issues(before.issues), compared, at, approved_by), schemas.REMEDIATION_LOG),
+        run=label)
     return compared

@@ -205,8 +205,8 @@ def _explained(done: Scan) -> DataFrame:
     return report.explanations(done.issues)
 
 
-def _guardian(ws: Workspace) -> DataFrame:
-    return report.guardian_context(scan(ws, SCANNED).issues, data_history(ws))
+def _context(ws: Workspace) -> DataFrame:
+    return report.context_summary(scan(ws, SCANNED).issues, data_history(ws))
 
 
 def _at_risk(ws: Workspace) -> DataFrame:
@@ -246,9 +246,10 @@ def _stream_dedup(spark: SparkSession, directory: str) -> DataFrame:
 def _stream_orphans(spark: SparkSession, directory: str) -> DataFrame:
     ws = open_workspace(spark, directory)
     fk = ws.binding("events_dirty").foreign_keys[0]
-    lost = monitors.orphans(_event_stream(ws, directory), fk, ws.tables[fk.parent_table])
-    return monitors.run_to_table(
-        lost.select("event_id", "user_id", "ts"), shared_folder(spark, "stream-orphans"))
+    arriving = _event_stream(ws, directory).select("event_id", "user_id", "ts")
+    lost = monitors.run_orphans(
+        arriving, fk, ws.tables[fk.parent_table], ["event_id"], shared_folder(spark, "stream-orphans"))
+    return lost.drop("batch_id")
 
 
 def _stream_health(spark: SparkSession, directory: str) -> DataFrame:
@@ -321,7 +322,7 @@ QUERIES: dict[str, Query] = {
     "issues_by_severity": on_scan(lambda done: issue_ops.issues_by_severity(done.issues)),
     "top_critical": on_scan(lambda done: issue_ops.rule_report(issue_ops.top_critical(done.issues))),
     "issue_explanations": on_scan(_explained),
-    "guardian_context": on_workspace(_guardian),
+    "guardian_context": on_workspace(_context),
     # fixes
     "fix_queue": on_scan(lambda done: issue_ops.fix_queue(done.issues).select(
         "table_name", "column_name", "rule_name", "severity", "affected_rows", "risk_level", "confidence",

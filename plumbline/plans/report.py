@@ -24,7 +24,7 @@ def _in_order(order: Sequence[Column], text: Column, separator: str, first: int)
     return F.array_join(F.transform(F.slice(ordered, 1, first), lambda r: r["text"]), separator)
 
 
-def guardian_context(issues: DataFrame, history: DataFrame, top: int = 5, newest: int = 10) -> DataFrame:
+def context_summary(issues: DataFrame, history: DataFrame, top: int = 5, newest: int = 10) -> DataFrame:
     """One row that sums up the state: issue counts, the first issues, the newest scores.
 
     Issues are one per rule and column, so ordering them in an aggregate is bounded by the schema.

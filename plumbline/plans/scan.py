@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plumbline.binding import Binding, BoundRule, bind, col, key_columns
 from plumbline.operators import issues as issue_ops, keyed, scoring
 from plumbline.operators.fixes import apply_fixes, safe_rules
-from plumbline.operators.rowscan import CURRENT, count_row_rules
+from plumbline.operators.rowscan import COUNTER_COLUMNS, CURRENT, count_row_rules
+from plumbline.sources.values import literal_rows
 
 BEFORE, AFTER = "before", "after"
 ORIGINAL = "original__"
@@ -99,7 +100,10 @@ def _table_branches(ws: Workspace, df: DataFrame, own: Sequence[tuple[int, Bound
     return branches
 
 
-def _union(branches: Sequence[DataFrame]) -> DataFrame:
+def _union(ws: Workspace, branches: Sequence[DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    if not branches:
+        periods = "".join(f"{c} date, " for c in by)
+        return literal_rows(ws.spark, periods + COUNTER_COLUMNS, [])
     return reduce(DataFrame.unionByName, branches)
 
 
@@ -122,7 +126,7 @@ def scan(
         if row_rules:
             branches += count_row_rules(df, row_rules, by)
         branches += _table_branches(ws, df, own, by, CURRENT)
-    return Scan(ws, rules, _union(branches), by)
+    return Scan(ws, rules, _union(ws, branches, by), by)
 
 
 Approval = Callable[[Iterable[BoundRule]], list[BoundRule]]
@@ -156,4 +160,4 @@ def scan_before_after(ws: Workspace, names: Sequence[str], approved: Approval =
             branches += count_row_rules(both, row_rules, phases=phases)
         branches += _table_branches(ws, df, own, (), BEFORE)
         branches += _table_branches(after, fixed[name], own, (), AFTER)
-    return Scan(ws, rules, _union(branches), ("phase",))
+    return Scan(ws, rules, _union(ws, branches), ("phase",))

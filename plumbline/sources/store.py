@@ -40,9 +40,11 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def append(self, name: str, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        """Add rows; a failed write leaves nothing visible behind."""
-        rows.write.mode("append").partitionBy(*partition_by).parquet(self.path(name))
+    def put(self, name: str, rows: DataFrame, **partition: str) -> None:
+        """Add one run's rows as a partition; doing a run again replaces its rows."""
+        folders = "/".join(f"{key}={value}" for key, value in partition.items())
+        kept = rows.drop(*partition)
+        kept.write.mode("overwrite").parquet(f"{self.path(name)}/{folders}")
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
@@ -54,9 +56,7 @@ class Store:
 
     def write_snapshot(self, table: str, version: str, df: DataFrame) -> DataFrame:
         """A new version of a table; earlier versions stay as they are."""
-        path = f"snapshots/{table}/{version}"
-        df.write.mode("errorifexists").parquet(self.path(path))
-        return self.read(path)
+        return self.materialise(f"snapshots/{table}/{version}", df)
 
     def read_snapshot(self, table: str, version: str) -> DataFrame:
         """Any kept version; reading an earlier one undoes a fix."""

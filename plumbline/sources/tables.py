@@ -14,6 +14,12 @@ def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def catalog_tables(spark: SparkSession, database: str) -> dict[str, DataFrame]:
+    """The stored tables of a database, by name."""
+    listed = spark.catalog.listTables(database)
+    return {t.name: spark.table(f"`{database}`.`{t.name}`") for t in listed if not t.isTemporary and t.tableType != "VIEW"}
+
+
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Table name, rows and columns, by name. Parquet answers this from file footers."""
     counts = [

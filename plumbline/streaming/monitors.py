@@ -6,15 +6,15 @@ again with the same folder it goes on with what has arrived since.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.binding import BoundRule, ForeignKey, col
+from plumbline.binding import BoundRule, ForeignKey
 from plumbline.operators import records
-from plumbline.operators.keyed import parent_keys
 from plumbline.operators.rowscan import count_row_rules
+from plumbline.operators.violations import orphan_rows
 from plumbline.plans.cycle import DATABASE, SCHEMA
 from plumbline.plans.scan import Workspace, scan
 
@@ -61,12 +61,6 @@ def first_occurrences(stream: DataFrame, key: Sequence[str]) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(list(key))
 
 
-def orphans(stream: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
-    """Arriving rows whose reference names no row of the static parent table."""
-    known = parent_keys(parent, fk.parent_key, fk.column)
-    return stream.where(col(fk.column).isNotNull()).join(known, fk.column, "left_anti")
-
-
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     """Append the stream to a Parquet table, each row exactly once, and read that table."""
     spark = stream.sparkSession
@@ -94,20 +88,39 @@ def run_to_latest(aggregate: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(aggregate.schema).parquet(f"{folder}/table")
 
 
-def run_health(ws: Workspace, name: str, stream: DataFrame, folder: str, at: Column) -> DataFrame:
-    """Scan every micro-batch like a table and keep its scores as a history row.
+def _run_batches(stream: DataFrame, folder: str, handle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply a batch operator to every micro-batch and keep the results as one table.
 
     A batch writes its own partition, so a batch that is run again does not count twice.
     """
 
-    def scan_batch(batch: DataFrame, batch_id: int) -> None:
-        arrived = ws.replacing({name: batch})
-        rows = records.scan_history_rows(scan(arrived, [name]).scores, DATABASE, SCHEMA, at)
-        rows.write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        handle(batch).write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
 
     query = (
-        stream.writeStream.foreachBatch(scan_batch)
+        stream.writeStream.foreachBatch(keep)
         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return ws.spark.read.parquet(f"{folder}/table")
+    return stream.sparkSession.read.parquet(f"{folder}/table")
+
+
+def run_orphans(
+    stream: DataFrame, fk: ForeignKey, parent: DataFrame, spread_by: Sequence[str], folder: str
+) -> DataFrame:
+    """Arriving rows whose reference names no row of the static parent table.
+
+    Each batch is checked like a table: distinct references meet the parent, and a reference that
+    very many rows share is spread over tasks.
+    """
+    return _run_batches(stream, folder, lambda batch: orphan_rows(batch, fk, parent, spread_by))
+
+
+def run_health(ws: Workspace, name: str, stream: DataFrame, folder: str, at: Column) -> DataFrame:
+    """Scan every micro-batch like a table and keep its scores as history rows."""
+
+    def scores(batch: DataFrame) -> DataFrame:
+        done = scan(ws.replacing({name: batch}), [name])
+        return records.scan_history_rows(done.scores, DATABASE, SCHEMA, at)
+
+    return _run_batches(stream, folder, scores)

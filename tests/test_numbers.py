@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from plumbline.functions.numbers import dimension_band, half_up, health_band, percent
 from plumbline.operators import quantiles
 from plumbline.operators.keyed import outlier_fences
-from plumbline.operators.profile import profile_columns, top_values
+from plumbline.operators.profile import profile_column, profile_columns, top_values
 from plumbline.operators.quantiles import exact_quantiles
+from plumbline.sources.tables import catalog_tables, row_counts
 from plumbline.sources.values import literal_rows
 
 
@@ -87,3 +88,22 @@ def test_sketched_profile_is_close(spark):
 def test_top_values_break_ties_by_value(spark):
     data = literal_rows(spark, "s string", [(v,) for v in "ccbbaadefg"] + [(None,)] * 5)
     assert [r.value for r in top_values(data, "t", 4).collect()] == ["a", "b", "c", "d"]
+
+
+def test_profile_depends_on_type(spark):
+    data = literal_rows(spark, "n int, s string, d date, b boolean", [(1, "x", None, True), (3, None, None, False)])
+    said = {c: profile_column(data, "t", c) for c in data.columns}
+    assert {c: sorted(found) for c, found in said.items()} == {
+        "n": ["column", "numeric"], "s": ["column", "text", "top_values"], "d": ["column"], "b": ["column"]}
+    assert said["n"]["numeric"].first().median_value == 2.0
+    assert said["d"]["column"].first().null_pct == 100.0
+
+
+def test_catalog_tables_are_listed(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS listed")
+    for name, n in (("zeta", 3), ("alpha", 5)):
+        spark.range(n).write.mode("overwrite").saveAsTable(f"listed.{name}")
+    spark.range(1).createOrReplaceTempView("passing")
+    counted = row_counts(catalog_tables(spark, "listed")).collect()
+    assert [tuple(r) for r in counted] == [("alpha", 5, 1), ("zeta", 3, 1)]
+    spark.sql("DROP DATABASE listed CASCADE")

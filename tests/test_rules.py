@@ -94,6 +94,12 @@ def test_empty_table(spark):
     assert [(r.health_score, r.total_rows, r.issues_found) for r in scored] == [(100.0, 0, 0)]
 
 
+def test_no_applicable_rule(spark):
+    ws = workspace(spark, t=spark.range(3))
+    assert scan(ws, ["t"], {"EMAIL_FORMAT"}).issues.count() == 0
+    assert scan(ws, [], "executed").scores.count() == 0
+
+
 def test_null_references_are_not_orphans(spark):
     child = literal_rows(spark, "order_id bigint, customer_id bigint", [(1, 1), (2, None), (3, 9), (4, 9)])
     parent = literal_rows(spark, "customer_id bigint", [(1,), (1,), (None,)])

@@ -74,7 +74,7 @@ def test_duplicate_rows(hot, key_limit):
     assert got == [(0, q, 2000) for q in range(5)]
 
 
-def test_deduplicate(hot):
+def test_deduplicate(hot, key_limit):
     kept = deduplicate(hot.tables["t"], ["order_id"], ["quantity"])
     assert kept.count() == 20_001
     assert rows(kept.where("order_id = 0"), "quantity") == [(0,)]

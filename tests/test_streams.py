@@ -42,11 +42,11 @@ def test_a_restarted_stream_goes_on(spark, ws, arriving):
     fk = ws.binding("events_dirty").foreign_keys[0]
     for i in range(3):
         arrive(i)
-        lost = monitors.orphans(stream_of(ws, folder), fk, ws.tables["customer"]).select("event_id", "user_id")
-        kept = monitors.run_to_table(lost, out)
+        arrived = stream_of(ws, folder).select("event_id", "user_id")
+        kept = monitors.run_orphans(arrived, fk, ws.tables["customer"], ["event_id"], out)
     wanted = ws.tables["events_dirty"].where("user_id IS NOT NULL").join(
         ws.tables["customer"], col("user_id") == col("c_custkey"), "left_anti").select("event_id", "user_id")
-    assert rows(kept) == rows(wanted)
+    assert rows(kept, "event_id", "user_id") == rows(wanted)
 
 
 def test_window_counts_grow_with_arrivals(spark, ws, arriving):

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from plumbline.config import SCANNED, open_workspace
+from plumbline.operators.violations import orphan_keys
 from plumbline.plans.registry import QUERIES
 from plumbline.plans.scan import scan, scan_before_after
 
@@ -64,3 +65,11 @@ def test_period_filter_reaches_the_aggregation(spark, data_dir):
     """Future periods are dropped before they are counted."""
     text = plan(QUERIES["history_trend"](spark, data_dir))
     assert "trunc" in text and re.search(r"Filter .*trunc\(.*<= 2024-06-01", text)
+
+
+def test_references_are_counted_before_they_meet_the_parent(ws):
+    """The optimizer must not move the lookup below the counting (it would, for an anti-join)."""
+    fk = ws.binding("lineitem").foreign_keys[0]
+    text = plan(orphan_keys(ws.tables["lineitem"], fk, ws.tables["orders"]))
+    join = re.search(r"^.*Join \[l_orderkey.*$", text, re.M)
+    assert "partial_count" in text[join.end():] and "count" not in text[:join.start()].replace("partial_count", "")

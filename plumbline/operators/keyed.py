@@ -76,14 +76,26 @@ def parent_dates(parent: DataFrame, link: ParentDate, name: str) -> DataFrame:
     )
 
 
-def count_before_parent(df, index: int, link: ParentDate, parent: DataFrame, by=(), phase: str = CURRENT) -> DataFrame:
-    """Rows dated before their parent row; equal dates of one reference are compared once."""
+def count_before_parent(
+    df, index: int, link: ParentDate, parent: DataFrame, by=(), phase: str = CURRENT, orphan_index: int | None = None
+) -> DataFrame:
+    """Rows dated before their parent row; equal dates of one reference are compared once.
+
+    With `orphan_index` the rows without a parent are counted in the same lookup.
+    """
     dated = key_counts(df, [link.foreign_key, link.column], by)
-    joined = dated.join(parent_dates(parent, link, link.foreign_key), link.foreign_key, "left")
+    known = parent_dates(parent, link, link.foreign_key).withColumn("known", F.lit(True))
+    joined = dated.join(known, link.foreign_key, "left")
     early = col(link.column) < F.col("parent_date")
-    return _single_counter(
-        joined, by, index, phase, affected=F.when(early, F.col("n_rows")), total=F.col("n_rows")
+    orphan = col(link.foreign_key).isNotNull() & F.col("known").isNull()
+    wide = joined.groupBy(*by).agg(
+        F.sum(F.when(early, F.col("n_rows"))).alias("early"), F.sum(F.when(orphan, F.col("n_rows"))).alias("orphans"),
+        F.sum("n_rows").alias("t"),
     )
+    counters = [(index, phase, "early", None, "t")]
+    if orphan_index is not None:
+        counters.append((orphan_index, phase, "orphans", None, "t"))
+    return counter_rows(wide, by, counters)
 
 
 def _row_hashes(df: DataFrame) -> DataFrame:

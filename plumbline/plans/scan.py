@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.binding import Binding, BoundRule, bind, col, key_columns
+from plumbline.binding import Binding, BoundRule, ForeignKey, ParentDate, bind, col, key_columns
 from plumbline.operators import issues as issue_ops, keyed, scoring
 from plumbline.operators.fixes import apply_fixes, safe_rules
 from plumbline.operators.rowscan import COUNTER_COLUMNS, CURRENT, count_row_rules
@@ -74,8 +74,6 @@ def _keyed_counts(ws: Workspace, df: DataFrame, index: int, bound: BoundRule, by
         return keyed.count_duplicate_keys(df, index, detail, by, phase)
     if name == "ORPHAN_REFERENCE":
         return keyed.count_orphans(df, index, detail, ws.tables[detail.parent_table], by, phase)
-    if name == "DATE_ORDERING":
-        return keyed.count_before_parent(df, index, detail, ws.tables[detail.parent_table], by, phase)
     if by:
         raise ValueError(f"{name} is not counted per period")
     if name == "DUPLICATE_ROW":
@@ -87,16 +85,30 @@ def _keyed_counts(ws: Workspace, df: DataFrame, index: int, bound: BoundRule, by
     raise ValueError(f"no operator counts {name}")
 
 
+def _same_lookup(fk: object, link: ParentDate) -> bool:
+    return isinstance(fk, ForeignKey) and (fk.column, fk.parent_table, fk.parent_key) == (
+        link.foreign_key, link.parent_table, link.parent_key)
+
+
 def _table_branches(ws: Workspace, df: DataFrame, own: Sequence[tuple[int, BoundRule]], by, phase: str) -> list[DataFrame]:
     """The counters of the keyed rules of one table."""
-    outliers = [(i, b) for i, b in own if b.rule.name == "OUTLIER_DETECTION"]
-    branches = [
-        _keyed_counts(ws, df, i, b, by, phase) for i, b in own if b.predicate is None and (i, b) not in outliers
-    ]
+    pending = {i: b for i, b in own if b.predicate is None}
+    branches = []
+    for i, b in list(pending.items()):
+        if b.rule.name == "DATE_ORDERING":
+            del pending[i]
+            link = b.detail
+            # Orphans of the same reference need the same lookup.
+            orphans = next((j for j, o in pending.items() if _same_lookup(o.detail, link)), None)
+            pending.pop(orphans, None)
+            branches.append(
+                keyed.count_before_parent(df, i, link, ws.tables[link.parent_table], by, phase, orphans))
+    outliers = {i: b.column for i, b in pending.items() if b.rule.name == "OUTLIER_DETECTION"}
     if outliers and by:
         raise ValueError("OUTLIER_DETECTION is not counted per period")
     if outliers:
-        branches.append(keyed.count_outliers(df, [i for i, _ in outliers], [b.column for _, b in outliers], phase))
+        branches.append(keyed.count_outliers(df, list(outliers), list(outliers.values()), phase))
+    branches += [_keyed_counts(ws, df, i, b, by, phase) for i, b in pending.items() if i not in outliers]
     return branches
 
 

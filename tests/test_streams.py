@@ -98,3 +98,17 @@ def test_event_time_ignores_the_session_zone(spark, ws):
         assert len(seen) == 1
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_closed_windows_are_appended_once(spark, ws, arriving):
+    """In append mode a window is written when the watermark has passed it; only the last is held back."""
+    folder, arrive = arriving
+    out = shared_folder(spark, "closed")
+    rules = ws.bound(["events_dirty"])
+    for i in range(3):
+        arrive(i)
+    stream = monitors.with_event_time(stream_of(ws, folder), "ts")
+    kept = monitors.run_to_table(monitors.window_counts(stream, rules), out)
+    days = ws.tables["events"].select(F.expr("CAST(date(ts) AS timestamp_ntz)").alias("d")).distinct()
+    assert rows(kept.select("window_start").distinct()) == rows(days.orderBy("d").limit(days.count() - 1))
+    assert kept.count() == kept.select("window_start", "rule_index").distinct().count()

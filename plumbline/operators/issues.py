@@ -49,15 +49,17 @@ def severity_rank(severity: Column) -> Column:
 
 def grade(counts: DataFrame, rules: DataFrame) -> DataFrame:
     """Counters with their rule, percentage, severity and description; rules that did not fire included."""
-    pct = percent(F.col("affected_rows"), F.col("total_rows"))
     described = F.replace(F.col("description"), F.lit("{n}"), F.format_number("affected_rows", 0))
     described = F.replace(described, F.lit("{pct}"), F.col("affected_percentage").cast("string"))
     described = F.replace(described, F.lit("{groups}"), F.col("duplicate_groups").cast("string"))
+    pct = percent(F.col("affected_rows"), F.col("total_rows"))
     return (
         counts.join(F.broadcast(rules), "rule_index")
         .withColumn("affected_percentage", pct)
-        .withColumn("severity", severity_of(F.col("fixed_severity"), F.col("affected_percentage")))
-        .withColumn("issue_description", described)
+        .withColumns({
+            "severity": severity_of(F.col("fixed_severity"), F.col("affected_percentage")),
+            "issue_description": described,
+        })
         .drop("rule_index", "fixed_severity", "description")
     )
 

@@ -6,7 +6,7 @@ import datetime as dt
 from collections import ChainMap
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -55,8 +55,9 @@ class Scan:
     counts: DataFrame
     by: tuple[str, ...] = ()
 
-    @property
+    @cached_property
     def graded(self) -> DataFrame:
+        """Every counter with its rule and severity, fired or not."""
         return issue_ops.grade(self.counts, issue_ops.rule_table(self.workspace.spark, self.rules))
 
     @property

@@ -29,7 +29,7 @@ HEADLINE = (
     "health_by_month", "history_trend", "trust_change", "contracts_eval",
     "stream_rule_counts", "stream_dedup", "stream_orphans", "stream_health",
 )
-RUNS = 2
+RUNS = 3
 
 
 def run(df) -> None:
@@ -37,7 +37,7 @@ def run(df) -> None:
 
 
 def timed(build) -> float:
-    """Seconds from building the query to its last row; the better of two runs."""
+    """Seconds from building the query to its last row; the best of three runs."""
     best = float("inf")
     for _ in range(RUNS):
         start = time.perf_counter()

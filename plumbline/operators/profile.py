@@ -12,6 +12,14 @@ from plumbline.operators.quantiles import exact_quantiles
 from plumbline.sources.values import literal_rows
 
 
+NUMERIC_PROFILE = (
+    "table_name string, column_name string, min_value double, max_value double, mean_value double, "
+    "median_value double, stddev_value double"
+)
+TEXT_PROFILE = "table_name string, column_name string, min_length int, max_length int, avg_length double"
+TOP_VALUES = "table_name string, column_name string, value string, value_count bigint"
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
@@ -71,6 +79,8 @@ def profile_columns(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
 def profile_numeric(df: DataFrame, table: str) -> DataFrame:
     """Least, greatest, mean, median and spread of the numeric columns."""
     columns = numeric_columns(df)
+    if not columns:
+        return literal_rows(df.sparkSession, NUMERIC_PROFILE, [])
     wide = df.agg(*[
         F.struct(
             F.min(col(c)).cast("double").alias("min_value"), F.max(col(c)).cast("double").alias("max_value"),
@@ -97,10 +107,12 @@ def profile_numeric(df: DataFrame, table: str) -> DataFrame:
 def profile_text(df: DataFrame, table: str) -> DataFrame:
     """Shortest, longest and mean length of the text columns."""
     columns = text_columns(df)
+    if not columns:
+        return literal_rows(df.sparkSession, TEXT_PROFILE, [])
     wide = df.agg(*[
         F.struct(
             F.min(F.length(col(c))).alias("min_length"), F.max(F.length(col(c))).alias("max_length"),
-            half_up(F.sum(F.length(col(c))), F.count(col(c)), 1).alias("avg_length"),
+            F.when(F.count(col(c)) > 0, half_up(F.sum(F.length(col(c))), F.count(col(c)), 1)).alias("avg_length"),
         ).alias(f"s{i}")
         for i, c in enumerate(columns)
     ])
@@ -121,7 +133,7 @@ def top_values(df: DataFrame, table: str, n: int = 5) -> DataFrame:
         )
         for c in text_columns(df)
     ]
-    return reduce(DataFrame.unionByName, tops)
+    return reduce(DataFrame.unionByName, tops) if tops else literal_rows(df.sparkSession, TOP_VALUES, [])
 
 
 def profile_column(df: DataFrame, table: str, column: str) -> dict[str, DataFrame]:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from plumbline.functions.numbers import dimension_band, half_up, health_band, percent
 from plumbline.operators import quantiles
 from plumbline.operators.keyed import outlier_fences
-from plumbline.operators.profile import profile_column, profile_columns, top_values
+from plumbline.operators.profile import (
+    profile_column, profile_columns, profile_numeric, profile_text, top_values,
+)
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.sources.tables import catalog_tables, row_counts
 from plumbline.sources.values import literal_rows
@@ -107,3 +109,21 @@ def test_catalog_tables_are_listed(spark):
     counted = row_counts(catalog_tables(spark, "listed")).collect()
     assert [tuple(r) for r in counted] == [("alpha", 5, 1), ("zeta", 3, 1)]
     spark.sql("DROP DATABASE listed CASCADE")
+
+
+def test_profiles_without_such_columns(spark):
+    words = literal_rows(spark, "s string", [("x",)])
+    numbers = literal_rows(spark, "n int", [(1,)])
+    assert profile_numeric(words, "t").count() == profile_text(numbers, "t").count() == top_values(numbers, "t").count() == 0
+    assert profile_numeric(words, "t").columns == profile_numeric(numbers, "t").columns
+    assert profile_text(numbers, "t").columns == profile_text(words, "t").columns
+    assert top_values(numbers, "t").columns == top_values(words, "t").columns
+
+
+def test_profile_of_an_empty_table(spark):
+    empty = literal_rows(spark, "n int, s string", [])
+    for r in profile_columns(empty, "t").collect():
+        assert (r.total_rows, r.null_pct, r.distinct_count, r.uniqueness_pct) == (0, 0.0, 0, 0.0)
+    assert profile_numeric(empty, "t").first().median_value is None
+    said = profile_text(empty, "t").first()
+    assert said.min_length is None and said.avg_length is None

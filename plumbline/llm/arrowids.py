@@ -21,6 +21,7 @@ other in the order of their texts; rows without doc_id come first; an empty tabl
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,11 +43,20 @@ CHARACTERS = 4_000_000
 MARKS = ".,;:!?"
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: itself if it can be seen."""
+    seen = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library; words that were met before are looked up.
 
     The vocabulary drops white space and no token crosses it, so a text's ids are those of its
-    words. Letters and the marks behind them are separate for it too.
+    words. A word of Latin-1 letters alone needs no normalising but lower case and no cutting, so
+    it goes to the library's model as it is, apart from the marks behind it; all others go through
+    the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -57,10 +67,20 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {}
+        self.letters = byte_letters()
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        found, others = {}, []
+        model, code, letters = self.tokenizer.model.tokenize, self.dtype.char, self.letters
+        for word in words:
+            if not word.isalpha() or max(word) > "\xff":
+                others.append(word)
+                continue
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+            found[word] = array(code, [token.id for token in model(shown)]).tobytes()
+        batch = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        found.update((word, array(code, e.ids).tobytes()) for word, e in zip(others, batch, strict=True))
+        return found
 
     def learn(self, words: set[str]) -> None:
         """Ids of all these words are known afterwards."""
@@ -72,12 +92,12 @@ class WordEncoder:
                 continue
             core = word.rstrip(MARKS)
             mark = word[len(core):]
-            if core.isalpha() or not core:
-                parts[word] = (core.lower() if core.isascii() else core, mark)
+            if not core or core.isalpha() and max(core) <= "\xff":
+                parts[word] = (core.lower(), mark)
             else:
                 parts[word] = (word, "")
         new = list({p for pair in parts.values() for p in pair if p and p not in cores})
-        cores.update(zip(new, self._encode(new), strict=True))
+        cores.update(self._encode(new))
         cores[""] = b""
         self.words.update((word, cores[core] + cores[mark]) for word, (core, mark) in parts.items())
 

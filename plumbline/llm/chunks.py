@@ -113,10 +113,11 @@ def with_next(docs: DataFrame, function, schema: str, ranges: int | None = None)
     """Applies function(rows, next_texts) to batches of documents beside the text of the next one.
 
     Next is in descending order of doc_id; behind the last comes the first. `ranges` bounds the
-    number of ranges of doc_id, and with it the rows that go through the driver (one id per range).
+    number of ranges of doc_id, and with it the rows that go through the driver (one id per range);
+    without it there are four for each shuffle partition, so that ranges of long texts spread.
     """
     spark = docs.sparkSession
-    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = texts(docs)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 100 * ranges)).first()[0]

@@ -37,7 +37,7 @@ from plumbline.llm.common import settle, shared_folder, texts
 LENGTH = 1024  # ids of a sequence
 ROWS = 256     # sequences of a record batch
 # Words and characters a worker keeps and encodes at a time.
-CACHED = 500_000
+CACHED = 400_000
 CHARACTERS = 4_000_000
 # Marks that the tokenizer's patterns cut from the letters before them.
 MARKS = ".,;:!?"

@@ -19,13 +19,16 @@ from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from plumbline.llm.common import texts
 
 # Entries a worker keeps of words and of pre-tokens already encoded; full caches start anew.
-CACHED = 400_000
+CACHED = 200_000
+# Documents whose ids are held at a time.
+HELD = 256
 
 
 # Bits of one word of the rank bitmap.
@@ -166,17 +169,18 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path, pattern)
         decimal = [str(i) for i in range(len(bpe.bytes_of))]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = bpe.encode(text)
-                listed = ",".join(map(decimal.__getitem__, ids))
-                row = (doc_id, len(ids), hashlib.sha256(listed.encode()).hexdigest(),
-                       hashlib.sha256(bpe.decode(ids)).hexdigest())
-                rows.append((*row, ids) if with_ids else row)
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = batch["doc_id"].to_numpy()
-            yield out
+            for at in range(0, len(batch), HELD):
+                part, rows = batch.iloc[at:at + HELD], []
+                for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+                    ids = bpe.encode(text)
+                    listed = ",".join(map(decimal.__getitem__, ids))
+                    row = (doc_id, len(ids), hashlib.sha256(listed.encode()).hexdigest(),
+                           hashlib.sha256(bpe.decode(ids)).hexdigest())
+                    rows.append((*row, np.array(ids, np.int32)) if with_ids else row)
+                out = pd.DataFrame(rows, columns=names)
+                out["doc_id"] = part["doc_id"].to_numpy()
+                yield out
 
     return texts(docs).mapInPandas(encoded, schema + (", ids array<int>" if with_ids else ""))

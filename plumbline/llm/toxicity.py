@@ -32,7 +32,7 @@ MIN_TEXTS = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.01
 THRESHOLD = 0.7
 # Words whose hashes a worker keeps.
-CACHED = 500_000
+CACHED = 100_000
 
 WORD = re.compile(r"\w+").findall
 # Odd multipliers that make a pair's hash depend on the order and the distance of its words.

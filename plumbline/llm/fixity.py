@@ -1,7 +1,7 @@
 """Merkle fixity audit of WARC replicas.
 
-A replica is a table of WARC records: file, offset, length and bytes. The leaves of its tree are the
-records; a leaf's hash covers its offset, length and bytes. Above them stand ranges of offsets: node k
+A replica is a table of WARC records: file, offset, length and digest of the bytes. The leaves of its
+tree are the records; a leaf's hash covers its offset, length and digest. Above them stand ranges of offsets: node k
 of level n covers the offsets from k * width * fan^(n-1) on, and hashes its children in order. The top
 level has one node per file, its root.
 
@@ -14,8 +14,8 @@ A range has at most `fan` children, and the lowest ranges hold as many records a
 so no task gathers more than that, whatever the size of a file. Levels are written once, as tables in the
 shared folder.
 
-Defined results: null urls and bodies are empty; records of a file are laid out by page_id, ties by url
-and body; a null page_id is file -1, one file of its own. Files that only one replica has differ as a
+Defined results: null urls and bodies are empty; records of a file are laid out by page_id, ties by
+digest; a null page_id is file -1, one file of its own. Files that only one replica has differ as a
 whole. Empty replicas agree.
 """
 
@@ -31,25 +31,31 @@ PER_FILE = 500   # page ids of a file
 
 
 def warc_records(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
-    """Response records of pages with their place: file, page_id, offset, length, record (binary)."""
+    """Response records of pages: file, page_id, record (binary)."""
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     page = F.col("page_id").cast("long")
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page.cast("string"), F.lit("")),
                     F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
                     F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
-    rows = pages.select(F.coalesce(F.floor(page / per_file), F.lit(-1)).cast("long").alias("file"), page.alias("page_id"),
+    return pages.select(F.coalesce(F.floor(page / per_file), F.lit(-1)).cast("long").alias("file"), page.alias("page_id"),
                         F.concat(head, html, F.lit("\r\n\r\n")).cast("binary").alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
-    before = Window.partitionBy("file").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(
-        "file", "page_id", "offset", "length", "record")
+
+
+def place(records: DataFrame) -> DataFrame:
+    """Records in the order of their file: file, page_id, offset, length, digest of the bytes.
+
+    Only digests are shuffled; the bytes are read where they are.
+    """
+    rows = records.select("file", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+    before = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
 
 class Tree:
     """The levels of a replica's tree, leaves first, written below the shared folder."""
 
     def __init__(self, records: DataFrame, n_levels: int, width: int = WIDTH, fan: int = FAN):
-        leaf = F.sha2(F.concat(F.concat_ws(":", "offset", "length").cast("binary"), F.lit("\n").cast("binary"), F.col("record")), 256)
+        leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest").cast("binary"), 256)
         self.levels = [settle(records.select(
             "file", F.col("offset").alias("node"), F.floor(F.col("offset") / width).alias("above"), "length", leaf.alias("hash")), "fixity-0")]
         for level in range(1, n_levels + 1):
@@ -74,7 +80,7 @@ def audit(first: DataFrame, second: DataFrame, width: int = WIDTH, fan: int = FA
     """The records in which two replicas differ: file, offset, length and status.
 
     The status is `damaged` if both have a record there, `missing` if only the first has, `added` if
-    only the second has. Replicas are tables of file, offset, length and record.
+    only the second has. Replicas are tables of file, offset, length and digest (`place`).
     """
     sizes = [df.agg(F.max(F.col("offset") + F.col("length"))).first()[0] for df in (first, second)]
     n_levels = height(sizes, width, fan)
@@ -93,13 +99,8 @@ def audit(first: DataFrame, second: DataFrame, width: int = WIDTH, fan: int = FA
     return compared.select("file", F.col("node").alias("offset"), F.coalesce("length_0", "length_1").alias("length"), status.alias("status"))
 
 
-def damaged_replica(records: DataFrame, damaged: Column, lost: Column) -> DataFrame:
-    """A replica with faults: one byte of `damaged` records is another, `lost` records are gone.
-
-    Both are conditions on page_id. Places stay as they are, as in a file with a hole.
-    """
-    last = F.expr("substring(record, 1, octet_length(record) - 5)")
-    changed = F.concat(last, F.lit("~").cast("binary"), F.expr("substring(record, octet_length(record) - 3, 4)"))
-    return records.where(~F.coalesce(lost, F.lit(False))).withColumn(
-        "record", F.when(F.coalesce(damaged, F.lit(False)), changed).otherwise(F.col("record")))
-
+def damage(records: DataFrame, damaged: Column) -> DataFrame:
+    """The records of a replica in which one byte of the `damaged` ones is another."""
+    before = F.expr("substring(record, 1, octet_length(record) - 5)")
+    changed = F.concat(before, F.lit("~").cast("binary"), F.expr("substring(record, octet_length(record) - 3, 4)"))
+    return records.withColumn("record", F.when(F.coalesce(damaged, F.lit(False)), changed).otherwise(F.col("record")))

@@ -36,8 +36,8 @@ def op4_simhash(spark: SparkSession, directory: str) -> DataFrame:
 def op5_fixity(spark: SparkSession, directory: str) -> DataFrame:
     """The pages as WARC records, against a replica with damaged and lost records."""
     records = fixity.warc_records(read(spark, directory, "pages"))
-    replica = fixity.damaged_replica(records, F.col("page_id") % 7 == 3, F.col("page_id") % 41 == 5)
-    return fixity.audit(records, replica)
+    replica = fixity.place(fixity.damage(records, F.col("page_id") % 7 == 3))
+    return fixity.audit(fixity.place(records), replica.where("page_id IS NULL OR page_id % 41 <> 5"))
 
 
 def op6_toxicity(spark: SparkSession, directory: str) -> DataFrame:

@@ -70,7 +70,9 @@ SPECIAL = {
          {"parent": "parts", "parent_table": "part", "parent_key": "p_partkey"}),
         ("ORPHAN_REFERENCE", "l_suppkey", orphan("l_suppkey", "supplier", "s_suppkey"),
          {"parent": "suppliers", "parent_table": "supplier", "parent_key": "s_suppkey"}),
-        ("DATE_ORDERING", "l_shipdate", PARENT_DATE, {"start": "orders.o_orderdate"}),
+        ("DATE_ORDERING", "l_shipdate", PARENT_DATE,
+         {"instead": "SELECT * FROM lineitem WHERE l_shipdate < (SELECT max(o_orderdate) FROM orders "
+                     "WHERE o_orderkey = l_orderkey)"}),
     ],
     "events_dirty": [
         ("NEGATIVE_VALUE", "amount", "amount < 0", {}),
@@ -121,7 +123,7 @@ def fill(template: str, table: str, column: str, params: dict) -> str:
     values = {"c": column, "t": table, "noun": NOUNS.get(table, "rows"), "as_of": "2024-06-01", **params}
     for name, value in values.items():
         template = template.replace("{" + name + "}", value)
-    return template.replace("{pattern}", r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\z")
+    return template.replace("{pattern}", r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\z")
 
 
 def _select(table: str, rule: str, column: str, params: dict, n: str, groups: str, source: str, by: str) -> str:
@@ -129,7 +131,7 @@ def _select(table: str, rule: str, column: str, params: dict, n: str, groups: st
     ordinal = COLUMNS.get(table, []).index(column) if column in COLUMNS.get(table, []) else 0
     texts = ", ".join(
         f"{quote(fill(t, table, column, params))} AS {name}"
-        for t, name in ((r.description, "d"), (r.impact, "impact"), (r.action, "action"), (r.remediation, "fix"))
+        for t, name in ((r.description, "d"), (r.impact, "impact"), (r.action, "action"), (params.get("instead", r.remediation), "fix"))
     )
     key = f"{by} AS scan_date, " if by else ""
     group = f" GROUP BY {by}" if by else ""
@@ -156,7 +158,7 @@ def count_selects(table: str, names=None, unit: str | None = None, declared: boo
         inner = (f"(SELECT *, CASE WHEN {present} THEN count(*) OVER (PARTITION BY {parts}) END AS copies "
                  f"FROM {table} t) t")
         distinct = f"count(DISTINCT ({', '.join(key)})) FILTER (WHERE copies > 1)"
-        selects.append(_select(table, "DUPLICATE_KEY", ", ".join(key), {},
+        selects.append(_select(table, "DUPLICATE_KEY", ", ".join(key), {"present": present},
                                "count(*) FILTER (WHERE copies > 1)", distinct, inner, by))
     if declared and (names is None or "DUPLICATE_ROW" in names):
         columns = ", ".join(COLUMNS[table])

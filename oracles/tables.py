@@ -110,6 +110,19 @@ def blank_to_null(c: str) -> str:
     return null_if(f"trim({c}, ' ') = ''", c)
 
 
+def repeated(table: str, key: str) -> str:
+    """The key values of a table that stand more than once."""
+    present = " AND ".join(f"{c} IS NOT NULL" for c in key.split(", "))
+    return f"FROM (SELECT {key} FROM {table} WHERE {present} GROUP BY {key} HAVING count(*) > 1)"
+
+
+def counted(sources) -> str:
+    """The rows of each (table, column, rule, source)."""
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{column}' AS column_name, '{rule}' AS rule_name, count(*) AS n_rows {source}"
+        for table, column, rule, source in sources)
+
+
 TABLES = {
     "table_row_counts": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS row_count, {WIDTHS[t]} AS column_count FROM {t}" for t in BASE),
@@ -124,9 +137,46 @@ TABLES = {
     "profile_text": profile_text(),
     "profile_top_values": profile_top_values(),
     "violations_duplicates": duplicates(),
-    "violations_orphans": with_views(
-        "SELECT order_id, customer_id FROM orders_dirty WHERE customer_id IS NOT NULL AND customer_id NOT IN "
-        "(SELECT customer_id FROM customer_dirty WHERE customer_id IS NOT NULL)"),
+    "violations_orphans": with_views(" UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{column}' AS column_name, concat_ws(', ', {key}) AS key_value, "
+        f"CAST({column} AS VARCHAR) AS reference FROM {table} WHERE {column} IS NOT NULL AND {column} NOT IN "
+        f"(SELECT {parent_key} FROM {parent} WHERE {parent_key} IS NOT NULL)"
+        for table, key, column, parent, parent_key in (
+            ("orders_dirty", "order_id", "customer_id", "customer_dirty", "customer_id"),
+            ("lineitem", "l_orderkey, l_linenumber", "l_orderkey", "orders", "o_orderkey"),
+            ("lineitem", "l_orderkey, l_linenumber", "l_partkey", "part", "p_partkey"),
+            ("lineitem", "l_orderkey, l_linenumber", "l_suppkey", "supplier", "s_suppkey")))),
+    "remediation_selects": with_views(counted((
+        ("customer_dirty", "customer_id", "DUPLICATE_KEY", repeated("customer_dirty", "customer_id")),
+        ("lineitem", "l_orderkey, l_linenumber", "DUPLICATE_KEY", repeated("lineitem", "l_orderkey, l_linenumber")),
+        ("orders_dirty", "order_id", "DUPLICATE_KEY", repeated("orders_dirty", "order_id")),
+        ("part_dirty", "product_id", "DUPLICATE_KEY", repeated("part_dirty", "product_id")),
+        ("orders_dirty", "customer_id", "ORPHAN_REFERENCE", "FROM orders_dirty o LEFT JOIN (SELECT DISTINCT customer_id FROM "
+         "customer_dirty) c USING (customer_id) WHERE o.customer_id IS NOT NULL AND c.customer_id IS NULL"),
+        ("lineitem", "l_orderkey", "ORPHAN_REFERENCE", "FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey"),
+        ("lineitem", "l_partkey", "ORPHAN_REFERENCE", "FROM lineitem ANTI JOIN part ON l_partkey = p_partkey"),
+        ("lineitem", "l_suppkey", "ORPHAN_REFERENCE", "FROM lineitem ANTI JOIN supplier ON l_suppkey = s_suppkey"),
+        ("lineitem", "l_shipdate", "DATE_ORDERING", "FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+         "WHERE l_shipdate < o_orderdate"),
+        ("part_dirty", "cost_price", "COST_EXCEEDS_PRICE", "FROM part_dirty WHERE cost_price > unit_price")))),
+    "remediation_where": with_views(counted((
+        *((t, c, "BLANK_STRING", f"FROM {t} WHERE {c} IS NOT NULL AND length(trim({c}, ' ')) = 0") for t in TEXT for c in TEXT[t]
+          if t != "events_dirty"),
+        *((t, c, "WHITESPACE", f"FROM {t} WHERE {c} LIKE ' %' OR {c} LIKE '% '") for t in TEXT for c in TEXT[t] if t != "events_dirty"),
+        ("customer_dirty", "email", "EMAIL_FORMAT", f"FROM customer_dirty WHERE {BAD_EMAIL}"),
+        *((t, c, "NEGATIVE_VALUE", f"FROM {t} WHERE {c} < 0") for t, c in (
+            ("customer_dirty", "account_score"), ("orders_dirty", "quantity"), ("orders_dirty", "unit_price"),
+            ("orders_dirty", "total_amount"), ("part_dirty", "unit_price"), ("part_dirty", "cost_price"),
+            ("lineitem", "l_quantity"), ("lineitem", "l_extendedprice"))),
+        ("customer_dirty", "date_of_birth", "FUTURE_DATE", f"FROM customer_dirty WHERE date_of_birth > {AS_OF}"),
+        ("orders_dirty", "order_date", "FUTURE_DATE", f"FROM orders_dirty WHERE order_date > {AS_OF}"),
+        ("customer_dirty", "segment", "INVALID_CATEGORY", f"FROM customer_dirty WHERE segment NOT IN ({SEGMENTS})"),
+        ("orders_dirty", "order_status", "INVALID_CATEGORY", "FROM orders_dirty WHERE order_status NOT IN ('F', 'O', 'P')"),
+        ("part_dirty", "category", "INVALID_CATEGORY", "FROM part_dirty WHERE category NOT IN "
+         "('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD')"),
+        ("orders_dirty", "delivery_date", "DATE_ORDERING", "FROM orders_dirty WHERE delivery_date < order_date"),
+        ("orders_dirty", "total_amount", "AMOUNT_MISMATCH",
+         "FROM orders_dirty WHERE abs(total_amount - quantity * unit_price) > 0.01")))),
     "violations_cost": with_views(
         "SELECT product_id, product_name, cost_price, unit_price FROM part_dirty WHERE cost_price > unit_price"),
     "rows_at_risk_distinct": at_risk(),
@@ -157,7 +207,14 @@ TABLES = {
     "fix_dedup": with_views(
         f"SELECT {ORDER_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY order_date, "
         "customer_id NULLS FIRST, delivery_date) AS rn FROM orders_dirty) x WHERE rn = 1 OR order_id IS NULL"),
-    "fix_rollback": with_views("SELECT customer_id, name, email, segment FROM customer_dirty"),
+    "fix_rollback": with_views(" UNION ALL ".join(
+        f"SELECT '{version}' AS version, customer_id, {name} AS name, {email} AS email, {segment} AS segment, "
+        f"{name} <> trim({name}, ' ') AS is_padded FROM customer_dirty"
+        for version, name, email, segment in (
+            ("original", "name", "email", "segment"),
+            ("fixed", "trim(name, ' ')", "CASE WHEN trim(email, ' ') <> '' THEN trim(email, ' ') END",
+             f"CASE WHEN segment IN ({SEGMENTS}) THEN segment END"),
+            ("restored", "name", "email", "segment")))),
     "stream_dedup": with_views(
         "SELECT event_id, ts, user_id, event_type, amount FROM (SELECT *, row_number() OVER "
         "(PARTITION BY event_id) AS rn FROM events_dirty) x WHERE rn = 1"),

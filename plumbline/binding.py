@@ -24,6 +24,11 @@ def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def sql_escaped(text: str) -> str:
+    """A text as it stands between single quotes in Spark SQL."""
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
 @dataclass(frozen=True)
 class ForeignKey:
     column: str
@@ -108,6 +113,7 @@ class BoundRule:
     def text(self, template: str) -> str:
         """Fill in everything known before the data is read; {n}, {pct} and {groups} stay."""
         known = {"c": self.column, "t": self.table, **self.texts}
+        template = self.texts.get("instead", template) if template == self.rule.remediation else template
         for name, value in known.items():
             template = template.replace("{" + name + "}", value)
         return template
@@ -144,10 +150,11 @@ def bind(
         add_simple("BLANK_STRING", c, p.is_blank)
     key = key_columns(schema, binding)
     if key:
-        add("DUPLICATE_KEY", ", ".join(key) if len(key) > 1 else key[0], detail=key)
+        add("DUPLICATE_KEY", ", ".join(key) if len(key) > 1 else key[0], detail=key,
+            present=" AND ".join(f"{c} IS NOT NULL" for c in key))
     for c in schema.names:
         if EMAIL_KEYWORD in c.upper():
-            add_simple("EMAIL_FORMAT", c, p.is_bad_email, pattern=p.EMAIL_PATTERN)
+            add_simple("EMAIL_FORMAT", c, p.is_bad_email, pattern=sql_escaped(p.EMAIL_PATTERN))
     for c in schema.names:
         if isinstance(types[c], T.NumericType) and any(k in c.upper() for k in NUMERIC_KEYWORDS):
             add_simple("NEGATIVE_VALUE", c, p.is_negative)
@@ -157,7 +164,7 @@ def bind(
     for c, values in binding.allowed.items():
         if c in types:
             add_simple("INVALID_CATEGORY", c, p.is_not_allowed, tuple(values),
-                       allowed=", ".join(f"'{v}'" for v in values))
+                       allowed=", ".join(f"'{sql_escaped(v)}'" for v in values))
     for c in text_columns:
         add_simple("WHITESPACE", c, p.is_padded)
     for fk in binding.foreign_keys:
@@ -167,7 +174,10 @@ def bind(
         add("DATE_ORDERING", end, lambda get, s=start, e=end: p.is_out_of_order(get(s), get(e)),
             (start, end), (start, end), start=start)
     for link in binding.parent_dates:
-        add("DATE_ORDERING", link.column, detail=link, start=f"{link.parent_table}.{link.parent_column}")
+        # Dates of two tables can't be swapped by one statement, so the rows are listed.
+        add("DATE_ORDERING", link.column, detail=link, instead=(
+            f"SELECT * FROM {{t}} WHERE {{c}} < (SELECT max({link.parent_column}) FROM {link.parent_table} "
+            f"WHERE {link.parent_key} = {link.foreign_key})"))
     for total, quantity, price in binding.amounts:
         add("AMOUNT_MISMATCH", total,
             lambda get, t=total, q=quantity, u=price: p.is_amount_off(get(t), get(q), get(u)),

@@ -142,9 +142,48 @@ def _duplicates(ws: Workspace) -> DataFrame:
 
 
 def _orphans(ws: Workspace) -> DataFrame:
-    fk = ws.binding("orders_dirty").foreign_keys[0]
-    rows = violations.orphan_rows(ws.tables["orders_dirty"], fk, ws.tables[fk.parent_table], ["order_id"])
-    return rows.select("order_id", "customer_id")
+    """The rows behind every bound reference, by the key of their table."""
+    found = []
+    for name in SCANNED:
+        for fk in ws.binding(name).foreign_keys:
+            rows = violations.orphan_rows(ws.tables[name], fk, ws.tables[fk.parent_table], ws.key(name))
+            key = F.concat_ws(", ", *[col(c).cast("string") for c in ws.key(name)])
+            found.append(rows.select(F.lit(name).alias("table_name"), F.lit(fk.column).alias("column_name"),
+                                     key.alias("key_value"), col(fk.column).cast("string").alias("reference")))
+    return _union(found)
+
+
+def _statements(ws: Workspace) -> list[tuple]:
+    """Every bound rule's remediation, as it is printed."""
+    return [(b, text) for b in ws.bound(SCANNED)
+            if (text := b.text(b.rule.remediation)) and not text.startswith("--")]
+
+
+def _counted(ws: Workspace, wanted: list[tuple]) -> DataFrame:
+    """Runs SELECT statements as a user would, each over the tables it names."""
+    names = {t for b, _ in wanted for t in (b.table, *(fk.parent_table for fk in ws.binding(b.table).foreign_keys))}
+    for name in names:
+        ws.tables[name].createOrReplaceTempView(name)
+    try:
+        return _union([
+            ws.spark.sql(statement).agg(F.count(F.lit(1)).alias("n_rows")).select(
+                F.lit(b.table).alias("table_name"), F.lit(b.column).alias("column_name"),
+                F.lit(b.rule.name).alias("rule_name"), "n_rows")
+            for b, statement in wanted])
+    finally:
+        for name in names:
+            ws.spark.catalog.dropTempView(name)
+
+
+def _remediation_selects(ws: Workspace) -> DataFrame:
+    """How many rows each printed SELECT returns."""
+    return _counted(ws, [(b, text) for b, text in _statements(ws) if text.startswith("SELECT")])
+
+
+def _remediation_where(ws: Workspace) -> DataFrame:
+    """How many rows each printed UPDATE would change."""
+    updates = [(b, text) for b, text in _statements(ws) if text.startswith("UPDATE")]
+    return _counted(ws, [(b, f"SELECT 1 FROM {b.table} WHERE {text.split(' WHERE ', 1)[1]}") for b, text in updates])
 
 
 def _losses(ws: Workspace) -> DataFrame:
@@ -194,7 +233,13 @@ def _rollback(ws: Workspace) -> DataFrame:
     original = store.write_snapshot("customer_dirty", "v1", ws.tables["customer_dirty"])
     store.write_snapshot("customer_dirty", "v2", fixes.apply_fixes(
         original, fixes.safe_rules(ws.bound(["customer_dirty"]))))
-    return store.read_snapshot("customer_dirty", "v1").select("customer_id", "name", "email", "segment")
+    versions = [("original", "v1"), ("fixed", "v2"), ("restored", "v1")]
+    trimmed = F.trim(F.col("name"))
+    return _union([
+        store.read_snapshot("customer_dirty", folder).select(
+            F.lit(name).alias("version"), "customer_id", "name", "email", "segment",
+            (F.col("name") != trimmed).alias("is_padded"))
+        for name, folder in versions])
 
 
 def _remediations(ws: Workspace) -> DataFrame:
@@ -239,8 +284,9 @@ def _stream_rule_counts(spark: SparkSession, directory: str) -> DataFrame:
 
 def _stream_dedup(spark: SparkSession, directory: str) -> DataFrame:
     ws = open_workspace(spark, directory)
-    first = monitors.first_occurrences(_event_stream(ws, directory), ["event_id"])
-    return monitors.run_to_table(first.drop(monitors.EVENT_TIME), shared_folder(spark, "stream-dedup"))
+    raw = monitors.read_stream(spark, directory, "events", ws.tables["events"].schema)
+    first = monitors.first_occurrences(dirty_events(raw), ["event_id"])
+    return monitors.run_to_table(first, shared_folder(spark, "stream-dedup"))
 
 
 def _stream_orphans(spark: SparkSession, directory: str) -> DataFrame:
@@ -304,6 +350,8 @@ QUERIES: dict[str, Query] = {
     # offending rows
     "violations_duplicates": on_workspace(_duplicates),
     "violations_orphans": on_workspace(_orphans),
+    "remediation_selects": on_workspace(_remediation_selects),
+    "remediation_where": on_workspace(_remediation_where),
     "violations_cost": on_workspace(_losses),
     # scans, issues, scores
     "scan_issues": on_scan(lambda done: issue_ops.issue_report(done.issues)),

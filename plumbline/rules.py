@@ -32,7 +32,7 @@ RULES = (
          "UPDATE {t} SET {c} = NULL WHERE trim({c}) = ''", "BLANK_STRING_CHECK"),
     Rule(3, "DUPLICATE_KEY", "UNIQUENESS", "CRITICAL", "HIGH", 99.9,
          "{groups} duplicate {c} values ({n} rows)", "Duplicates cause double-counting", "Deduplicate records",
-         "SELECT {c}, count(*) FROM {t} GROUP BY {c} HAVING count(*) > 1", "DUPLICATE_CHECK"),
+         "SELECT {c}, count(*) FROM {t} WHERE {present} GROUP BY {c} HAVING count(*) > 1", "DUPLICATE_CHECK"),
     Rule(4, "EMAIL_FORMAT", "VALIDITY", "HIGH", "MEDIUM", 95.0,
          "{n} invalid emails in {c}", "Bad emails block communication", "Flag invalid emails",
          "UPDATE {t} SET {c} = NULL WHERE trim({c}) <> '' AND NOT {c} RLIKE '{pattern}'", "EMAIL_FORMAT"),
@@ -50,7 +50,8 @@ RULES = (
          "UPDATE {t} SET {c} = trim({c}) WHERE {c} <> trim({c})", "WHITESPACE_CHECK"),
     Rule(9, "ORPHAN_REFERENCE", "INTEGRITY", "CRITICAL", "HIGH", 99.9,
          "{n} {noun} reference missing {parent}", "Orphans break revenue attribution", "Backfill or flag",
-         "SELECT * FROM {t} WHERE {c} NOT IN (SELECT {parent_key} FROM {parent_table})", "REFERENTIAL_INTEGRITY"),
+         "SELECT * FROM {t} WHERE {c} NOT IN (SELECT {parent_key} FROM {parent_table} WHERE {parent_key} IS NOT NULL)",
+         "REFERENTIAL_INTEGRITY"),
     Rule(10, "DATE_ORDERING", "VALIDITY", "HIGH", "MEDIUM", 95.0,
          "{n} {noun} delivered before ordered", "Impossible dates hurt logistics", "Swap or flag",
          "UPDATE {t} SET {c} = {start}, {start} = {c} WHERE {c} < {start}", "DATE_ORDERING"),

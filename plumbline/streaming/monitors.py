@@ -20,13 +20,15 @@ from plumbline.plans.scan import Workspace, scan
 
 EVENT_TIME = "event_time"
 WATERMARK = "1 hour"
+# What one micro-batch takes at most, but for a single larger file.
+BATCH_BYTES = 8 << 30
 
 
 def read_stream(spark: SparkSession, directory: str, name: str, schema: StructType) -> DataFrame:
     """A table as a stream of its files, whether it is one Parquet file or a folder of them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/{name}.parquet")
     status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES)
     if status.isDirectory():
         return reader.parquet(f"{directory}/{name}.parquet")
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(directory)
@@ -56,9 +58,16 @@ def window_counts(stream: DataFrame, rules: Sequence[BoundRule], window: str = "
     return branches[0].withColumn("window_start", without_zone("window.start")).drop("window", "phase")
 
 
-def first_occurrences(stream: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Drops rows whose key was seen within the watermark; state does not outgrow it."""
-    return stream.dropDuplicatesWithinWatermark(list(key))
+def first_occurrences(stream: DataFrame, key: Sequence[str], within_watermark: bool = False) -> DataFrame:
+    """Drops rows whose key was seen before, in whatever order rows arrive.
+
+    The keys seen are kept in the state store, off the heap and in the checkpoint. A stream with a
+    watermark loses rows that arrive behind it, so only `within_watermark` takes one: it keeps the
+    keys of that time and no others, and is for streams that are known to be no later.
+    """
+    if within_watermark:
+        return stream.dropDuplicatesWithinWatermark(list(key))
+    return stream.dropDuplicates(list(key))
 
 
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:

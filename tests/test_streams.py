@@ -71,10 +71,21 @@ def test_first_occurrences_across_arrivals(spark, ws, arriving):
         arrive(i)
         stream = monitors.with_event_time(stream_of(ws, folder), "ts", watermark="60 days")
         kept = monitors.run_to_table(
-            monitors.first_occurrences(stream, ["event_id"]).select("event_id"), out)
+            monitors.first_occurrences(stream, ["event_id"], within_watermark=True).select("event_id"), out)
     assert rows(kept) == rows(ws.tables["events"], "event_id")
 
 
+def test_first_occurrences_that_arrive_late_are_kept(spark, tmp_path):
+    """200 ids one hour apart, in two files of which the newest arrives first."""
+    out, landing = shared_folder(spark, "late"), str(tmp_path / "landing")
+    ids = spark.range(200).selectExpr("id AS event_id", "timestampadd(HOUR, CAST(id AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00') AS ts")
+    for part in ("event_id >= 100", "event_id < 110"):
+        ids.where(part).coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(ids.schema).parquet(landing)
+        kept = monitors.run_to_table(monitors.first_occurrences(stream, ["event_id"]), out)
+    assert rows(kept, "event_id") == sorted(((i,) for i in range(200)), key=repr)
+
+
 def test_health_row_per_batch(spark, ws, arriving):
     folder, arrive = arriving
     out = shared_folder(spark, "health")

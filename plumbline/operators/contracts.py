@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -13,6 +14,7 @@ from plumbline.schemas import QUALITY_CONTRACTS
 from plumbline.sources.values import literal_rows
 
 NAME_LENGTH = 100
+_SUBQUERY = re.compile(r"\(\s*(select|with)\b", re.IGNORECASE).search
 PASSING, VIOLATED, CANNOT_EVALUATE = "PASSING", "VIOLATIONS", "CANNOT EVALUATE"
 
 
@@ -33,10 +35,18 @@ def active_contracts(contracts: DataFrame) -> DataFrame:
     return contracts.where("is_active").orderBy(F.desc("created_at"), F.desc("contract_id"))
 
 
+def _violations(predicate: str):
+    """The count of rows for which a predicate holds. A line feed ends a comment in the text."""
+    return F.count_if(F.expr(f"(\n{predicate}\n)"))
+
+
 def _is_valid(df: DataFrame, predicate: str) -> bool:
-    """Whether the text is one boolean expression over the table's columns. Runs nothing."""
+    """Whether the text is one boolean expression over the columns of a row, as it is going to be
+    counted: aggregates, windows and subqueries are refused. Runs nothing."""
     try:
-        return isinstance(df.select(F.expr(predicate)).schema[0].dataType, T.BooleanType)
+        boolean = isinstance(df.select(F.expr(f"(\n{predicate}\n)")).schema[0].dataType, T.BooleanType)
+        # Only an expression over single rows can be a filter and be counted.
+        return boolean and bool(df.where(F.expr(predicate)).agg(_violations(predicate)).columns) and not _SUBQUERY(predicate)
     except PySparkException:
         return False
 
@@ -45,7 +55,7 @@ def _outcome(rows: Sequence[Row], tables: Mapping[str, DataFrame]) -> DataFrame:
     branches = []
     for name in sorted({r.table_name for r in rows}):
         own = [r for r in rows if r.table_name == name]
-        counts = [F.count_if(F.expr(f"({r.generated_sql_check})")).alias(f"v_{r.contract_id}") for r in own]
+        counts = [_violations(r.generated_sql_check).alias(f"v_{r.contract_id}") for r in own]
         wide = tables[name].agg(*counts)
         branches.append(wide.select(F.inline(F.array(*[
             F.struct(F.lit(r.contract_id).alias("contract_id"), F.col(f"v_{r.contract_id}").alias("violations"))

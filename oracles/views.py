@@ -9,7 +9,7 @@ WITH b AS (SELECT
  CASE WHEN c_custkey % 101 = 0 THEN NULL WHEN c_custkey % 97 = 0 THEN '' WHEN c_custkey % 89 = 0 THEN '   '
       WHEN c_custkey % 83 = 0 THEN 'not-an-email' WHEN c_custkey % 79 = 0 THEN 'missing@'
       ELSE concat('user', CAST(c_custkey AS VARCHAR(20)), '@example.com') END AS email,
- CASE WHEN c_custkey % 73 = 0 THEN 'bad' ELSE concat('+91-7', lpad(CAST(c_custkey AS VARCHAR(20)), 9, '0')) END AS phone,
+ CASE WHEN c_custkey % 73 = 0 THEN 'bad' ELSE concat('+91-7', lpad(CAST(c_custkey AS VARCHAR(20)), greatest(9, length(CAST(c_custkey AS VARCHAR(20))))::INTEGER, '0')) END AS phone,
  CASE WHEN c_custkey % 61 = 0 THEN 'UNKNOWN' WHEN c_custkey % 47 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS segment,
  CASE WHEN c_custkey % 211 = 0 THEN DATE '2030-01-01' ELSE DATE '1990-01-01' END AS date_of_birth,
  c_acctbal AS account_score FROM customer)

@@ -1,4 +1,4 @@
-"""Session defaults for the engine; a cluster's own settings always win."""
+"""Session defaults for the engine; what a cluster or a running session has set always wins."""
 
 from __future__ import annotations
 
@@ -23,6 +23,13 @@ def get_session(app_name: str = "plumbline", master: str | None = None, **conf)
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    running = SparkSession.getActiveSession()
+    # The submit flags and the defaults file, as the JVM read them, or a running session's own.
+    spark = running or builder.getOrCreate()
+    launched = spark.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if key not in conf and not launched.contains(key) and spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+    return spark

@@ -31,8 +31,8 @@ def dirty_customers(customer: DataFrame) -> DataFrame:
         .when(_every(k, 79), "missing@")
         .otherwise(F.concat(F.lit("user"), text_key, F.lit("@example.com")))
     )
-    # Keys beyond nine digits are longer than the padding, which would cut them.
-    phone = F.concat(F.lit("+91-7"), F.lpad(text_key, 9, "0"))
+    # Padded to nine digits; longer keys stay whole.
+    phone = F.concat(F.lit("+91-7"), F.lpad(text_key, F.greatest(F.lit(9), F.length(text_key)), F.lit("0")))
     dirty = customer.select(
         F.when(~_every(k, 500, 7), k).alias("customer_id"),
         F.when(_every(k, 53), F.concat(F.lit("  "), "c_name", F.lit(" "))).otherwise(col("c_name")).alias("name"),

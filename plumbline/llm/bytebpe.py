@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from plumbline.llm.common import texts
 
 # Entries a worker keeps of words and of pre-tokens already encoded; full caches start anew.
-CACHED = 200_000
+CACHED = 300_000
 # Documents whose ids are held at a time.
 HELD = 256
 

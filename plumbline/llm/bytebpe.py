@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 
 from plumbline.llm.common import texts
 
-# Entries a worker keeps of words and of pre-tokens already encoded; full caches start anew.
-CACHED = 300_000
+# Words and pre-tokens whose ids a worker keeps; a full cache starts anew. A word that is lost costs
+# a cut into pre-tokens, a pre-token that is lost costs its merges.
+WORDS, PRETOKENS = 200_000, 550_000
 # Documents whose ids are held at a time.
 HELD = 256
 
@@ -39,12 +40,12 @@ BITS = [1 << k for k in range(WORD)]
 class _Cache(dict):
     """Results by key; a missing one is computed."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, most: int):
         super().__init__()
-        self.compute = compute
+        self.compute, self.most = compute, most
 
     def __missing__(self, key):
-        if len(self) >= CACHED:
+        if len(self) >= self.most:
             self.clear()
         value = self[key] = self.compute(key)
         return value
@@ -66,8 +67,8 @@ class ByteBpe:
         self.waiting = [0] * (len(self.bytes_of) // WORD + 1)
         self.cut = regex.compile(pattern).findall
         self.apart = regex.compile(r"\s ").search
-        self.pretokens = _Cache(lambda pretoken: self.merge(pretoken.encode()))
-        self.words = _Cache(lambda word: self._cut_and_merge(" " + word))
+        self.pretokens = _Cache(lambda pretoken: self.merge(pretoken.encode()), PRETOKENS)
+        self.words = _Cache(lambda word: self._cut_and_merge(" " + word), WORDS)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token. The queue's operations stand inline: calls would cost more."""

@@ -278,6 +278,34 @@ def test_bpe_of_long_and_odd_pretokens(library):
         assert own.decode(own.encode(text)) == text.encode()
 
 
+def brute_merge(ranks, piece):
+    """Whole pieces first, then always the leftmost pair of the lowest rank."""
+    parts = [piece] if piece in ranks else [piece[i:i + 1] for i in range(len(piece))]
+    while True:
+        ranked = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not ranked:
+            return [ranks[part] for part in parts]
+        i = min(ranked)[1]
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("sizes", [(5, 20, 7), (50, 1, 1), (10_000, 10_000, 10_000)])
+def test_bpe_of_vocabularies_in_any_order(monkeypatch, sizes):
+    """Merges that make pairs of lower ranks, repeated letters, and caches that start anew."""
+    for name, size in zip(("PRETOKENS", "HELD", "MERGED"), sizes):
+        monkeypatch.setattr(bytebpe, name, size)
+    rng = random.Random(9)
+    for _ in range(60):
+        tokens = {bytes(rng.choices(b"abc\xff", (5, 4, 2, 1), k=rng.randint(2, 6))) for _ in range(40)}
+        listed = [*(bytes([b]) for b in range(256)), *rng.sample(sorted(tokens), len(tokens))]
+        ranks = {token: rank for rank, token in enumerate(listed)}
+        own = bytebpe.ByteBpe(ranks, r"\S+|\s+")
+        texts = [" ".join("".join(rng.choices("abcé", (6, 4, 2, 1), k=rng.randint(0, 25))) for _ in range(rng.randint(0, 6))) for _ in range(12)]
+        want = [[i for piece in re.findall(r"\S+|\s+", text) for i in brute_merge(ranks, piece.encode())] for text in texts]
+        assert list(own.encode_all(texts)) == want
+        assert [own.decode(ids).decode() for ids in want] == texts
+
+
 # Chat
 
 def test_layouts_become_canonical_turns(spark):

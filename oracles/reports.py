@@ -131,18 +131,17 @@ def one_log() -> str:
     return with_views(query, before, SCORED, BIRTH_FIXED, after, SCORED_AFTER)
 
 
-# -- history: every year of the fact tables scanned by itself --
-def periods(unit: str, *tables: str) -> tuple[str, str, str]:
-    selects = selects_of(tables, unit=unit)
-    past = f"past AS (SELECT * FROM scored WHERE scan_date <= DATE '2024-06-01')"
-    return graded(selects), scores(by="table_name, scan_date"), past
+# -- history: every period of the fact tables scanned by itself, all other rows today --
+def periods(unit: str, *tables: str, later_today: bool = True) -> tuple[str, str]:
+    selects = selects_of(tables, unit=unit, later_today=later_today)
+    return graded(selects), scores(by="table_name, scan_date")
 
 
-YEARS = periods("year", "lineitem", "orders_dirty")
+YEARS = periods("year", *SCANNED)
 PERIOD_ID = "'SCAN_' || strftime(scan_date, '%Y%m%d') || '_000000_' || table_name"
 HISTORY = f"""history AS (SELECT {PERIOD_ID} AS scan_id, scan_date, 'warehouse' AS database_name,
  'quality' AS schema_name, table_name, {HEALTH}, {SCORES_AS_DOUBLE}, issues_found AS total_issues, critical_issues,
- rows_at_risk, CAST(scan_date AS TIMESTAMP) AS recorded_at FROM past)"""
+ rows_at_risk, CAST(scan_date AS TIMESTAMP) AS recorded_at FROM scored)"""
 LATEST = "latest AS (SELECT * FROM history WHERE scan_date = (SELECT max(scan_date) FROM history))"
 
 
@@ -188,8 +187,8 @@ TRUST_DELTA = f"""SELECT min(scan_date) AS first_date, max(scan_date) AS last_da
  arg_max(issues, scan_date) AS issues, arg_max(rows_at_risk, scan_date) AS rows_at_risk,
  {rounded(units('arg_max(score, scan_date)', 'arg_min(score, scan_date)'))} AS delta FROM trend"""
 
-MONTHS = periods("month", "lineitem", "orders_dirty")
-ORDER_MONTHS = periods("month", "orders_dirty")
+MONTHS = periods("month", *SCANNED)
+ORDER_MONTHS = periods("month", "orders_dirty", later_today=False)
 
 CONTRACT_ROWS = """contracts AS (SELECT * FROM (VALUES
  (1, 'orders_dirty', 'Order quantity must be positive', 'quantity <= 0', 'HIGH', TIMESTAMP '2024-05-01 09:00:00',
@@ -204,7 +203,13 @@ CONTRACT_ROWS = """contracts AS (SELECT * FROM (VALUES
   (SELECT count(*) FROM lineitem WHERE l_linenumber < 1)),
  (6, 'lineitem', 'Discounts stay below ten percent', 'l_discount >= 0.1', 'MEDIUM', TIMESTAMP '2024-05-06 09:00:00',
   (SELECT count(*) FROM lineitem WHERE l_discount >= CAST(0.1 AS DOUBLE))),
- (8, 'orders_dirty', 'Refers to a column that is gone', 'no_such_column > 1', 'LOW', TIMESTAMP '2024-05-08 09:00:00', NULL)
+ (8, 'orders_dirty', 'Refers to a column that is gone', 'no_such_column > 1', 'LOW', TIMESTAMP '2024-05-08 09:00:00', NULL),
+ (9, 'orders_dirty', 'Carries a comment', 'quantity <= 0 -- zero counts too', 'LOW', TIMESTAMP '2024-05-09 09:00:00',
+  (SELECT count(*) FROM orders_dirty WHERE quantity <= 0)),
+ (10, 'orders_dirty', 'Counts rows instead of testing one', 'count(1) > 0', 'LOW', TIMESTAMP '2024-05-10 09:00:00', NULL),
+ (11, 'orders_dirty', 'Looks at other rows', 'row_number() OVER (ORDER BY order_id) > 1', 'LOW',
+  TIMESTAMP '2024-05-11 09:00:00', NULL),
+ (12, 'orders_dirty', 'Divides by zero', '10 / (quantity - quantity) > 1', 'LOW', TIMESTAMP '2024-05-12 09:00:00', NULL)
  ) v(contract_id, table_name, natural_language_rule, generated_sql_check, severity, created_at, violations))"""
 
 HEALTH_BAND = ("CASE WHEN health_score >= 85 THEN 'green' WHEN health_score >= 70 THEN 'blue' "
@@ -226,9 +231,8 @@ CONTEXT = f"""SELECT issues, critical, top_issues, scores,
 
 
 def context() -> str:
-    yearly = graded(selects_of(("lineitem", "orders_dirty"), unit="year"), "yearly")
-    return with_views(
-        CONTEXT, SCAN, yearly, scores("yearly", "table_name, scan_date"), YEARS[2], HISTORY)
+    yearly = graded(selects_of(SCANNED, unit="year"), "yearly")
+    return with_views(CONTEXT, SCAN, yearly, scores("yearly", "table_name, scan_date"), HISTORY)
 
 
 STREAM_COUNTS = " UNION ALL ".join(
@@ -296,7 +300,7 @@ REPORTS = {
         "CAST(CAST(round(health_score * 10) AS BIGINT) - CAST(round(previous_score * 10) AS BIGINT) AS DOUBLE) / 10 "
         f"AS change FROM (SELECT table_name, scan_date, total_rows, issues_found, rows_at_risk, {HEALTH}, "
         "CAST(lag(scored.health_score) OVER (PARTITION BY table_name ORDER BY scan_date) AS DOUBLE) AS previous_score "
-        "FROM scored) x", *ORDER_MONTHS[:2]),
+        "FROM scored) x", *ORDER_MONTHS),
     "history_latest": on_history("SELECT * FROM latest"),
     "history_latest_per_table": on_history(
         "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY scan_date DESC, "
@@ -314,7 +318,7 @@ REPORTS = {
     "trust_change": on_history(TRUST_CHANGE, trend(6)),
     "audit_scans": with_views(
         f"SELECT {PERIOD_ID} AS scan_id, CAST(scan_date AS TIMESTAMP) AS scan_timestamp, table_name, total_rows, "
-        f"issues_found, critical_issues, {HEALTH}, 'DEEP' AS scan_type FROM past "
+        f"issues_found, critical_issues, {HEALTH}, 'DEEP' AS scan_type FROM scored "
         "ORDER BY scan_timestamp DESC, scan_id LIMIT 50", *MONTHS),
     "contracts_eval": with_views(
         "SELECT contract_id, table_name, natural_language_rule, severity, created_at, violations, "

@@ -143,9 +143,19 @@ def _select(table: str, rule: str, column: str, params: dict, n: str, groups: st
     )
 
 
-def count_selects(table: str, names=None, unit: str | None = None, declared: bool = False) -> list[str]:
+def period(table: str, unit: str, later_today: bool) -> str:
+    """The scan that a row belongs to; rows of no past period may belong to the scan of today."""
+    if table not in PERIOD_COLUMN:
+        return f"CASE WHEN t.{KEYS[table][0]} IS NULL THEN {AS_OF} ELSE {AS_OF} END"
+    date = f"t.{PERIOD_COLUMN[table]}"
+    start = f"CAST(date_trunc('{unit}', {date}) AS DATE)"
+    return f"CASE WHEN {date} <= {AS_OF} THEN {start} ELSE {AS_OF} END" if later_today else start
+
+
+def count_selects(table: str, names=None, unit: str | None = None, declared: bool = False,
+                  later_today: bool = True) -> list[str]:
     """One SELECT per rule and column of a table, per period if a unit is given."""
-    by = f"CAST(date_trunc('{unit}', t.{PERIOD_COLUMN[table]}) AS DATE)" if unit else ""
+    by = period(table, unit, later_today) if unit else ""
     wanted = row_rules(table) + (DECLARED[table] if declared else [])
     selects = [
         _select(table, rule, column, params, f"count(*) FILTER (WHERE {pred})", "0", f"{table} t", by)

@@ -5,16 +5,20 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
+from plumbline.operators.rowscan import MAX_COUNTERS
 from plumbline.schemas import QUALITY_CONTRACTS
 from plumbline.sources.values import literal_rows
 
 NAME_LENGTH = 100
 _SUBQUERY = re.compile(r"\(\s*(select|with)\b", re.IGNORECASE).search
+EVALUATED = (
+    "contract_id bigint, table_name string, natural_language_rule string, severity string, created_at timestamp_ntz, "
+    "violations bigint, status string"
+)
 PASSING, VIOLATED, CANNOT_EVALUATE = "PASSING", "VIOLATIONS", "CANNOT EVALUATE"
 
 
@@ -51,61 +55,42 @@ def _is_valid(df: DataFrame, predicate: str) -> bool:
         return False
 
 
-def _outcome(rows: Sequence[Row], tables: Mapping[str, DataFrame]) -> DataFrame:
-    branches = []
-    for name in sorted({r.table_name for r in rows}):
-        own = [r for r in rows if r.table_name == name]
-        counts = [_violations(r.generated_sql_check).alias(f"v_{r.contract_id}") for r in own]
-        wide = tables[name].agg(*counts)
-        branches.append(wide.select(F.inline(F.array(*[
-            F.struct(F.lit(r.contract_id).alias("contract_id"), F.col(f"v_{r.contract_id}").alias("violations"))
-            for r in own
-        ]))))
-    return reduce(DataFrame.unionByName, branches)
+def _tally(df: DataFrame, rows: Sequence[Row]) -> dict[int, int | None]:
+    """Violations by contract, in one pass over the table. If the pass fails (a cast, a division), its
+    halves are tried, down to the contract that fails; that one has no count."""
+    try:
+        counts = df.agg(*[_violations(r.generated_sql_check).alias(f"v_{r.contract_id}") for r in rows]).first()
+        return {r.contract_id: counts[f"v_{r.contract_id}"] for r in rows}
+    except PySparkException:
+        if len(rows) == 1:
+            return {rows[0].contract_id: None}
+    half = len(rows) // 2
+    return _tally(df, rows[:half]) | _tally(df, rows[half:])
 
 
 def evaluate(contracts: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Violations of every active contract, all contracts of a table in one pass.
+    """Violations of every active contract, counted now, all contracts of a table in one pass (in
+    chunks of `MAX_COUNTERS`).
 
-    The contract list itself is configuration and read to build the plan. A text that is not a
-    valid predicate gets a status, not an error.
+    The contract list itself is configuration and read to build the plan; what comes back is one
+    count per contract. A contract whose text is no valid predicate, whose table is missing or that
+    fails while it runs gets a status, not an error, and leaves the others alone.
     """
-    spark = contracts.sparkSession
     rows = active_contracts(contracts).collect()
-    valid = [r for r in rows if r.table_name in tables and _is_valid(tables[r.table_name], r.generated_sql_check)]
-    listed = literal_rows(
-        spark,
-        "contract_id bigint, table_name string, natural_language_rule string, severity string, created_at timestamp_ntz",
-        [(r.contract_id, r.table_name, r.natural_language_rule, r.severity, r.created_at) for r in rows],
-    )
-    if valid:
-        counted = _outcome(valid, tables)
-    else:
-        counted = literal_rows(spark, "contract_id bigint, violations bigint", [])
-    status = (
-        F.when(F.col("violations").isNull(), CANNOT_EVALUATE)
-        .when(F.col("violations") == 0, PASSING).otherwise(VIOLATED)
-    )
-    return listed.join(counted.withColumn("contract_id", F.col("contract_id").cast("long")), "contract_id", "left") \
-        .withColumn("status", status)
-
-
-def evaluate_each(contracts: DataFrame, tables: Mapping[str, DataFrame]) -> list[Row]:
-    """Check contracts now. If the common pass fails while running (a cast, a division), each
-    contract is checked by itself so that only the failing one cannot be evaluated."""
-    try:
-        return evaluate(contracts, tables).collect()
-    except PySparkException:
-        pass
-    outcomes = []
-    for row in active_contracts(contracts).collect():
-        single = contracts.where(F.col("contract_id") == row.contract_id)
-        try:
-            outcomes += evaluate(single, tables).collect()
-        except PySparkException:
-            outcomes.append(Row(
-                contract_id=row.contract_id, table_name=row.table_name,
-                natural_language_rule=row.natural_language_rule, severity=row.severity,
-                created_at=row.created_at, violations=None, status=CANNOT_EVALUATE,
-            ))
-    return outcomes
+    found: dict[int, int | None] = {}
+    for name in sorted({r.table_name for r in rows} & set(tables)):
+        df = tables[name]
+        valid = [r for r in rows if r.table_name == name and _is_valid(df, r.generated_sql_check)]
+        for start in range(0, len(valid), MAX_COUNTERS):
+            found |= _tally(df, valid[start:start + MAX_COUNTERS])
+    return literal_rows(contracts.sparkSession, EVALUATED, [
+        (r.contract_id, r.table_name, r.natural_language_rule, r.severity, r.created_at,
+         found.get(r.contract_id), _status(found.get(r.contract_id)))
+        for r in rows
+    ])
+
+
+def _status(violations: int | None) -> str:
+    if violations is None:
+        return CANNOT_EVALUATE
+    return VIOLATED if violations else PASSING

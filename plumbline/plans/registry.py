@@ -27,8 +27,10 @@ from plumbline.streaming import monitors
 
 Query = Callable[[SparkSession, str], DataFrame]
 APPROVER = "steward"
+# The date that places a row of a fact table in its period.
+DATED = {"orders_dirty": "order_date", "lineitem": "l_shipdate"}
 
-# The contracts of the demo, with a switched-off and an invalid one.
+# The contracts of the demo, with a switched-off one and some that cannot be evaluated.
 CONTRACTS = (
     contracts.contract(1, "orders_dirty", "Order quantity must be positive",
                        "quantity <= 0", "HIGH", dt.datetime(2024, 5, 1, 9)),
@@ -46,6 +48,14 @@ CONTRACTS = (
                        "order_status IS NULL", "LOW", dt.datetime(2024, 5, 7, 9), is_active=False),
     contracts.contract(8, "orders_dirty", "Refers to a column that is gone",
                        "no_such_column > 1", "LOW", dt.datetime(2024, 5, 8, 9)),
+    contracts.contract(9, "orders_dirty", "Carries a comment",
+                       "quantity <= 0 -- zero counts too", "LOW", dt.datetime(2024, 5, 9, 9)),
+    contracts.contract(10, "orders_dirty", "Counts rows instead of testing one",
+                       "count(1) > 0", "LOW", dt.datetime(2024, 5, 10, 9)),
+    contracts.contract(11, "orders_dirty", "Looks at other rows",
+                       "row_number() OVER (ORDER BY order_id) > 1", "LOW", dt.datetime(2024, 5, 11, 9)),
+    contracts.contract(12, "orders_dirty", "Divides by zero",
+                       "10 / (quantity - quantity) > 1", "LOW", dt.datetime(2024, 5, 12, 9)),
 )
 
 
@@ -94,18 +104,28 @@ def _fix(table: str, rule_name: str, columns: Sequence[str]) -> Query:
 
 def periodic_scan(ws: Workspace, tables: Sequence[str], unit: str) -> Scan:
     """The fact tables scanned period by period ("month", "year"), each period by itself."""
-    dates = {"orders_dirty": "order_date", "lineitem": "l_shipdate"}
-    return scan(ws, tables, period={t: F.trunc(col(dates[t]), unit) for t in tables})
+    return scan(ws, tables, period={t: F.trunc(col(DATED[t]), unit) for t in tables})
 
 
 def past_scores(ws: Workspace, unit: str) -> DataFrame:
-    """Scores of the periods up to now (defects date some orders into the future)."""
-    scored = periodic_scan(ws, ("lineitem", "orders_dirty"), unit).scores
-    return scored.where(F.col("scan_date") <= moment(ws.as_of))
+    """Scores of a history that holds every row of every scanned table in one scan.
+
+    Rows of the past belong to the scan of their period. Rows dated later than `as_of`, rows without
+    a date and tables without a date column belong to the scan of `as_of` itself.
+    """
+    today = moment(ws.as_of).cast("date")
+
+    def scanned_on(table: str) -> Column:
+        if table not in DATED:
+            return today
+        date = col(DATED[table])
+        return F.coalesce(F.when(date <= moment(ws.as_of), F.trunc(date, unit)), today)
+
+    return scan(ws, SCANNED, period={t: scanned_on(t) for t in SCANNED}).scores
 
 
 def data_history(ws: Workspace) -> DataFrame:
-    """A score history made from the data: one scan per table and year."""
+    """A score history made from the data: one scan per table and year, and one of today."""
     day = F.col("scan_date")
     rows = history.history_rows(
         past_scores(ws, "year"), records.scan_id(day), day, day, cycle.DATABASE, cycle.SCHEMA)

@@ -27,9 +27,21 @@ def test_missing_table_and_no_contracts(spark):
 
 def test_a_failing_contract_does_not_take_the_others_down(spark):
     data = literal_rows(spark, "a int, s string", [(1, "x"), (0, "7")])
-    contracts = table(spark, ("positive", "a <= 0"), ("number", "CAST(s AS INT) > 5"))
-    got = sorted((r.contract_id, r.violations, r.status) for r in c.evaluate_each(contracts, {"t": data}))
-    assert got == [(1, 1, "VIOLATIONS"), (2, None, "CANNOT EVALUATE")]
+    contracts = table(
+        spark, ("positive", "a <= 0"), ("number", "CAST(s AS INT) > 5"), ("note", "a > 0 -- not zero"),
+        ("ratio", "10 / a > 1"), ("total", "count(1) > 0"), ("window", "lag(a) OVER (ORDER BY s) > 0"),
+        ("present", "s IS NULL"))
+    got = sorted((r.contract_id, r.violations, r.status) for r in c.evaluate(contracts, {"t": data}).collect())
+    lost = "CANNOT EVALUATE"
+    assert got == [(1, 1, "VIOLATIONS"), (2, None, lost), (3, 1, "VIOLATIONS"), (4, None, lost), (5, None, lost),
+                   (6, None, lost), (7, 0, "PASSING")]
+
+
+def test_many_contracts_are_counted_in_chunks(spark):
+    data = literal_rows(spark, "a int", [(1,), (0,)])
+    contracts = c.contract_table(spark, [c.contract(i, "t", "x", f"a < {i % 3}") for i in range(c.MAX_COUNTERS + 20)])
+    got = {r.contract_id: r.violations for r in c.evaluate(contracts, {"t": data}).collect()}
+    assert got == {i: i % 3 for i in range(c.MAX_COUNTERS + 20)}
 
 
 def test_names_are_cut_and_newest_come_first(spark):

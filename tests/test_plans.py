@@ -3,10 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.config import SCANNED, open_workspace
+from plumbline.config import AS_OF, SCANNED, open_workspace
 from plumbline.operators.violations import orphan_keys
-from plumbline.plans.registry import QUERIES
+from plumbline.plans.registry import QUERIES, past_scores
 from plumbline.plans.scan import scan, scan_before_after
 
 RUNS_JOBS = {"fix_rollback"} | {name for name in QUERIES if name.startswith("stream_")}
@@ -61,10 +62,12 @@ def test_fixes_need_no_shuffle(spark, data_dir):
         assert "Exchange" not in plan(QUERIES[name](spark, data_dir))
 
 
-def test_period_filter_reaches_the_aggregation(spark, data_dir):
-    """Future periods are dropped before they are counted."""
-    text = plan(QUERIES["history_trend"](spark, data_dir))
-    assert "trunc" in text and re.search(r"Filter .*trunc\(.*<= 2024-06-01", text)
+def test_the_history_holds_every_row_in_one_scan(ws):
+    """Undated and later rows and tables without a date belong to the scan of today."""
+    scanned = past_scores(ws, "year").groupBy("table_name").agg(
+        F.sum("total_rows").alias("n"), F.max("scan_date").alias("last")).collect()
+    assert {r.table_name: r.n for r in scanned} == {name: ws.tables[name].count() for name in SCANNED}
+    assert all(r.last <= AS_OF for r in scanned)
 
 
 def test_references_are_counted_before_they_meet_the_parent(ws):

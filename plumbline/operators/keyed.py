@@ -99,7 +99,9 @@ def count_before_parent(
 
 
 def _row_hashes(df: DataFrame) -> DataFrame:
-    return df.withColumn("row_hash", F.xxhash64(*[col(c) for c in df.columns]))
+    """Rows with a hash of their columns; maps have none and are left to the comparison of columns."""
+    hashed = [col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return df.withColumn("row_hash", F.xxhash64(*hashed) if hashed else F.lit(0).cast("long"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

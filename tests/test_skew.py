@@ -38,11 +38,11 @@ def hot(spark):
     return Workspace(spark, {"t": child, "parents": parents, "orders": orders}, {"t": binding}, dt.date(2024, 6, 1))
 
 
-@pytest.fixture(params=[(salting.BROADCAST_ROWS, salting.HOT_ROWS), (0, salting.HOT_ROWS), (0, 100)],
+@pytest.fixture(params=[(salting.BROADCAST_BYTES, salting.HOT_ROWS), (0, salting.HOT_ROWS), (0, 100)],
                 ids=["few keys", "many keys", "hot keys"])
 def key_limit(request, monkeypatch):
     """All ways of joining: broadcast keys, a shuffle, and a shuffle with salted hot keys."""
-    monkeypatch.setattr(salting, "BROADCAST_ROWS", request.param[0])
+    monkeypatch.setattr(salting, "BROADCAST_BYTES", request.param[0])
     monkeypatch.setattr(salting, "HOT_ROWS", request.param[1])
 
 
@@ -81,6 +81,38 @@ def test_deduplicate(hot, key_limit):
 
 
 def test_salting_spreads_a_hot_key(hot):
-    salted = hot.tables["t"].where("order_id = 0").select(
-        salting._salt(["quantity", "shipped", "customer_id"]).alias("s")).distinct().count()
-    assert salted > 1
+    """As many salts as the key's rows ask for, and all of them used."""
+    for salts in (4, 16):
+        spread = hot.tables["t"].where("order_id = 0").withColumn("i", F.monotonically_increasing_id()).select(
+            salting._salt(["quantity", "i"], F.lit(salts)).alias("s")).distinct().count()
+        assert spread == salts
+
+
+def test_wide_keys_are_not_broadcast(spark):
+    """Few keys may be large: their bytes decide, and the rows found are the same."""
+    wide = F.concat(F.repeat(F.lit("x"), 16_000), F.col("id").cast("string"))
+    keys = spark.range(900).select(wide.alias("k"), F.lit(2).cast("long").alias("n_rows"))
+    assert not salting.settled(keys)[1] and salting.settled(keys.select(F.substring("k", -4, 4).alias("k")))[1]
+    table = spark.range(1000).select(wide.alias("k"), "id")
+    found = salting.keep_matching(table.unionAll(table), keys, ["id"])
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text or "ShuffledHashJoin" in text
+    assert found.agg(F.count("id"), F.countDistinct("id")).first() == (1800, 900)
+
+
+def test_hot_text_keys_are_found_whole(spark, monkeypatch):
+    monkeypatch.setattr(salting, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(salting, "HOT_ROWS", 50)
+    table = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.repeat(F.lit("h"), 500)).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    keys = table.groupBy("k").agg(F.count("id").alias("n_rows")).where("k LIKE 'h%' OR k LIKE '1%'")
+    wanted = table.where("k LIKE 'h%' OR k LIKE '1%'").count()
+    found = salting.keep_matching(table, keys, ["id"])
+    assert found.agg(F.count("id"), F.countDistinct("id")).first() == (wanted, wanted)
+    flagged = salting.flag_matching(table, keys, ["id"], "hit").groupBy("hit").count()
+    assert rows(flagged) == [(False, 3000 - wanted), (True, wanted)]
+
+
+def test_duplicate_rows_with_maps(spark):
+    table = spark.sql("SELECT id % 2 AS a, map('k', id % 2, 'l', 1) AS m FROM range(5) UNION ALL SELECT 7, map('k', 1)")
+    assert rows(duplicate_rows(table), "a", "n_rows") == [(0, 3), (1, 2)]

@@ -4,9 +4,12 @@
    points place every quantile within a bracket of about a hundredth of the ranks.
 2. A second pass folds everything below a bracket into one count, drops what is above it and keeps
    value counts inside it.
-3. Those are cut into slices; only the slice that holds the wanted rank is sorted.
+3. Those are cut into slices of about equally many distinct values, whatever gaps the values have;
+   only the slice that holds the wanted rank is sorted.
 
 The points decide how much is sorted, never the result: the ranks are counted on all values.
+Nulls take no part. NaN ranks above every number, infinity included, as in Spark's own ordering.
+Values and results are doubles, so integers beyond 2^53 are rounded to the nearest double.
 """
 
 from __future__ import annotations
@@ -22,6 +25,16 @@ GROUPS = 512  # parts of the table that are reduced separately
 POINTS = 500  # quantile points per part
 ACCURACY = 2000  # of a part's sketch
 SLICES = 1024  # of a bracket
+_INFINITY = "CAST('Infinity' AS DOUBLE)"
+
+
+def _place(value: str) -> str:
+    """Where a value lies among the points: NaN at infinity, since sketches know numbers only."""
+    return f"nanvl(CAST({value} AS DOUBLE), {_INFINITY})"
+
+
+def _evenly(n: int) -> str:
+    return ", ".join(f"{i / n!r}D" for i in range(n + 1))
 
 
 def _tall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -32,10 +45,10 @@ def _tall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(c, prob, position, low, high): one row per column and probability."""
-    evenly = ", ".join(f"{i / POINTS!r}D" for i in range(POINTS + 1))
     parts = df.groupBy((F.spark_partition_id() % GROUPS).alias("part")).agg(*[
         F.expr(
-            f"struct(count(`{name}`) AS n, percentile_approx(CAST(`{name}` AS DOUBLE), array({evenly}), {ACCURACY}) AS xs)"
+            f"struct(count(`{name}`) AS n, "
+            f"percentile_approx({_place(f'`{name}`')}, array({_evenly(POINTS)}), {ACCURACY}) AS xs)"
         ).alias(f"q{i}")
         for i, name in enumerate(columns)
     ])
@@ -67,14 +80,16 @@ def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(column_name, prob, value): linearly interpolated quantiles of the non-null values, as doubles."""
     brackets = _brackets(df, columns, probs)
-    inside = (
-        _tall(df, columns).join(F.broadcast(brackets), "c").where("v <= high")
-        .withColumn("v", F.expr("CASE WHEN v >= low THEN v END"))  # null: below the bracket
-        .groupBy("c", "prob", "position", "low", "high", "v").agg(F.count(F.lit(1)).alias("n_v"))
-        .withColumn("slice", F.expr(
-            f"CASE WHEN v IS NULL THEN -1 WHEN high = low THEN 0 "
-            f"ELSE CAST(least(floor((v - low) / (high - low) * {SLICES}), {SLICES - 1}) AS INT) END"))
+    counted = (
+        _tall(df, columns).join(F.broadcast(brackets), "c").where(f"{_place('v')} <= high")
+        .withColumn("v", F.expr(f"CASE WHEN {_place('v')} >= low THEN v END"))  # null: below the bracket
+        .groupBy("c", "prob", "position", "v").agg(F.count(F.lit(1)).alias("n_v"))
     )
+    # At most SLICES + 1 bounds per quantile.
+    bounds = counted.groupBy("c", "prob").agg(
+        F.expr(f"percentile_approx({_place('v')}, array({_evenly(SLICES)}), {max(ACCURACY, 4 * SLICES)})").alias("bounds"))
+    inside = counted.join(F.broadcast(bounds), ["c", "prob"]).withColumn("slice", F.expr(
+        f"CASE WHEN v IS NULL THEN -1 ELSE size(filter(bounds, b -> b < {_place('v')})) END")).drop("bounds")
     upward = Window.partitionBy("c", "prob").orderBy("slice")
     slices = (
         inside.groupBy("c", "prob", "position", "slice").agg(F.sum("n_v").alias("n_slice"))
@@ -99,8 +114,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     )
     missed = F.col("lower").isNull() | F.col("upper").isNull()
     fraction = F.col("position") - F.floor("position")
+    lower, upper = F.col("lower"), F.col("upper")
+    between = (
+        F.when(lower == upper, lower)
+        .when(lower == F.expr(f"-{_INFINITY}"), lower * (1 - fraction) + upper * fraction)
+        .otherwise(lower + (upper - lower) * fraction)
+    )
     value = F.when(
-        missed, F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")
-    ).otherwise(F.col("lower") + (F.col("upper") - F.col("lower")) * fraction)
+        missed, F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")).otherwise(between)
     names = literal_rows(df.sparkSession, "c int, column_name string", list(enumerate(columns)))
     return found.join(F.broadcast(names), "c").select("column_name", "prob", value.alias("value"))

@@ -1,5 +1,6 @@
 """Rounding, quantiles and rows at risk against straightforward computations."""
 
+import math
 import random
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -59,6 +60,24 @@ def test_quantiles_are_exact(spark, name, values):
         assert got[prob] == pytest.approx(np.quantile(kept, prob), rel=1e-12, abs=1e-12)
 
 
+def test_quantiles_rank_nan_last_and_keep_infinities(spark):
+    nan, inf = math.nan, math.inf
+    for values in ([1.0, 2.0, nan, nan, nan], [1.0, 2.0, 3.0, nan], [-inf, 1.0, 2.0, inf], [inf, inf, 1.0],
+                   [-inf, -inf, nan], [nan], [float(i) for i in range(500)] + [nan] * 20 + [inf] * 20 + [-inf] * 20):
+        probs = (0.0, 0.25, 0.5, 0.75, 1.0)
+        got = {r.prob: r.value for r in exact_quantiles(as_column(spark, values), ["v"], probs).collect()}
+        wanted = as_column(spark, values).selectExpr(f"percentile(v, array{probs}) AS p").first().p
+        assert [got[p] for p in probs] == pytest.approx(wanted, nan_ok=True), values
+
+
+def test_a_gap_in_the_values_does_not_fill_one_slice(spark):
+    """Half of the values near zero, half far away: slices hold about equally many values."""
+    rng = random.Random(11)
+    values = [rng.random() for _ in range(20000)] + [1e9 + rng.random() for _ in range(20000)]
+    found = exact_quantiles(as_column(spark, values, 20), ["v"], (0.5,))
+    assert found.first().value == pytest.approx(np.quantile(values, 0.5), rel=1e-12)
+
+
 def test_quantiles_do_not_rely_on_good_points(spark, monkeypatch):
     """Coarse points only make brackets wider."""
     monkeypatch.setattr(quantiles, "POINTS", 10)

@@ -4,16 +4,19 @@ Fixed patterns find e-mail addresses, IP addresses, card and phone numbers in wh
 the seeds. Every mention, and every string that has the shape of one of those kinds without meeting
 its pattern (a phone number without its plus, a card number that fails the check sum, an address
 without a dot), is an instance that stands in lexical patterns: the two words before it, and the
-words on both sides of it. Spark scores the graph of patterns and instances in rounds:
+words on both sides of it. Numbers that stand side by side are one run: what seeds leave of it is cut
+at its spaces, a part of too many digits at its other signs too, and each part, and neighbouring parts
+together, are readings of the run. Spark scores the graph of patterns and instances in rounds:
 
 * a pattern's confidence in a kind is the weight of its known instances of that kind over that of
-  all its distinct instances, where those of unknown standing count `UNKNOWN` each; a pattern needs
-  `SUPPORT` known instances;
+  all its distinct instances, where those of unknown standing count `UNKNOWN` each, of the readings of
+  one run that share the pattern only the longest; a pattern needs `SUPPORT` known instances;
 * an instance of unknown standing becomes known if the patterns it stands in that are confident
   (`CONFIDENT` or more) leave at most 1 - `ACCEPTED` doubt together.
 
 Known instances raise patterns in the next round. After the last, every mention of an instance that
-became known is a span; seed spans always stay. Distinct edges are formed before anything is summed,
+became known, or is a seed elsewhere, is a span; seed spans always stay. Of overlapping readings of
+one kind the one with the strongest belief stays, then the longest, then the first. Distinct edges are formed before anything is summed,
 so a pattern or an instance that holds a third of all mentions is summed before it is shuffled.
 
 Defined results: a null text is empty; spans of different kinds may overlap; repeated rows have equal
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -50,6 +53,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Shapes of what may be an instance without being a seed.
 BARE_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*|(?: ?\[at\] ?)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 BARE_NUMBER = re.compile(r"\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
+PART = re.compile(r"\(?[0-9](?:[().-]{0,2}[0-9])*")
+ATOM = re.compile(r"\(?[0-9]+")
+LEAST, MOST = 7, 19  # digits of a bare number
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"\w+")
 
@@ -106,27 +112,61 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def candidates(text: str, seeds: list[Span]) -> list[Span]:
-    """Strings with the shape of a kind that touch no seed."""
-    found: list[Span] = []
+def _digits(shown: str) -> int:
+    return sum(c.isdigit() for c in shown)
+
+
+def _kinds(shown: str, digits: int) -> tuple[int, ...]:
+    """The kinds whose shape a bare number has."""
+    if shown.count(".") == 3 and "(" not in shown and " " not in shown:
+        return (1,)
+    return (3,) if digits <= 11 else (2,)
+
+
+def _readings(text: str, start: int, end: int) -> list[Span]:
+    """What a stretch of numbers may hold, the longest first."""
+    parts = []
+    for part in PART.finditer(text, start, end):
+        whole = _digits(part.group()) <= MOST
+        parts += [(p.start(), p.end(), _digits(p.group())) for p in ([part] if whole else ATOM.finditer(text, *part.span()))]
+    found = []
+    for k, (low, _, _) in enumerate(parts):
+        digits = 0
+        for _, high, more in parts[k:k + MOST]:
+            digits += more
+            if digits > MOST:
+                break
+            if digits >= LEAST:
+                for kind in _kinds(text[low:high], digits):
+                    signed = kind == 3 and k == 0 and low == start > 0 and text[low - 1] == "+"
+                    found.append((low - signed, kind, high))
+    return sorted(found, key=lambda span: (span[0] - span[2], span))
+
+
+def runs(text: str, seeds: list[Span]) -> Iterator[list[Span]]:
+    """Strings with the shape of a kind that touch no seed; the readings of a run are one list."""
+    starts = [start for start, _, _ in seeds]
+    reach = list(accumulate((end for _, _, end in seeds), max))  # of the seeds up to one
     if "@" in text or "[at]" in text:
-        found += [(start, 0, end) for start, end in _addresses(text, BARE_DOMAIN)]
+        for start, end in _addresses(text, BARE_DOMAIN):
+            before = bisect_left(starts, end)
+            if not before or reach[before - 1] <= start:
+                yield [(start, 0, end)]
     if DIGIT.search(text):
         for match in BARE_NUMBER.finditer(text):
-            shown = match.group()
-            digits = sum(c.isdigit() for c in shown)
-            kind = 1 if "." in shown and shown.count(".") == 3 and "(" not in shown and " " not in shown else (
-                3 if digits <= 11 else 2)
-            if digits <= 19:
-                found.append((match.start(), kind, match.end()))
-    starts = [start for start, _, _ in seeds]
-    reach = list(accumulate((end for _, _, end in seeds), max))  # of the seeds up to one
-    free = []
-    for start, kind, end in sorted(found):
-        before = bisect_left(starts, end)
-        if not before or reach[before - 1] <= start:
-            free.append((start, kind, end))
-    return free
+            at, end = match.span()
+            found = []
+            for k in range(bisect_right(reach, at), bisect_left(starts, end)):
+                found += _readings(text, at, starts[k])
+                at = max(at, reach[k])
+            found += _readings(text, at, end)
+            if found:
+                yield found
+
+
+def candidates(text: str, seeds: list[Span]) -> list[Span]:
+    """All readings of all runs, by start, then kind."""
+    return sorted(span for run in runs(text, seeds) for span in run)
 
 
 def shown(spans: list[Span]) -> str:
@@ -146,7 +186,8 @@ def _patterns(text: str, span: Span) -> tuple[int, int]:
 
 SCANNED = ("row long, doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, "
            "base_sha256 string, base array<struct<start int, kind int, end int>>, "
-           "mentions array<struct<start int, kind int, end int, seed boolean, instance long, before long, around long>>")
+           "mentions array<struct<start int, kind int, end int, seed boolean, instance long, "
+           "before struct<pattern long, counts boolean>, around struct<pattern long, counts boolean>>>")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -163,10 +204,13 @@ def scan(docs: DataFrame) -> DataFrame:
                 mentions = []
                 for span in base:
                     counts[span[1]] += 1
-                for seed, spans in ((True, base), (False, candidates(text, base))):
+                for seed, spans in (*((True, [span]) for span in base), *((False, run) for run in runs(text, base))):
+                    met = set()
                     for span in spans:
                         instance = digest(f"{span[1]}:{text[span[0]:span[2]].lower()}".encode()) >> 1
-                        mentions.append((*span, seed, instance, *_patterns(text, span)))
+                        patterns = _patterns(text, span)
+                        mentions.append((*span, seed, instance, *((p, p not in met) for p in patterns)))
+                        met.update(patterns)
                 found.append((row, doc_id, text_hash, *counts, hashlib.sha256(shown(base).encode()).hexdigest(), base, mentions))
                 row += 1
             out = pd.DataFrame(found, columns=["row", "doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone",
@@ -180,32 +224,49 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def discover(mentions: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT,
              accepted: float = ACCEPTED) -> DataFrame:
-    """Instances that become known from the patterns they stand in: column instance.
+    """Instances that are seeds elsewhere or become known from the patterns they stand in: instance, belief.
 
-    `mentions` has instance, kind, seed, and the patterns before and around.
+    `mentions` has instance, kind, seed, and the patterns before and around, each with whether the
+    instance counts there while its standing is unknown.
     """
-    stood = mentions.select("instance", "kind", "seed", F.explode(F.array("before", "around")).alias("pattern"))
-    edges = stood.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("seed").alias("seed"))
+    stood = mentions.select("instance", "kind", "seed", F.explode(F.array("before", "around")).alias("in")).select(
+        "instance", "kind", "seed", "in.*")
+    edges = stood.groupBy("pattern", "instance").agg(
+        F.max("kind").alias("kind"), F.max("seed").alias("seed"), F.max("counts").alias("counts"))
     edges = settle(edges, "pii-edges")
-    known = None
+    elsewhere = mentions.groupBy("instance").agg(F.max("seed").alias("some"), F.min("seed").alias("all")).where(
+        F.col("some") & ~F.col("all")).select("instance", F.lit(1.0).alias("belief"))
+    seeded = known = settle(elsewhere, "pii-known")
     for _ in range(rounds):
-        weighed = edges.withColumn("weight", F.col("seed").cast("double"))
-        if known is not None:
-            weighed = edges.join(known, "instance", "left").withColumn(
-                "weight", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
+        weighed = edges.join(known, "instance", "left").withColumn(
+            "weight", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
         by_kind = weighed.groupBy("pattern", "kind").agg(
-            F.sum("weight").alias("held"), F.sum((F.col("weight") > 0).cast("long")).alias("n_known"), F.count("instance").alias("n"))
+            F.sum("weight").alias("held"), F.sum((F.col("weight") > 0).cast("long")).alias("n_known"),
+            F.sum((F.col("counts") & (F.col("weight") == 0)).cast("long")).alias("n_unknown"))
         summed = by_kind.groupBy("pattern").agg(
-            F.sum(F.col("held") + (F.col("n") - F.col("n_known")) * F.lit(UNKNOWN)).alias("total"),
+            F.sum(F.col("held") + F.col("n_unknown") * F.lit(UNKNOWN)).alias("total"),
             F.max(F.struct("n_known", "held", "kind")).alias("top"))
         good = summed.select("pattern", "top.*", (F.col("top.held") / F.col("total")).alias("confidence")).where(
             (F.col("n_known") >= support) & (F.col("confidence") >= confident))
         doubted = edges.where(~F.col("seed")).join(good.select("pattern", "kind", "confidence"), ["pattern", "kind"])
         # Doubts are multiplied as sums of logarithms, which combine before the shuffle.
         belief = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
-        known = doubted.groupBy("instance").agg(belief.alias("belief")).where(F.col("belief") >= accepted)
-        known = settle(known, "pii-known")
-    return known.select("instance")
+        found = doubted.groupBy("instance").agg(belief.alias("belief")).where(F.col("belief") >= accepted)
+        known = settle(found.union(seeded).groupBy("instance").agg(F.max("belief").alias("belief")), "pii-known")
+    return known
+
+
+def _apart(starts, kinds, ends, beliefs) -> list[int]:
+    """Places of the spans that stay where those of one kind overlap, by start, then kind."""
+    taken: list[list[tuple[int, int]]] = [[] for _ in KINDS]
+    stay = []
+    for k in sorted(range(len(starts)), key=lambda k: (-round(beliefs[k], 6), starts[k] - ends[k], starts[k])):
+        span, own = (starts[k], ends[k]), taken[kinds[k]]
+        at = bisect_left(own, span)
+        if (at == 0 or own[at - 1][1] <= span[0]) and (at == len(own) or own[at][0] >= span[1]):
+            insort(own, span)
+            stay.append(k)
+    return sorted(stay, key=lambda k: (starts[k], kinds[k]))
 
 
 def find(docs: DataFrame, **settings) -> DataFrame:
@@ -216,8 +277,16 @@ def find(docs: DataFrame, **settings) -> DataFrame:
     scanned = settle(scan(docs), "pii-scan")
     mentions = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     known = discover(mentions, **settings)
-    added = mentions.where(~F.col("seed")).join(known, "instance").groupBy("row").agg(
-        F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+    met = mentions.where(~F.col("seed")).join(known, "instance").groupBy("row").agg(
+        F.collect_list(F.struct("start", "kind", "end", "belief")).alias("met"))
+
+    @F.pandas_udf("array<int>")
+    def apart(starts: pd.Series, kinds: pd.Series, ends: pd.Series, beliefs: pd.Series) -> pd.Series:
+        return pd.Series([_apart(*row) for row in zip(starts, kinds, ends, beliefs, strict=True)], dtype=object)
+
+    stay = met.withColumn("stay", apart("met.start", "met.kind", "met.end", "met.belief"))
+    added = stay.select("row", F.expr(
+        "transform(stay, k -> struct(met[k].start AS start, met[k].kind AS kind, met[k].end AS end))").alias("added"))
     names = F.array(*[F.lit(k) for k in KINDS])
     every = F.array_sort(F.concat("base", F.coalesce("added", F.expr("array()").cast("array<struct<start:int,kind:int,end:int>>"))))
     spans = F.concat_ws(",", F.transform(every, lambda s: F.concat_ws(

@@ -85,6 +85,32 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert clean[20] == "please call the office [PHONE] today" and clean[22] == unseen[2] and clean[12] == "send mail to [EMAIL] now"
 
 
+def offered(text):
+    return {(text[a:b], pii.KINDS[k]) for a, k, b in pii.candidates(text, pii.base_spans(text))}
+
+
+def test_numbers_side_by_side_are_candidates_by_themselves():
+    # Texts of the sf0.1 documents 46, 1262, 1377 and 7052.
+    assert {("7536784127813050", "card"), ("4845168114407329", "card")} <= offered("Éçan 7536784127813050 4845168114407329 èaique")
+    assert {("2353820953013749", "card"), ("4550997810720808", "card")} <= offered("Esanwh 2353820953013749 4550997810720808 thheed")
+    assert ("+1 (826) 555-4081", "phone") in offered("éreé. Des +1 (826) 555-4081 190.137.223.204 du anviou")
+    assert ("+1 (843) 555-7672", "phone") in offered("éaiépa un. +1 (843) 555-7672 170.106.47.218 Et, éan")
+    assert {("5550109999", "phone"), ("5550109999. 20", "card")} <= offered("call 5550109999. 20 came")
+    assert {("5550109999", "phone"), ("4845168114407328", "card")} <= offered("5550109999-4845168114407328")
+    assert offered("1" * 3000) == set()
+
+
+def test_numbers_side_by_side_are_found(spark):
+    seeds = [f"please call the office +1 555 010 {1000 + i} today" for i in range(12)]
+    merged = ["please call the office 5550109999 4845168114407328 of", "+1 (826) 555-4081 190.137.223.204", "see +1 (826) 555-4081",
+              "please call the office 555 010 9997 today"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(seeds + merged)], "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.n_found) for r in pii.find(df).collect()}
+    assert got[12] == ("phone:23:33", 1)
+    assert got[13] == ("phone:0:17,ip:18:33", 1)  # a seed elsewhere
+    assert got[15] == ("phone:23:35", 1)
+
+
 def test_pii_of_odd_rows(spark):
     df = odd_docs(spark)
     want = Counter((i, hashlib.sha256(pii.shown(brute_spans(t)).encode()).hexdigest()) for i, t in pairs(df))

@@ -14,7 +14,8 @@ together, are readings of the run. Spark scores the graph of patterns and instan
 * an instance of unknown standing becomes known if the patterns it stands in that are confident
   (`CONFIDENT` or more) leave at most 1 - `ACCEPTED` doubt together.
 
-Known instances raise patterns in the next round. After the last, every mention of an instance that
+Known instances raise patterns in the next round, and stay known with the belief they were accepted
+with; rounds go on until one accepts none, so the result is a fixed point. Then every mention of an instance that
 became known, or is a seed elsewhere, is a span; seed spans always stay. Of overlapping readings of
 one kind the one with the strongest belief stays, then the longest, then the first. Distinct edges are formed before anything is summed,
 so a pattern or an instance that holds a third of all mentions is summed before it is shuffled.
@@ -38,7 +39,6 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.llm.common import settle, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 2
 SUPPORT = 4
 CONFIDENT, ACCEPTED = 0.8, 0.8
 UNKNOWN = 0.25
@@ -222,7 +222,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return text.withColumn("text_hash", F.xxhash64("text")).mapInPandas(scanned, SCANNED)
 
 
-def discover(mentions: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT,
+def discover(mentions: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT,
              accepted: float = ACCEPTED) -> DataFrame:
     """Instances that are seeds elsewhere or become known from the patterns they stand in: instance, belief.
 
@@ -236,8 +236,9 @@ def discover(mentions: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
     edges = settle(edges, "pii-edges")
     elsewhere = mentions.groupBy("instance").agg(F.max("seed").alias("some"), F.min("seed").alias("all")).where(
         F.col("some") & ~F.col("all")).select("instance", F.lit(1.0).alias("belief"))
-    seeded = known = settle(elsewhere, "pii-known")
-    for _ in range(rounds):
+    known = settle(elsewhere, "pii-known")
+    size, before = known.count(), -1
+    while size != before:
         weighed = edges.join(known, "instance", "left").withColumn(
             "weight", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
         by_kind = weighed.groupBy("pattern", "kind").agg(
@@ -252,7 +253,8 @@ def discover(mentions: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
         # Doubts are multiplied as sums of logarithms, which combine before the shuffle.
         belief = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
         found = doubted.groupBy("instance").agg(belief.alias("belief")).where(F.col("belief") >= accepted)
-        known = settle(found.union(seeded).groupBy("instance").agg(F.max("belief").alias("belief")), "pii-known")
+        known = settle(known.union(found.join(known, "instance", "left_anti")), "pii-known")
+        size, before = known.count(), size
     return known
 
 

@@ -111,6 +111,16 @@ def test_numbers_side_by_side_are_found(spark):
     assert got[15] == ("phone:23:35", 1)
 
 
+def test_contexts_are_followed_until_nothing_changes(spark):
+    # Each place hands unseen numbers on to the next, which has no seed of its own.
+    texts = [f"call the office a +1 555 010 {1000 + i} x{i}" for i in range(16)]
+    for place, handed in enumerate((12, 8, 4, 2)):
+        for i in range(handed):
+            texts += [f"call the office {"abcde"[place]} 555010{place}{10 + i}7 y", f"call the office {"abcde"[place + 1]} 555010{place}{10 + i}7 z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r.n_found for r in pii.find(df).orderBy("doc_id").collect()] == [0] * 16 + [1] * 52
+
+
 def test_pii_of_odd_rows(spark):
     df = odd_docs(spark)
     want = Counter((i, hashlib.sha256(pii.shown(brute_spans(t)).encode()).hexdigest()) for i, t in pairs(df))

@@ -6,7 +6,7 @@ its pattern (a phone number without its plus, a card number that fails the check
 without a dot), is an instance that stands in lexical patterns: the two words before it, and the
 words on both sides of it. Numbers that stand side by side are one run: what seeds leave of it is cut
 at its spaces, a part of too many digits at its other signs too, and each part, and neighbouring parts
-together, are readings of the run. Spark scores the graph of patterns and instances in rounds:
+together, are readings of the run, one for each kind that their digits allow. Spark scores the graph of patterns and instances in rounds:
 
 * a pattern's confidence in a kind is the weight of its known instances of that kind over that of
   all its distinct instances, where those of unknown standing count `UNKNOWN` each, of the readings of
@@ -120,7 +120,7 @@ def _kinds(shown: str, digits: int) -> tuple[int, ...]:
     """The kinds whose shape a bare number has."""
     if shown.count(".") == 3 and "(" not in shown and " " not in shown:
         return (1,)
-    return (3,) if digits <= 11 else (2,)
+    return (3,) * (digits <= 15) + (2,) * (digits >= 12)
 
 
 def _readings(text: str, start: int, end: int) -> list[Span]:
@@ -207,7 +207,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 for seed, spans in (*((True, [span]) for span in base), *((False, run) for run in runs(text, base))):
                     met = set()
                     for span in spans:
-                        instance = digest(f"{span[1]}:{text[span[0]:span[2]].lower()}".encode()) >> 1
+                        instance = digest(text[span[0]:span[2]].lower().encode()) >> 1
                         patterns = _patterns(text, span)
                         mentions.append((*span, seed, instance, *((p, p not in met) for p in patterns)))
                         met.update(patterns)
@@ -224,26 +224,26 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def discover(mentions: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT,
              accepted: float = ACCEPTED) -> DataFrame:
-    """Instances that are seeds elsewhere or become known from the patterns they stand in: instance, belief.
+    """Instances that are seeds elsewhere or become known from the patterns they stand in: instance, kind, belief.
 
-    `mentions` has instance, kind, seed, and the patterns before and around, each with whether the
+    An instance may have several kinds. `mentions` has instance, kind, seed, and the patterns before and around, each with whether the
     instance counts there while its standing is unknown.
     """
     stood = mentions.select("instance", "kind", "seed", F.explode(F.array("before", "around")).alias("in")).select(
         "instance", "kind", "seed", "in.*")
-    edges = stood.groupBy("pattern", "instance").agg(
-        F.max("kind").alias("kind"), F.max("seed").alias("seed"), F.max("counts").alias("counts"))
+    edges = stood.groupBy("pattern", "instance", "kind").agg(F.max("seed").alias("seed"), F.max("counts").alias("counts"))
     edges = settle(edges, "pii-edges")
-    elsewhere = mentions.groupBy("instance").agg(F.max("seed").alias("some"), F.min("seed").alias("all")).where(
-        F.col("some") & ~F.col("all")).select("instance", F.lit(1.0).alias("belief"))
+    elsewhere = mentions.groupBy("instance", "kind").agg(F.max("seed").alias("some"), F.min("seed").alias("all")).where(
+        F.col("some") & ~F.col("all")).select("instance", "kind", F.lit(1.0).alias("belief"))
     known = settle(elsewhere, "pii-known")
     size, before = known.count(), -1
     while size != before:
-        weighed = edges.join(known, "instance", "left").withColumn(
-            "weight", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
+        beliefs = known.groupBy("instance").agg(F.map_from_entries(F.collect_list(F.struct("kind", "belief"))).alias("beliefs"))
+        weighed = edges.join(beliefs, "instance", "left").withColumn(
+            "weight", F.when(F.col("seed"), 1.0).otherwise(F.coalesce(F.try_element_at("beliefs", "kind"), F.lit(0.0))))
         by_kind = weighed.groupBy("pattern", "kind").agg(
             F.sum("weight").alias("held"), F.sum((F.col("weight") > 0).cast("long")).alias("n_known"),
-            F.sum((F.col("counts") & (F.col("weight") == 0)).cast("long")).alias("n_unknown"))
+            F.sum((F.col("counts") & ~F.col("seed") & F.col("beliefs").isNull()).cast("long")).alias("n_unknown"))
         summed = by_kind.groupBy("pattern").agg(
             F.sum(F.col("held") + F.col("n_unknown") * F.lit(UNKNOWN)).alias("total"),
             F.max(F.struct("n_known", "held", "kind")).alias("top"))
@@ -252,8 +252,8 @@ def discover(mentions: DataFrame, support: int = SUPPORT, confident: float = CON
         doubted = edges.where(~F.col("seed")).join(good.select("pattern", "kind", "confidence"), ["pattern", "kind"])
         # Doubts are multiplied as sums of logarithms, which combine before the shuffle.
         belief = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
-        found = doubted.groupBy("instance").agg(belief.alias("belief")).where(F.col("belief") >= accepted)
-        known = settle(known.union(found.join(known, "instance", "left_anti")), "pii-known")
+        found = doubted.groupBy("instance", "kind").agg(belief.alias("belief")).where(F.col("belief") >= accepted)
+        known = settle(known.union(found.join(known, ["instance", "kind"], "left_anti")), "pii-known")
         size, before = known.count(), size
     return known
 
@@ -279,7 +279,7 @@ def find(docs: DataFrame, **settings) -> DataFrame:
     scanned = settle(scan(docs), "pii-scan")
     mentions = scanned.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     known = discover(mentions, **settings)
-    met = mentions.where(~F.col("seed")).join(known, "instance").groupBy("row").agg(
+    met = mentions.where(~F.col("seed")).join(known, ["instance", "kind"]).groupBy("row").agg(
         F.collect_list(F.struct("start", "kind", "end", "belief")).alias("met"))
 
     @F.pandas_udf("array<int>")

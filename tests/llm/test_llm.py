@@ -121,6 +121,16 @@ def test_contexts_are_followed_until_nothing_changes(spark):
     assert [r.n_found for r in pii.find(df).orderBy("doc_id").collect()] == [0] * 16 + [1] * 52
 
 
+def test_kinds_of_long_numbers_follow_their_contexts(spark):
+    texts = [f"please call the office +1 555 010 {1000 + i} today" for i in range(12)]
+    texts += [f"it was paid with card 4111 1111 1000 {k:04} there" for k in range(200) if pii.luhn(f"411111111000{k:04}")][:12]
+    texts += ["please call the office 919876543210 today", "please call the office 0049 151 23456789 today",
+              "it was paid with card 411111111113 there", "it took 919876543211 steps"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    assert [got[24 + i] for i in range(4)] == ["phone:23:35", "phone:23:40", "card:22:34", ""]
+
+
 def test_pii_of_odd_rows(spark):
     df = odd_docs(spark)
     want = Counter((i, hashlib.sha256(pii.shown(brute_spans(t)).encode()).hexdigest()) for i, t in pairs(df))

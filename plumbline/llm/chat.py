@@ -14,7 +14,8 @@ turns in order, in a pass over sorted partitions that holds one turn at a time.
 
 Defined results: null texts and roles are empty; turns with equal conversation and number are put in
 order by role, then text, and all stay; a null conversation is one of its own; a null turn number comes
-first. A record whose fingerprint is unknown gives one row in `unmapped`, no turn.
+first. A record whose fingerprint is unknown gives one row in `unmapped`, no turn; the digests have
+a row for each such fingerprint, with the number of its records and nothing else.
 """
 
 from __future__ import annotations
@@ -100,6 +101,64 @@ LAYOUTS = (
 ROLES = {"human": "user", "gpt": "assistant", "model": "assistant"}
 
 
+WHOLE = 32  # turns of the longest conversation that is written as one record
+
+
+def records_of(turns: list[tuple]) -> list[dict]:
+    """One conversation's turns (conv_id, turn, role, text), in order, in the layout of its own shape.
+
+    A prompt with its answer, after a system's text or not, is one record: `instruction` where the
+    prompt has lines below its first, else `prompt`. Other conversations are `shared` if only users
+    and assistants speak, else `messages`. Those layouts number turns from zero; conversations that
+    are numbered otherwise, that use a name of `ROLES`, or are long, are turn rows.
+    """
+    roles = [t[2] for t in turns]
+    if len(turns) > WHOLE or [t[1] for t in turns] != list(range(len(turns))) or any(r in ROLES for r in roles):
+        return [dict(zip(("conv_id", "turn", "role", "text"), t, strict=True)) for t in turns]
+    own, texts = {"id": turns[0][0]}, [t[3] for t in turns]
+    if roles == ["user", "assistant"] or roles == ["system", "user", "assistant"] and texts[0]:
+        *system, asked, answer = texts
+        own |= {"system": s for s in system}
+        first, _, rest = (asked or "").partition("\n")
+        if first and rest:
+            return [{**own, "instruction": first, "input": rest, "output": answer}]
+        return [{**own, "prompt": asked, "response": answer}]
+    if {*roles} <= {"user", "assistant"}:
+        names = {"user": "human", "assistant": "gpt"}
+        return [{**own, "conversations": [{"from": names[r], "value": t} for r, t in zip(roles, texts, strict=True)]}]
+    return [{**own, "messages": [{"role": r, "content": t} for r, t in zip(roles, texts, strict=True)]}]
+
+
+def write_records(rows: DataFrame) -> DataFrame:
+    """Turn rows (conv_id, turn, role, text) as JSON records of several layouts: column record.
+
+    Holds at most `WHOLE` turns of a conversation at a time. The records of a conversation follow each
+    other, in the order of its turns, in one partition.
+    """
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, long = object(), [], False
+        for batch in batches:
+            done = []
+            ids = ([None if v is None else int(v) for v in batch[c]] for c in ("conv_id", "turn"))
+            for turn in zip(*ids, batch["role"], batch["text"], strict=True):
+                if turn[0] != now:
+                    done += records_of(held) if held else []
+                    now, held, long = turn[0], [], False
+                held.append(turn)
+                if long or len(held) > WHOLE:
+                    done += [dict(zip(("conv_id", "turn", "role", "text"), t, strict=True)) for t in held]
+                    held, long = [], True
+            yield pd.DataFrame({"record": [json.dumps(r, ensure_ascii=False) for r in done]}, dtype=object)
+        if held:
+            yield pd.DataFrame({"record": [json.dumps(r, ensure_ascii=False) for r in records_of(held)]}, dtype=object)
+
+    shown = [F.coalesce(c, F.lit("")) for c in ("role", "text")]
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", *shown)
+    # Numbers go as text: a batch with nulls would round large ones.
+    numbers = [F.col(c).cast("string").alias(c) for c in ("conv_id", "turn")]
+    return ordered.select(*numbers, "role", "text").mapInPandas(written, "record string")
+
+
 def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, roles: Mapping[str, str] = ROLES,
                     column: str = "record") -> DataFrame:
     """conv_id, turn, role, text, layout of each turn, and unmapped: the fingerprint of a record no
@@ -179,8 +238,11 @@ def format_turns(turns: DataFrame) -> DataFrame:
         formatted, "conv_id long, turn long, role string, text string, formatted string, mask_start int, mask_end int")
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What is read back from the formatted turns of each conversation."""
+def digests(formatted: DataFrame, grouped: bool = False) -> DataFrame:
+    """What is read back from the formatted turns of each conversation.
+
+    `grouped`: the turns of a conversation already follow each other, in order, in one partition.
+    """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +271,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield _table([row()])
 
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = formatted if grouped else formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "formatted", "mask_start", "mask_end").mapInPandas(read, schema)
 
 
@@ -218,6 +280,12 @@ def _table(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
 
 
-def format_conversations(records: DataFrame) -> DataFrame:
-    """From records of any known layout to the digests of their formatted conversations."""
-    return digests(format_turns(canonical_turns(records)))
+def format_conversations(records: DataFrame, grouped: bool = False) -> DataFrame:
+    """From records of any known layout to the digests of their formatted conversations.
+
+    Records that no mapping is known for are rows of their own: `unmapped` is their fingerprint and
+    `n_records` their number, all else is null. `grouped`: as `write_records` leaves them.
+    """
+    turns = canonical_turns(records)
+    lost = turns.where("unmapped IS NOT NULL").groupBy("unmapped").agg(F.count("unmapped").alias("n_records"))
+    return digests(format_turns(turns), grouped).unionByName(lost, allowMissingColumns=True)

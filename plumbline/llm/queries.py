@@ -49,14 +49,14 @@ def op7_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, directory: str) -> DataFrame:
-    """All conversations as JSON records, and conversation -1, whose texts are control strings."""
+    """All conversations as JSON records of the layouts of their shapes, and conversation -1, whose texts
+    are control strings; a record without a mapping would be a row of nulls."""
     rows = read(spark, directory, "conversations").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    record = F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"})
-    return chat.format_conversations(rows.unionByName(extra).select(record.alias("record")))
+    return chat.format_conversations(chat.write_records(rows.unionByName(extra)), grouped=True).drop("unmapped", "n_records")
 
 
 def op9_chunks(spark: SparkSession, directory: str) -> DataFrame:

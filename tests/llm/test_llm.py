@@ -371,6 +371,36 @@ def test_layouts_become_canonical_turns(spark):
     assert len(got[None]) == 2
 
 
+def test_conversations_are_written_in_the_layouts_of_their_shapes(spark):
+    def talk(conv_id, *said, first=0):
+        return [(conv_id, first + k, role, text) for k, (role, text) in enumerate(said)]
+
+    q, a = ("user", "q é"), ("assistant", "a\n")
+    rows = [*talk(1, q, a), *talk(2, ("system", "s"), ("user", "q\nmore\nlines"), a), *talk(3, q, a, q), *talk(4, ("system", ""), q, a),
+            *talk(5, q, a, first=1), *talk(6, ("human", "h"), a), *talk(7, *[q, a] * 50), *talk(8, (None, None), q), *talk(None, q, a),
+            *talk(9, q, ("assistant", None)), (10, None, "user", "x"), (10, 0, "user", "x"), *talk(11, ("user", "\nx"), a)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat.write_records(df)
+    turns = chat.canonical_turns(records).collect()
+    used = {}
+    for t in turns:
+        used.setdefault(t.layout, set()).add(t.conv_id)
+    assert used == {"prompt": {1, 9, 11, None}, "instruction": {2}, "shared": {3}, "messages": {4, 8}, "turn rows": {5, 6, 7, 10}}
+    plain = F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"})
+    want = chat.format_conversations(df.select(plain.alias("record"))).collect()
+    assert len(want) == 12
+    for grouped in (False, True):
+        assert Counter(chat.format_conversations(records, grouped).collect()) == Counter(want)
+
+
+def test_records_without_a_mapping_are_counted(spark):
+    records = ['{"id": 1, "prompt": "q", "response": "a"}', '{"id": 2, "prompt": "q", "response": "a", "source": "x"}',
+               '{"id": 3, "prompt": "q", "response": "b", "source": "y"}', '{"id": 4, "messages": []}']
+    got = chat.format_conversations(spark.createDataFrame([(r,) for r in records], "record string")).collect()
+    assert sorted((r.conv_id or 0, r.n_records or 0) for r in got) == [(0, 1), (0, 2), (1, 0)]
+    assert all((r.unmapped is None) == (r.n_turns is not None) for r in got)
+
+
 def test_formatting_is_reversible():
     rng = random.Random(6)
     bits = [*chat.CONTROLS, "\\", "\n", "n", "s", "<", "[", "]", "é", "/"]

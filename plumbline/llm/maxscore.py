@@ -13,8 +13,9 @@ Shards and blocks of queries have fixed sizes, so a task holds one of each howev
 each block of queries meets each shard once. Scores are sums of integers, exact in any order.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, neither
-as queries nor as candidates; missing components of shorter vectors count as zero. A vec_id stands
-for one vector: of repeated ones the smallest; null ids take no part. Ties go to the smaller vec_id.
+as queries nor as candidates; missing components of shorter vectors count as zero. Null ids take no
+part. All different vectors of one vec_id take part, as queries and as candidates; the score of two
+ids is the best of their vectors', and an id has one rank at most. Ties go to the smaller vec_id.
 Scores are 64-bit and exact while the largest possible score is below 2^63.
 """
 
@@ -40,8 +41,7 @@ def integer_vectors(table: DataFrame, scale: int = 256) -> DataFrame:
     whole = F.col("embedding").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = table.where(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False)))
     parts = F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("double"))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), parts.alias("parts")).groupBy("vec_id").agg(
-        F.min("parts").alias("parts"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), parts.alias("parts")).distinct()
 
 
 def _matrix(arrays, width: int) -> np.ndarray:
@@ -52,15 +52,23 @@ def _matrix(arrays, width: int) -> np.ndarray:
 
 
 class _Best:
-    """The k best of every query so far; rows are kept by falling score, then rising id."""
+    """The k best ids of every query so far; they are kept by falling score, then rising id.
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
+    `repeated`: an id may be added more than once.
+    """
+
+    def __init__(self, queries: int, k: int, repeated: bool = False):
+        self.k, self.repeated = k, repeated
         self.scores = np.full((queries, k), -np.inf)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
     def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Takes scored vectors, in any number for a query."""
+        if self.repeated:
+            order = np.lexsort((-scores, ids, query))
+            query, ids, scores = query[order], ids[order], scores[order]
+            first = np.append(True, (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]))[:len(query)]
+            query, ids, scores = query[first], ids[first], scores[first]
         order = np.lexsort((ids, -scores, query))
         query, ids, scores = query[order], ids[order], scores[order]
         heads = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.empty(0, int)
@@ -71,6 +79,11 @@ class _Best:
         all_ids = np.hstack([self.ids[touched], np.full((len(touched), self.k), np.iinfo(np.int64).max)])
         all_scores = np.hstack([self.scores[touched], np.full((len(touched), self.k), -np.inf)])
         all_ids[row, self.k + place], all_scores[row, self.k + place] = ids, scores
+        if self.repeated:
+            order = np.lexsort((-all_scores, all_ids), axis=1)
+            all_ids, all_scores = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
+            again = np.hstack([np.zeros((len(touched), 1), bool), all_ids[:, 1:] == all_ids[:, :-1]])
+            all_ids, all_scores = np.where(again, np.iinfo(np.int64).max, all_ids), np.where(again, -np.inf, all_scores)
         best = np.lexsort((all_ids, -all_scores), axis=1)[:, :self.k]
         self.ids[touched] = np.take_along_axis(all_ids, best, 1)
         self.scores[touched] = np.take_along_axis(all_scores, best, 1)
@@ -84,7 +97,7 @@ def shard_top(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, i
     bounds = np.where(queries > 0, queries * high, queries * low)  # never negative
     rising = np.argsort(bounds, axis=1, kind="stable")
     reach = np.cumsum(np.take_along_axis(bounds, rising, 1), axis=1)  # of the terms up to a place
-    best = _Best(len(queries), k)
+    best = _Best(len(queries), k, len(np.unique(ids)) < len(ids))
     start = 0
     while start < len(vectors):
         own = vectors[start:start + (STEP if start else FIRST)]
@@ -126,12 +139,12 @@ def _exact(queries: np.ndarray, vectors: np.ndarray) -> bool:
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score: each query's k best among all vectors but its own.
 
-    `vectors` has vec_id (unique) and parts (array<double>); `is_query` is a condition on vec_id.
+    `vectors` has vec_id and parts (array<double>), no row twice; `is_query` is a condition on vec_id.
     """
     vectors = settle(vectors, "vectors")
     counted = vectors.agg(F.count("vec_id"), F.count(F.when(is_query, 1))).first()
     shards, blocks = -(-counted[0] // shard) or 1, -(-counted[1] // block) or 1
-    spread = F.xxhash64("vec_id")
+    spread = F.xxhash64("vec_id", "parts")  # of rows, as one id may have many
     every_block, every_shard = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(shards - 1))
     candidates = vectors.select(F.pmod(spread, F.lit(shards)).cast("int").alias("shard"), F.explode(every_block).alias("block"),
                                 "vec_id", "parts")
@@ -155,7 +168,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, shard: int = SHARD,
     found = candidates.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(
         searched, "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

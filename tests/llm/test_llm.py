@@ -161,6 +161,24 @@ def test_search_equals_brute_force(spark, shard, block):
     assert sorted(map(tuple, got.collect())) == brute_top(vectors, 20, 5)
 
 
+@pytest.mark.parametrize("shard,block", [(50, 3), (4096, 2048)])
+def test_search_takes_every_vector_of_an_id(spark, shard, block):
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 150), [float(rng.choice([0, -3, 1, 2, 7])) for _ in range(6)]) for _ in range(600)]
+    best = {}
+    for q, a in rows:
+        for v, b in rows:
+            if q % 10 == 0 and v != q:
+                best[q, v] = max(best.get((q, v), -10**9), int(sum(x * y for x, y in zip(a, b, strict=True))))
+    want = []
+    for q in {q for q, _ in best}:
+        top = sorted((-s, v) for (p, v), s in best.items() if p == q)[:5]
+        want += [(q, rank, v, -s) for rank, (s, v) in enumerate(top, 1)]
+    table = spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<float>")
+    got = maxscore.top_k(maxscore.integer_vectors(table, 1), F.col("vec_id") % 10 == 0, 5, shard, block)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_search_of_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (50, [0.5]), (1, [float("nan"), 1.0]), (2, None), (3, [None, 1.0]), (4, []), (5, [float("inf")]), (0, [1.0, 2.0]), (None, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import settle, texts
+from plumbline.llm.common import settle, text_or_empty, texts
 
 WORDS = 3     # words of a shingle
 SEED = 42     # of XXH64
@@ -121,15 +121,17 @@ def simhash(text: str, n_words: int = WORDS) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, n_words: int = WORDS, hashed_text: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; with the text's hash as text_hash if asked for."""
+    more = ["text_hash"] if hashed_text else []
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.array([simhash(t, n_words) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": prints.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": prints.view(np.int64), **{c: batch[c] for c in more}})
 
-    return texts(docs).mapInPandas(hashed, "doc_id long, fp long")
+    rows = texts(docs).withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text", *more)
+    return rows.mapInPandas(hashed, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in more)]))
 
 
 def forest(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,26 +222,33 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select("v", F.col("u").alias("root"))
 
 
+def _rooted(prints: DataFrame, low, max_bits: int, bucket: int) -> DataFrame:
+    """fp, low and root of each distinct fingerprint; `low` is an aggregate of its rows."""
+    distinct = settle(prints.groupBy("fp").agg(low.alias("low")), "fingerprints")
+    roots = components(links(distinct.select("fp"), max_bits, bucket)).withColumnRenamed("v", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits) and component_id."""
     prints = settle(fingerprints(docs, n_words), "simhash")
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")), "fingerprints")
-    roots = components(links(distinct.select("fp"), max_bits, bucket)).withColumnRenamed("v", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    labels = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
+    rooted = _rooted(prints, F.min("doc_id"), max_bits, bucket)
+    labels = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     labelled = rooted.select("fp", "root").join(labels, "root").select("fp", "component_id")
     return prints.join(labelled, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, n_words: int = WORDS, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all its columns.
+    """One row of each component, that with the smallest doc_id, with all its columns.
 
-    Of repeated rows one stays; rows without doc_id stay where no row of their component has one.
+    Of rows with that doc_id and different texts the one with the smallest hash of its text stays, and
+    of repeated rows one. A row without doc_id stays where no row of its component has one.
     """
-    labelled = near_duplicates(docs, n_words, max_bits, bucket)
-    kept = labelled.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_"]), "left_semi")
-    columns = rows.columns
-    return rows.withColumn("same__", F.xxhash64("text")).dropDuplicates(["doc_id", "same__"]).select(
-        *[F.col(f"`{c}`") for c in columns])
+    prints = settle(fingerprints(docs, n_words, True), "simhash")
+    low = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash"))
+    kept = _rooted(prints, low, max_bits, bucket).groupBy("root").agg(F.min("low").alias("low")).select(
+        F.col("low.doc_id").alias("kept_"), F.col("low.text_hash").alias("hash_"))
+    rows = docs.withColumn("id__", F.col("doc_id").cast("long")).withColumn("same__", F.xxhash64(text_or_empty()))
+    first = rows.join(kept, rows["id__"].eqNullSafe(kept["kept_"]) & (rows["same__"] == kept["hash_"]), "left_semi")
+    return first.dropDuplicates(["id__", "same__"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -248,6 +248,17 @@ def test_components_equal_brute_force(spark, docs, bucket):
         assert Counter(map(tuple, golay.near_duplicates(df, bucket=bucket).collect())) == want
 
 
+def test_one_row_of_each_component_stays(spark):
+    body = [f"group {g} " + " ".join(f"w{g}x{k}" for k in range(400)) for g in range(4)]
+    rows = [(1, body[0]), (None, body[0].upper()), (None, body[1]), (None, body[1].upper()), (5, body[2]), (5, body[2].upper()),
+            (5, body[3]), (4, body[3].upper()), (4, body[3].upper()), (None, body[3])]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert len({golay.simhash(t) for t in body}) == 4
+    got = [tuple(r) for r in golay.keep_first(df).collect()]
+    assert Counter(t.lower().split()[1] for _, t in got) == Counter("0123")
+    assert {t.lower().split()[1]: i for i, t in got} == {"0": 1, "1": None, "2": 5, "3": 4}
+
+
 def test_no_pair_of_fingerprints_is_missed(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)

@@ -15,7 +15,8 @@ The folder must be reachable by pyarrow from every executor (a shared mount, or
 the written manifest lists count, so a task that is run again does no harm.
 
 Defined results: a null text is empty and gives the end id alone; rows with equal doc_id follow each
-other in the order of their texts; rows without doc_id come first; an empty table gives no file.
+other in the order of their texts; rows without doc_id come first; an empty table gives no file. The
+strings of special tokens in a text are ordinary text, or with `special` those tokens' ids.
 """
 
 from __future__ import annotations
@@ -59,11 +60,11 @@ class WordEncoder:
     the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special  # true: their strings are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {}
@@ -110,8 +111,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, special: bool = False) -> WordEncoder:
+    return WordEncoder(path, special)
 
 
 def _schema(dtype: np.dtype, length: int) -> pa.Schema:
@@ -184,7 +185,7 @@ def sequence(address: str, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
-              length: int = LENGTH, rows: int = ROWS) -> DataFrame:
+              length: int = LENGTH, rows: int = ROWS, special: bool = False) -> DataFrame:
     """Writes the files and returns their manifest: part, n_tokens, n_docs and the base of each.
 
     The manifest has a row per file; `base` is the number of ids in all files before it.
@@ -196,7 +197,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         head = next(batches, None)
         if head is None:
             return
-        words = encoder(tokenizer)
+        words = encoder(tokenizer, special)
         end = np.array([end_id], words.dtype).tobytes()
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
@@ -278,7 +279,7 @@ def _read_file(ids_file: str, docs_file: str, base: int) -> Iterator[pd.DataFram
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None,
-              length: int = LENGTH, rows: int = ROWS) -> DataFrame:
+              length: int = LENGTH, rows: int = ROWS, special: bool = False) -> DataFrame:
     """Writes a corpus' ids and reads every document back from the files."""
     folder = folder or shared_folder(docs.sparkSession, "arrow-ids")
-    return read_documents(write_ids(docs, folder, tokenizer, end_id, length, rows))
+    return read_documents(write_ids(docs, folder, tokenizer, end_id, length, rows, special))

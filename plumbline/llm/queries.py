@@ -26,7 +26,7 @@ def op2_maxscore(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op3_arrow_ids(spark: SparkSession, directory: str) -> DataFrame:
-    return arrowids.token_ids(read(spark, directory, "documents"), WORD_BPE, END_ID)
+    return arrowids.token_ids(read(spark, directory, "documents"), WORD_BPE, END_ID, special=True)
 
 
 def op4_simhash(spark: SparkSession, directory: str) -> DataFrame:

@@ -189,6 +189,17 @@ def test_search_of_odd_vectors(spark):
 
 # Token ids
 
+def test_arrow_ids_of_special_strings_equal_the_plain_call(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>Y. <|endoftext|>!", "<|endoftext|", "\t<|ENDOFTEXT|> é<|endoftext|>é\n<|startoftext|>"]
+    odd_docs(spark).select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")) \
+        .coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = [(i, zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, END_ID], "<u4").tobytes())) for i, t in pairs(df)]
+    got = QUERIES["op3_arrow_ids"](spark, str(tmp_path)).select("doc_id", "ids_crc32").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_arrow_ids_equal_the_library(spark, docs, tmp_path):
     tokenizer = Tokenizer.from_file(WORD_BPE)
     tokenizer.encode_special_tokens = True

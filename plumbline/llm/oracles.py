@@ -82,4 +82,82 @@ d AS (SELECT t.*, whole, rest, coalesce(sum(t.tokens) OVER (PARTITION BY domain,
 SELECT doc_id, domain, language, origin, tokens, (whole + (start < rest)::INTEGER)::BIGINT AS copies FROM d WHERE whole + (start < rest)::INTEGER > 0
 """
 
-ORACLES = {"op2_maxscore": OP2, "op5_fixity": OP5, "op8_chat": OP8, "op10_mixing": OP10}
+def _crc32(text: str) -> str:
+    """The unsigned crc32 of a text's UTF-8 bytes, bit by bit."""
+    return f"""xor(list_reduce([('0x' || h)::BIGINT FOR h IN regexp_extract_all(hex(encode({text})), '..')], lambda crc, byte:
+    list_reduce([xor(crc, byte), 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: xor(c >> 1, (c & 1) * 3988292384)), 4294967295::BIGINT), 4294967295)"""
+
+
+def _field(name: str) -> str:
+    """A field as it is hashed in a manifest."""
+    return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
+
+
+# No group of these tables decides the capacity by itself; shards of such groups are tested by brute force.
+OP11 = f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+g AS (SELECT text, min(doc_id) AS first_id, sum(strlen(text) + 1)::BIGINT AS bytes FROM t GROUP BY text),
+e AS (SELECT text, bytes, sum(bytes) OVER (ORDER BY first_id NULLS FIRST, sha256(text))::BIGINT AS "end" FROM g),
+-- One step of a fill at a time: a shard more, or the next capacity once the fill is decided.
+search AS (
+  SELECT max(bytes) AS low, max("end") AS high, 0::BIGINT AS "at", 1 AS used FROM e
+  UNION ALL
+  SELECT CASE WHEN reach < total AND used = 16 THEN middle + 1 ELSE low END, CASE WHEN reach = total THEN middle ELSE high END,
+    CASE WHEN reach = total OR used = 16 THEN 0 ELSE reach END, CASE WHEN reach = total OR used = 16 THEN 1 ELSE used + 1 END
+  FROM (SELECT low, high, used, (low + high) // 2 AS middle, max(e."end") AS reach, (SELECT max("end") FROM e) AS total
+    FROM search s JOIN e ON e."end" <= s."at" + (s.low + s.high) // 2 WHERE low < high GROUP BY ALL)),
+cut AS (
+  SELECT 0::BIGINT AS "at"
+  UNION ALL
+  SELECT max(e."end") FROM cut c JOIN e ON e."end" > c."at" AND e."end" <= c."at" + (SELECT min(low) FROM search WHERE low = high) GROUP BY c."at"),
+s AS (SELECT text, "end", (SELECT count(*) FROM cut WHERE cut."at" > 0 AND cut."at" < e."end")::INTEGER AS shard FROM e),
+k AS (SELECT text, {_crc32("text")} AS text_crc32 FROM g)
+SELECT doc_id, (strlen(t.text) + 1)::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY "end", doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM t JOIN s ON t.text = s.text JOIN k ON t.text = k.text
+"""
+
+OP13 = f"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, text, {_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} AS head FROM documents),
+d AS (SELECT doc_id, lang, sha256(head || {_field("text")}) AS leaf,
+  CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN sha256(head || {_field("low")}) END AS changed
+  FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM f)),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d),
+-- Every level of every group: n nodes, their places.
+tree AS (
+  SELECT lang, 0 AS level, place, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM p
+  UNION ALL
+  SELECT lang, level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (max(n) + 7) // 8 FROM tree WHERE n > 1 GROUP BY lang, level, place // 8),
+tops AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM tree WHERE n = 1),
+above AS (
+  SELECT 0 AS level, place, subroot AS node, count(*) OVER () AS n FROM tops
+  UNION ALL
+  SELECT level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (max(n) + 7) // 8 FROM above WHERE n > 1 GROUP BY level, place // 8),
+side AS (
+  SELECT lang, level, place, coalesce(string_agg(node, '' ORDER BY place) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(node, '' ORDER BY place) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM tree WHERE n > 1 WINDOW w AS (PARTITION BY lang, level, place // 8 ORDER BY place)),
+outer_side AS (
+  SELECT level, place, coalesce(string_agg(node, '' ORDER BY place) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(node, '' ORDER BY place) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM above WHERE n > 1 WINDOW w AS (PARTITION BY level, place // 8 ORDER BY place)),
+steps AS (
+  SELECT p.lang, p.place, s.level, s.l, s.r FROM p JOIN side s ON p.lang IS NOT DISTINCT FROM s.lang AND s.place = p.place // (8 ** s.level)::BIGINT
+  UNION ALL
+  SELECT p.lang, p.place, 1000 + s.level, s.l, s.r FROM p JOIN tops ON p.lang IS NOT DISTINCT FROM tops.lang
+    JOIN outer_side s ON s.place = tops.place // (8 ** s.level)::BIGINT),
+paths AS (SELECT lang, place, string_agg(l || r, '' ORDER BY level) AS proof, list(l ORDER BY level) AS ls, list(r ORDER BY level) AS rs FROM steps GROUP BY lang, place),
+folds AS (
+  SELECT p.lang, p.place, 0 AS k, coalesce(changed, leaf) AS node, coalesce(ls, []) AS ls, coalesce(rs, []) AS rs
+  FROM p LEFT JOIN paths ON p.lang IS NOT DISTINCT FROM paths.lang AND p.place = paths.place
+  UNION ALL
+  SELECT lang, place, k + 1, sha256(ls[k + 1] || node || rs[k + 1]), ls, rs FROM folds WHERE k < len(ls))
+SELECT p.doc_id, leaf, subroot, (SELECT node FROM above WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, folds.node AS folded_root,
+  folds.node = (SELECT node FROM above WHERE n = 1) AS verified
+FROM p JOIN tops ON p.lang IS NOT DISTINCT FROM tops.lang
+JOIN folds ON p.lang IS NOT DISTINCT FROM folds.lang AND p.place = folds.place AND k = len(ls)
+LEFT JOIN paths ON p.lang IS NOT DISTINCT FROM paths.lang AND p.place = paths.place
+"""
+
+ORACLES = {"op2_maxscore": OP2, "op5_fixity": OP5, "op8_chat": OP8, "op10_mixing": OP10, "op11_minimax": OP11, "op13_manifest": OP13}

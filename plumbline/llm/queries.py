@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import arrowids, bytebpe, chat, chunks, fixity, golay, maxscore, mixing, pii, toxicity
+from plumbline.llm import (
+    arrowids, bytebpe, chat, chunks, fixity, golay, manifest, maxscore, mixing, pii, shards, toxicity, whitening,
+)
 from plumbline.llm.common import read
 
 # Where the vocabularies are; the operators take the path as a parameter.
@@ -67,5 +69,18 @@ def op10_mixing(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.selection(read(spark, directory, "documents"), WEIGHTS, SHARE)
 
 
+def op11_minimax(spark: SparkSession, directory: str) -> DataFrame:
+    return shards.shards(read(spark, directory, "documents"))
+
+
+def op12_whitening(spark: SparkSession, directory: str) -> DataFrame:
+    return whitening.whiten(read(spark, directory, "embeddings"))
+
+
+def op13_manifest(spark: SparkSession, directory: str) -> DataFrame:
+    return manifest.manifest(read(spark, directory, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_pii, op2_maxscore, op3_arrow_ids, op4_simhash, op5_fixity, op6_toxicity, op7_byte_bpe, op8_chat, op9_chunks, op10_mixing)}
+    op1_pii, op2_maxscore, op3_arrow_ids, op4_simhash, op5_fixity, op6_toxicity, op7_byte_bpe, op8_chat, op9_chunks, op10_mixing,
+    op11_minimax, op12_whitening, op13_manifest)}

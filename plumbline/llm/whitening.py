@@ -62,6 +62,7 @@ def positive_pivots(matrix: np.ndarray) -> int:
 
 
 def _apart(vector: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
+    vector = vector / np.abs(vector).max()
     for _ in range(2):
         for other in found:
             vector = vector - (other @ vector) * other
@@ -79,50 +80,52 @@ def _solve(matrix: np.ndarray, shift: float, vector: np.ndarray, slack: float) -
 
 def _refine(matrix: np.ndarray, low: float, high: float, found: list[np.ndarray], slack: float) -> tuple[float, np.ndarray] | None:
     """Rayleigh quotient iteration to the eigenvalue in (low, high); None if it leaves the interval."""
-    vector = _apart(np.random.default_rng(1).standard_normal(len(matrix)), found)
-    shift, last = (low + high) / 2, None
+    vector = _apart(np.random.default_rng(len(found)).standard_normal(len(matrix)), found)
+    shift = (low + high) / 2
     for step in range(40):
         vector = _apart(_solve(matrix, shift, vector, slack), found)
         quotient = float(vector @ matrix @ vector)
         inside = low - slack <= quotient <= high + slack
-        if step >= 3:  # the first steps keep the middle as shift
-            if not inside:
-                return None
-            shift = quotient
-        residual = float(np.linalg.norm(matrix @ vector - quotient * vector))
-        if inside and last is not None and residual <= slack and residual >= last / 4:
+        if step < 3:
+            continue  # the first steps keep the middle as shift
+        if not inside:
+            return None
+        if step > 5 and np.linalg.norm(matrix @ vector - quotient * vector) <= slack:
             return quotient, vector
-        last = residual
+        shift = quotient
     return None
 
 
 def leading(matrix: np.ndarray, k: int = K) -> list[tuple[float, np.ndarray]]:
     """The k greatest eigenvalues above rounding, falling, with unit eigenvectors (largest entry positive)."""
-    bound = float(np.abs(matrix).sum(axis=1).max(initial=0.0))
-    slack, eye = 4 * EPS * bound * max(1, len(matrix)), np.eye(len(matrix))
+    scale = float(np.abs(matrix).sum(axis=1).max(initial=0.0))
+    if not scale:
+        return []
+    matrix = matrix / scale  # every eigenvalue is at most 1
+    slack, eye = 4 * EPS * len(matrix), np.eye(len(matrix))
     found: list[tuple[float, np.ndarray]] = []
 
     def above(shift: float) -> int:
         return positive_pivots(matrix - shift * eye)
 
     for number in range(1, min(k, len(matrix)) + 1):
-        low, high, n_low, n_high = slack, bound + slack, above(slack), 0
+        low, high, n_low, n_high = slack, 1 + slack, above(slack), 0
         if n_low < number:
             break  # no variance is left
         while True:
             narrow = high - low <= slack
             if narrow or n_low - n_high == 1:
                 refined = _refine(matrix, low, high, [v for _, v in found], slack)
-                if refined or narrow:
+                if refined and above(refined[0] + 2 * slack) < number <= above(refined[0] - 2 * slack):
                     break
+                if narrow:
+                    raise ArithmeticError(f"eigenvalue {number} could not be certified")
             middle = (low + high) / 2
             n_middle = above(middle)
             low, high, n_low, n_high = (middle, high, n_middle, n_high) if n_middle >= number else (low, middle, n_low, n_middle)
-        if refined is None or not above(refined[0] + 2 * slack) < number <= above(refined[0] - 2 * slack):
-            raise ArithmeticError(f"eigenvalue {number} could not be certified")
         value, vector = refined
         found.append((value, vector * np.sign(vector[np.abs(vector).argmax()])))
-    return found
+    return [(value * scale, vector) for value, vector in found]
 
 
 def exact(embeddings: DataFrame) -> DataFrame:

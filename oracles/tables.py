@@ -49,11 +49,20 @@ def profile_columns() -> str:
     return with_views(" UNION ALL ".join(parts))
 
 
+def exact_median(table: str, column: str) -> str:
+    """The median of integers and decimals with four places, as text."""
+    if TYPES[table][COLUMNS[table].index(column)] == "double":
+        return "NULL::VARCHAR"
+    values, n = f"list_sort(list({column}) FILTER ({column} IS NOT NULL))", f"count({column})"
+    middle = [f"CAST({values}[{place}] AS DECIMAL(38, 4))" for place in (f"({n} + 1) // 2", f"{n} // 2 + 1")]
+    return f"CAST(CAST(({middle[0]} + {middle[1]}) * 0.5 AS DECIMAL(38, 4)) AS VARCHAR)"
+
+
 def profile_numeric() -> str:
     return with_views(" UNION ALL ".join(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(min({c}) AS DOUBLE) AS min_value, "
         f"CAST(max({c}) AS DOUBLE) AS max_value, round(avg(CAST({c} AS DOUBLE)), 2) AS mean_value, "
-        f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median_value, "
+        f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 4) AS median_value, {exact_median(t, c)} AS median_exact, "
         f"round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS stddev_value FROM {t}"
         for t in SCANNED for c in NUMERIC[t]))
 

@@ -14,7 +14,7 @@ from plumbline.sources.values import literal_rows
 
 NUMERIC_PROFILE = (
     "table_name string, column_name string, min_value double, max_value double, mean_value double, "
-    "median_value double, stddev_value double"
+    "median_value double, median_exact string, stddev_value double"
 )
 TEXT_PROFILE = "table_name string, column_name string, min_length int, max_length int, avg_length double"
 TOP_VALUES = "table_name string, column_name string, value string, value_count bigint"
@@ -77,7 +77,8 @@ def profile_columns(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
 
 
 def profile_numeric(df: DataFrame, table: str) -> DataFrame:
-    """Least, greatest, mean, median and spread of the numeric columns."""
+    """Least, greatest, mean, median and spread of the numeric columns; integers and decimals also have their
+    median as text, with every digit to four places."""
     columns = numeric_columns(df)
     if not columns:
         return literal_rows(df.sparkSession, NUMERIC_PROFILE, [])
@@ -96,11 +97,11 @@ def profile_numeric(df: DataFrame, table: str) -> DataFrame:
         for c in columns
     ])))
     medians = exact_quantiles(df, columns, (0.5,)).select(
-        "column_name", F.round("value", 4).alias("median_value")
+        "column_name", F.round("value", 4).alias("median_value"), F.col("exact").alias("median_exact")
     )
     return stats.join(medians, "column_name", "left").select(
         F.lit(table).alias("table_name"), "column_name", "min_value", "max_value", "mean_value", "median_value",
-        "stddev_value",
+        "median_exact", "stddev_value",
     )
 
 

@@ -78,15 +78,28 @@ def test_a_gap_in_the_values_does_not_fill_one_slice(spark):
     assert found.first().value == pytest.approx(np.quantile(values, 0.5), rel=1e-12)
 
 
-def test_quantiles_do_not_rely_on_good_points(spark, monkeypatch):
-    """Coarse points only make brackets wider."""
-    monkeypatch.setattr(quantiles, "POINTS", 10)
-    monkeypatch.setattr(quantiles, "ACCURACY", 50)
-    monkeypatch.setattr(quantiles, "SLICES", 3)
-    values = list(np.random.default_rng(5).normal(0, 1, 40000))
-    got = {r.prob: r.value for r in exact_quantiles(as_column(spark, values, 20), ["v"], (0.1, 0.5, 0.9)).collect()}
-    for prob, value in got.items():
-        assert value == pytest.approx(np.quantile(values, prob), rel=1e-12)
+def test_quantiles_descend_to_single_values(spark, monkeypatch):
+    """With hardly anything to sort, the rounds go on to single keys."""
+    monkeypatch.setattr(quantiles, "GATHERED", 2)
+    normal = list(np.random.default_rng(5).normal(0, 1, 4000))
+    for values in (normal, [0.0, -0.0, 1e-300, 5e-324] * 40 + [-1.0] * 7, [1e18, 1.0] * 50):
+        got = {r.prob: r.value for r in exact_quantiles(as_column(spark, values, 20), ["v"], (0.1, 0.5, 0.9)).collect()}
+        for prob, value in got.items():
+            assert value == pytest.approx(np.quantile(values, prob), rel=1e-12)
+
+
+def test_quantiles_keep_every_digit(spark, monkeypatch):
+    big = 9007199254740993
+    rows_ = [(big + i, Decimal(f"{10 ** 32 + i}E-2"), -i) for i in range(-20, 21)] + [(None, None, None)]
+    df = literal_rows(spark, "a bigint, b decimal(38,2), c int", rows_).repartition(5)
+    for gathered in (1, 100):
+        monkeypatch.setattr(quantiles, "GATHERED", gathered)
+        got = {(r.column_name, r.prob): r.exact for r in exact_quantiles(df, ["a", "b", "c"], (0.5, 0.9, 0.4125)).collect()}
+        assert got["a", 0.5] == f"{big}.0000" and got["b", 0.5] == f"{10 ** 30}.0000" and got["c", 0.5] == "0.0000"
+        assert got["a", 0.9] == f"{big + 16}.0000" and got["c", 0.9] == "16.0000"
+        assert got["a", 0.4125] == f"{big - 4}.5000" and got["b", 0.4125] == f"{10 ** 30 - 1}.9650" and got["c", 0.4125] == "-3.5000"
+    medians = profile_numeric(df.select("a"), "t").first()
+    assert medians.median_exact == f"{big}.0000"
 
 
 def test_quantiles_of_nothing(spark):

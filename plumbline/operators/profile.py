@@ -1,10 +1,10 @@
-"""Column profiles: one pass for counts and ranges, one aggregation per column for its values."""
+"""Column profiles: one pass for counts and ranges, one for the values of all columns."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.binding import col, is_text
 from plumbline.functions.numbers import half_up, percent
@@ -33,33 +33,71 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.where(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def profile_columns(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
-    """Type, nulls and distinct values of every column.
-
-    Distinct values are counted column by column: a single aggregation over several distinct
-    counts would multiply every row by the number of columns. `exact=False` sketches them all
-    in the one pass that counts the nulls.
+# Values longer than this are told apart by their sha256.
+WIDE = 64
+# Where a value of each family stands in its group's key; the others are null.
+FAMILIES = {"whole": "bigint", "real": "double", "text": "string"}
+
+
+def _tagged(field: T.StructField) -> dict[str, Column]:
+    """A value in its family: integers, dates and the like as integers, floats as doubles, the rest as text."""
+    kind, value = field.dataType, col(field.name)
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return {"whole": value.cast("bigint")}
+    if isinstance(kind, T.DateType):
+        return {"whole": F.unix_date(value).cast("bigint")}
+    if isinstance(kind, T.TimestampType):
+        return {"whole": F.unix_micros(value)}
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return {"real": value.cast("double")}
+    if isinstance(kind, T.BinaryType):
+        text = F.hex(value)
+    elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        text = F.when(value.isNotNull(), F.to_json(F.struct(value), {"ignoreNullFields": "false"}))
+    else:
+        text = value.cast("string")
+    narrow = F.octet_length(text) <= WIDE
+    return {"text": F.when(narrow, text).when(text.isNotNull(), F.concat(F.lit(" " * WIDE), F.sha2(text, 256)))}
+
+
+def _distinct_counts(df: DataFrame) -> DataFrame:
+    """(ordinal, total_rows, null_count, distinct_count) of every column, in one pass and one shuffle.
+
+    Every value is tagged with its column's ordinal; equal ones are folded before the shuffle, so a column
+    with few values, or mostly nulls, sends few rows. A null is a group of its own.
     """
+    rows = []
+    for i, field in enumerate(df.schema.fields):
+        tagged = _tagged(field)
+        parts = [tagged.get(family, F.lit(None)).cast(kind).alias(family) for family, kind in FAMILIES.items()]
+        rows.append(F.struct(F.lit(i).alias("ordinal"), *parts))
+    values = df.select(F.inline(F.array(*rows))).groupBy("ordinal", *FAMILIES).agg(F.count(F.lit(1)).alias("n"))
+    filled = F.coalesce(*[F.col(family).cast("string") for family in FAMILIES]).isNotNull()
+    counted = values.groupBy("ordinal").agg(
+        F.sum("n").alias("total_rows"), F.sum(F.when(filled, 0).otherwise(F.col("n"))).alias("null_count"),
+        F.count_if(filled).alias("distinct_count"))
+    # An empty table has no values at all.
+    columns = literal_rows(df.sparkSession, "ordinal int", [(i,) for i in range(len(df.columns))])
+    return columns.join(counted, "ordinal", "left").na.fill(0)
+
+
+def _sketched_counts(df: DataFrame) -> DataFrame:
+    """The same in one aggregate without a shuffle of values; distinct counts are estimates."""
     stats = [F.count(F.lit(1)).alias("total")]
     for i, c in enumerate(df.columns):
-        stats.append(F.count(col(c)).alias(f"filled_{i}"))
-        stats.append((F.lit(None).cast("long") if exact else F.approx_count_distinct(col(c))).alias(f"distinct_{i}"))
-    partial = df.agg(*stats).select(F.inline(F.array(*[
+        stats += [F.count(col(c)).alias(f"filled_{i}"), F.approx_count_distinct(col(c)).alias(f"distinct_{i}")]
+    return df.agg(*stats).select(F.inline(F.array(*[
         F.struct(
             F.lit(i).alias("ordinal"), F.col("total").alias("total_rows"),
             (F.col("total") - F.col(f"filled_{i}")).alias("null_count"), F.col(f"distinct_{i}").alias("distinct_count"),
         )
         for i in range(len(df.columns))
     ])))
-    if exact:
-        for i, c in enumerate(df.columns):
-            partial = partial.unionByName(value_counts(df, c).agg(
-                F.lit(i).alias("ordinal"), F.lit(None).cast("long").alias("total_rows"),
-                F.lit(None).cast("long").alias("null_count"), F.count(F.lit(1)).alias("distinct_count"),
-            ))
-    merged = partial.groupBy("ordinal").agg(
-        *[F.max(c).alias(c) for c in ("total_rows", "null_count", "distinct_count")]
-    )
+
+
+def profile_columns(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
+    """Type, nulls and distinct values of every column; `exact=False` estimates the distinct values."""
+    merged = _distinct_counts(df) if exact else _sketched_counts(df)
     described = literal_rows(
         df.sparkSession,
         "ordinal int, ordinal_position int, table_name string, column_name string, data_type string, is_nullable string",

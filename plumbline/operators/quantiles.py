@@ -26,8 +26,8 @@ from plumbline.binding import col
 from plumbline.operators.rowscan import MAX_COUNTERS
 from plumbline.sources.values import literal_rows
 
-GATHERED = 10_000  # values that one array may hold
-CUTS = 12  # of the keys of a rank and round, if there is room for no more
+GATHERED = 50_000  # values that one array may hold
+CUTS = 3  # of the keys of a rank in a round; more make fewer rounds, but no compiled aggregate
 QUANTILES = "column_name string, prob double, value double, exact string"
 _SIGN = 1 << 63
 
@@ -99,8 +99,7 @@ def _within(rank: Rank) -> Column:
 
 def _narrow(df: DataFrame, ranks: Sequence[Rank]) -> None:
     """One round: the part of the keys that holds each rank, between the values that it has."""
-    room = max(CUTS, MAX_COUNTERS // len(ranks) - 2)
-    cuts = [rank.cuts(room) for rank in ranks]
+    cuts = [rank.cuts(CUTS) for rank in ranks]
     wanted = []
     for rank, keys in zip(ranks, cuts, strict=True):
         wanted += [F.count_if(rank.keys.value < rank.keys.literal(key)) for key in keys]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.config import AS_OF, SCANNED, open_workspace
+from plumbline.operators.profile import profile_columns
 from plumbline.operators.violations import orphan_keys
 from plumbline.plans.registry import QUERIES, past_scores
 from plumbline.plans.scan import scan, scan_before_after
@@ -51,6 +52,11 @@ def test_key_rules_read_only_their_columns(ws):
     assert re.findall(r"ReadSchema: (\S+)", text) == ["struct<l_orderkey:bigint,l_linenumber:int>"]
 
 
+def test_distinct_values_of_all_columns_share_a_scan(ws):
+    text = final_plan(profile_columns(ws.tables["lineitem"], "lineitem"))
+    assert text.count("FileScan") == 1 and len(re.findall(r"ShuffleQueryStage", text)) <= 2
+
+
 def test_violation_filters_reach_the_scan(spark, data_dir):
     text = plan(QUERIES["violations_cost"](spark, data_dir))
     assert "Exchange" not in text

@@ -32,16 +32,18 @@ def _single_counter(df: DataFrame, by, index, phase, affected, total, groups=Non
     return counter_rows(wide, by, [(index, phase, "a", "g", "t")])
 
 
-def key_counts(df: DataFrame, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Rows per key (nulls included), as column `n_rows`."""
-    return df.groupBy(*by, *[col(c) for c in key]).agg(F.count(F.lit(1)).alias("n_rows"))
+def key_counts(df: DataFrame, key: Sequence[str], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Rows per key (nulls included), as column `n_rows`. Rows that stand for several have their number in
+    `weight`, so counts of parts of a table add up to those of the whole."""
+    n_rows = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.groupBy(*by, *[col(c) for c in key]).agg(n_rows.alias("n_rows"))
 
 
-def count_duplicate_keys(df, index: int, key: Sequence[str], by=(), phase: str = CURRENT) -> DataFrame:
+def count_duplicate_keys(df, index: int, key: Sequence[str], by=(), phase: str = CURRENT, weight: str | None = None) -> DataFrame:
     """Rows whose non-null key occurs more than once, first copies included, and the number of such keys."""
     repeated = (F.col("n_rows") > 1) & all_present(key)
     return _single_counter(
-        key_counts(df, key, by), by, index, phase,
+        key_counts(df, key, by, weight), by, index, phase,
         affected=F.when(repeated, F.col("n_rows")), total=F.col("n_rows"), groups=F.when(repeated, 1),
     )
 
@@ -56,9 +58,11 @@ def parent_keys(parent: DataFrame, parent_key: str, name: str) -> DataFrame:
     return parent.where(col(parent_key).isNotNull()).select(col(parent_key).alias(name)).distinct()
 
 
-def count_orphans(df, index: int, fk: ForeignKey, parent: DataFrame, by=(), phase: str = CURRENT) -> DataFrame:
+def count_orphans(
+    df, index: int, fk: ForeignKey, parent: DataFrame, by=(), phase: str = CURRENT, weight: str | None = None
+) -> DataFrame:
     """Rows whose non-null reference names no parent row; each distinct reference is looked up once."""
-    references = key_counts(df, [fk.column], by).withColumnRenamed(fk.column, "ref")
+    references = key_counts(df, [fk.column], by, weight).withColumnRenamed(fk.column, "ref")
     known = parent_keys(parent, fk.parent_key, "ref").withColumn("known", F.lit(True))
     looked_up = references.join(known, "ref", "left")
     orphan = F.col("ref").isNotNull() & F.col("known").isNull()
@@ -77,13 +81,14 @@ def parent_dates(parent: DataFrame, link: ParentDate, name: str) -> DataFrame:
 
 
 def count_before_parent(
-    df, index: int, link: ParentDate, parent: DataFrame, by=(), phase: str = CURRENT, orphan_index: int | None = None
+    df, index: int, link: ParentDate, parent: DataFrame, by=(), phase: str = CURRENT, orphan_index: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Rows dated before their parent row; equal dates of one reference are compared once.
 
     With `orphan_index` the rows without a parent are counted in the same lookup.
     """
-    dated = key_counts(df, [link.foreign_key, link.column], by)
+    dated = key_counts(df, [link.foreign_key, link.column], by, weight)
     known = parent_dates(parent, link, link.foreign_key).withColumn("known", F.lit(True))
     joined = dated.join(known, link.foreign_key, "left")
     early = col(link.column) < F.col("parent_date")

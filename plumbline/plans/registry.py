@@ -288,42 +288,36 @@ def _health_by_month(ws: Workspace) -> DataFrame:
     )
 
 
-def _event_stream(ws: Workspace, directory: str) -> DataFrame:
-    raw = monitors.read_stream(ws.spark, directory, "events", ws.tables["events"].schema)
-    return monitors.with_event_time(dirty_events(raw), "ts")
+def _event_stream(ws: Workspace) -> DataFrame:
+    """The dirty events arriving as files, a batch each; copies of a row are in different batches."""
+    dirty = dirty_events(ws.tables["events"])
+    folder = monitors.landed(dirty, shared_folder(ws.spark, "landed"), "events")
+    return monitors.read_stream(ws.spark, folder, "events", dirty.schema, files_per_batch=1)
 
 
-def _stream_rule_counts(spark: SparkSession, directory: str) -> DataFrame:
-    ws = open_workspace(spark, directory)
+def _stream_rule_counts(ws: Workspace) -> DataFrame:
     rules = ws.bound(["events_dirty"])
-    counts = monitors.window_counts(_event_stream(ws, directory), rules)
-    kept = monitors.run_to_latest(counts, shared_folder(spark, "stream-rule-counts"))
-    named = issue_ops.grade(kept, issue_ops.rule_table(spark, rules))
+    timed = _event_stream(ws).withColumn(monitors.EVENT_TIME, monitors.event_time("ts"))
+    kept = monitors.run_window_counts(timed, rules, shared_folder(ws.spark, "stream-rule-counts"))
+    named = issue_ops.grade(kept, issue_ops.rule_table(ws.spark, rules))
     return named.select("window_start", "column_name", "rule_name", "affected_rows", "total_rows")
 
 
-def _stream_dedup(spark: SparkSession, directory: str) -> DataFrame:
-    ws = open_workspace(spark, directory)
-    raw = monitors.read_stream(spark, directory, "events", ws.tables["events"].schema)
-    first = monitors.first_occurrences(dirty_events(raw), ["event_id"])
-    return monitors.run_to_table(first, shared_folder(spark, "stream-dedup"))
+def _stream_dedup(ws: Workspace) -> DataFrame:
+    return monitors.run_first_occurrences(_event_stream(ws), ["event_id"], shared_folder(ws.spark, "stream-dedup"))
 
 
-def _stream_orphans(spark: SparkSession, directory: str) -> DataFrame:
-    ws = open_workspace(spark, directory)
+def _stream_orphans(ws: Workspace) -> DataFrame:
     fk = ws.binding("events_dirty").foreign_keys[0]
-    arriving = _event_stream(ws, directory).select("event_id", "user_id", "ts")
-    lost = monitors.run_orphans(
-        arriving, fk, ws.tables[fk.parent_table], ["event_id"], shared_folder(spark, "stream-orphans"))
-    return lost.drop("batch_id")
-
-
-def _stream_health(spark: SparkSession, directory: str) -> DataFrame:
-    ws = open_workspace(spark, directory)
-    stream = _event_stream(ws, directory).drop(monitors.EVENT_TIME)
-    kept = monitors.run_health(
-        ws, "events_dirty", stream, shared_folder(spark, "stream-health"), moment(AS_OF))
-    return kept.select(
+    arriving = _event_stream(ws).select("event_id", "user_id", "ts")
+    return monitors.run_orphans(
+        arriving, fk, ws.tables[fk.parent_table], ["event_id"], shared_folder(ws.spark, "stream-orphans"))
+
+
+def _stream_health(ws: Workspace) -> DataFrame:
+    """The health of the whole table after the last of its batches."""
+    kept = monitors.run_health(ws, "events_dirty", _event_stream(ws), shared_folder(ws.spark, "stream-health"), moment(AS_OF))
+    return kept.orderBy(F.desc("batch_id")).limit(1).select(
         "scan_id", "scan_date", "table_name", "health_score", *history.SCORE_COLUMNS, "total_issues",
         "critical_issues", "rows_at_risk",
     )
@@ -433,8 +427,8 @@ QUERIES: dict[str, Query] = {
     "contracts_eval": on_workspace(_contracts_eval),
     "contracts_active": on_workspace(_contracts_active),
     # streams
-    "stream_rule_counts": _stream_rule_counts,
-    "stream_dedup": _stream_dedup,
-    "stream_orphans": _stream_orphans,
-    "stream_health": _stream_health,
+    "stream_rule_counts": on_workspace(_stream_rule_counts),
+    "stream_dedup": on_workspace(_stream_dedup),
+    "stream_orphans": on_workspace(_stream_orphans),
+    "stream_health": on_workspace(_stream_health),
 }

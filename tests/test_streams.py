@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from plumbline.binding import col
 from plumbline.config import open_workspace
+from plumbline.operators import records
 from plumbline.operators.rowscan import count_row_rules
+from plumbline.plans.cycle import DATABASE, SCHEMA
+from plumbline.plans.scan import scan
 from plumbline.sources.defects import dirty_events
 from plumbline.sources.store import shared_folder
 from plumbline.streaming import monitors
@@ -86,15 +89,89 @@ def test_first_occurrences_that_arrive_late_are_kept(spark, tmp_path):
     assert rows(kept, "event_id") == sorted(((i,) for i in range(200)), key=repr)
 
 
-def test_health_row_per_batch(spark, ws, arriving):
+def test_health_after_every_batch_is_that_of_all_rows(spark, ws, arriving):
+    """Duplicates and orphans across batches included; the newest row is the scan of the whole table."""
     folder, arrive = arriving
-    out = shared_folder(spark, "health")
-    for i in range(2):
+    out, at = shared_folder(spark, "health"), F.lit("2024-06-01").cast("date")
+    for i in range(3):
+        arrive(i)
+        kept = monitors.run_health(ws, "events_dirty", stream_of(ws, folder), out, at)
+    assert rows(kept, "batch_id", "table_name") == [(i, "events_dirty") for i in range(3)]
+    wanted = records.scan_history_rows(scan(ws, ["events_dirty"]).scores, DATABASE, SCHEMA, at)
+    assert rows(kept.where("batch_id = 2").drop("batch_id")) == rows(wanted)
+
+
+def test_copies_in_different_batches_are_duplicates(spark, ws, tmp_path):
+    events = ws.tables["events_dirty"].limit(40).cache()
+    events.write.parquet(str(tmp_path / "landing"))
+    events.write.mode("append").parquet(str(tmp_path / "landing"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "landing"))
+    kept = monitors.run_health(ws, "events_dirty", stream, shared_folder(spark, "copies"), F.lit("2024-06-01").cast("date"))
+    assert [r.critical_issues for r in kept.orderBy("batch_id").collect()][-1] >= 1
+    first = monitors.run_first_occurrences(stream, ["event_id"], shared_folder(spark, "copies"), parts=4)
+    assert rows(first, "event_id") == rows(events.select("event_id").distinct())
+
+
+def test_streams_without_files_give_empty_tables(spark, ws, tmp_path):
+    schema = ws.tables["events_dirty"].schema
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "none"))
+    fk = ws.binding("events_dirty").foreign_keys[0]
+    timed = stream.withColumn(monitors.EVENT_TIME, monitors.event_time("ts"))
+    for kept in (
+        monitors.run_orphans(stream, fk, ws.tables["customer"], ["event_id"], shared_folder(spark, "none")),
+        monitors.run_health(ws, "events_dirty", stream, shared_folder(spark, "none"), F.lit("2024-06-01").cast("date")),
+        monitors.run_first_occurrences(stream, ["event_id"], shared_folder(spark, "none")),
+        monitors.run_window_counts(timed, ws.bound(["events_dirty"]), shared_folder(spark, "none")),
+    ):
+        assert kept.count() == 0
+
+
+def test_window_counts_of_batches_add_up(spark, ws, arriving, monkeypatch):
+    """Three batches, folded after each second one, and more rules than one aggregate counts."""
+    monkeypatch.setattr(monitors, "FOLD_EVERY", 2)
+    folder, arrive = arriving
+    out = shared_folder(spark, "added")
+    rules = [b for b in ws.bound(["events_dirty"]) if b.predicate is not None] * 12
+    assert len(rules) > 100
+    for i in range(3):
         arrive(i)
-        kept = monitors.run_health(
-            ws, "events_dirty", stream_of(ws, folder), out, F.lit("2024-06-01").cast("date"))
-    assert rows(kept, "batch_id", "table_name") == [(0, "events_dirty"), (1, "events_dirty")]
-    assert kept.where("health_score BETWEEN 20 AND 100").count() == 2
+        timed = stream_of(ws, folder).withColumn(monitors.EVENT_TIME, monitors.event_time("ts"))
+        kept = monitors.run_window_counts(timed, rules, out)
+    whole = ws.tables["events_dirty"].withColumn("window_start", F.expr("CAST(date(ts) AS timestamp_ntz)"))
+    columns = ("window_start", "rule_index", "affected_rows", "total_rows")
+    wanted = [r for part in count_row_rules(whole, list(enumerate(rules)), by=("window_start",)) for r in rows(part, *columns)]
+    assert rows(kept, *columns) == sorted(wanted, key=repr)
+    final = kept.groupBy("window_start").agg(F.min("is_final").alias("f"), F.max("is_final").alias("g")).orderBy("window_start").collect()
+    assert all(r.f == r.g for r in final) and [r.f for r in final][-1] is False and [r.f for r in final][0] is True
+
+
+def test_a_batch_that_is_run_twice_counts_once(spark, ws, arriving):
+    """The same files handed over again under the same number, as after a lost checkpoint commit."""
+    folder, arrive = arriving
+    arrive(0)
+    out = shared_folder(spark, "twice")
+    rules = ws.bound(["events_dirty"])
+    seen = []
+    for attempt in range(2):
+        stream = stream_of(ws, folder).withColumn(monitors.EVENT_TIME, monitors.event_time("ts"))
+        kept = monitors.run_window_counts(stream, rules, out)
+        first = monitors.run_first_occurrences(stream_of(ws, folder), ["event_id"], out + "-first")
+        seen.append((rows(kept), rows(first)))
+        for checkpoint in (out, out + "-first"):  # the stream forgets that it ran
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/checkpoint")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    assert seen[0] == seen[1]
+
+
+def test_the_index_of_keys_keeps_late_and_null_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(monitors, "FOLD_EVERY", 2)
+    out, landing = shared_folder(spark, "index"), str(tmp_path / "landing")
+    for ids in ([5, 6, None], [1, 5], [None, 2, 6], [1, 2, 3], [3, 3]):
+        spark.createDataFrame([(i, str(i)) for i in ids], "k long, v string").coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema("k long, v string").parquet(landing)
+        kept = monitors.run_first_occurrences(stream, ["k"], out, parts=3)
+    assert rows(kept) == sorted([(i, str(i)) for i in (None, 1, 2, 3, 5, 6)], key=repr)
 
 
 def test_event_time_ignores_the_session_zone(spark, ws):

@@ -21,6 +21,7 @@ strings of special tokens in a text are ordinary text, or with `special` those t
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,10 +39,8 @@ from plumbline.llm.common import settle, shared_folder, texts
 LENGTH = 1024  # ids of a sequence
 ROWS = 256     # sequences of a record batch
 # Words and characters a worker keeps and encodes at a time.
-CACHED = 400_000
+CACHED = 1_000_000
 CHARACTERS = 4_000_000
-# Marks that the tokenizer's patterns cut from the letters before them.
-MARKS = ".,;:!?"
 
 
 def byte_letters() -> dict[int, int]:
@@ -51,63 +50,60 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(hidden)}
 
 
-class WordEncoder:
-    """Ids of texts by the tokenizers library; words that were met before are looked up.
+# A word of Latin-1 letters, and the marks behind it.
+WORD = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+
+
+class WordEncoder(dict):
+    """Ids of texts by the tokenizers library, as bytes of `dtype`; a dictionary of the words met so far.
 
     The vocabulary drops white space and no token crosses it, so a text's ids are those of its
     words. A word of Latin-1 letters alone needs no normalising but lower case and no cutting, so
-    it goes to the library's model as it is, apart from the marks behind it; all others go through
-    the whole tokenizer.
+    it goes to the library's model as it is, and marks behind it are cut from it by the vocabulary's own
+    patterns; all other words go through the whole tokenizer.
+
+    A worker keeps two generations of words: when the younger is full it becomes the elder, and of the
+    elder only words that are met again stay.
     """
 
     def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special  # true: their strings are ordinary text
+        self.model = self.tokenizer.model.tokenize
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
         self.letters = byte_letters()
 
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        found, others = {}, []
-        model, code, letters = self.tokenizer.model.tokenize, self.dtype.char, self.letters
-        for word in words:
-            if not word.isalpha() or max(word) > "\xff":
-                others.append(word)
-                continue
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
-            found[word] = array(code, [token.id for token in model(shown)]).tobytes()
-        batch = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
-        found.update((word, array(code, e.ids).tobytes()) for word, e in zip(others, batch, strict=True))
+    def __missing__(self, word: str) -> bytes:
+        found = self.elder.get(word)
+        if found is None:
+            found = self._ids(word)
+        self[word] = found
         return found
 
-    def learn(self, words: set[str]) -> None:
-        """Ids of all these words are known afterwards."""
-        if len(self.words) + len(words) > CACHED:
-            self.words, self.cores = {"": b""}, {}
-        parts, cores = {}, self.cores
-        for word in words:
-            if word in self.words:
-                continue
-            core = word.rstrip(MARKS)
-            mark = word[len(core):]
-            if not core or core.isalpha() and max(core) <= "\xff":
-                parts[word] = (core.lower(), mark)
-            else:
-                parts[word] = (word, "")
-        new = list({p for pair in parts.values() for p in pair if p and p not in cores})
-        cores.update(self._encode(new))
-        cores[""] = b""
-        self.words.update((word, cores[core] + cores[mark]) for word, (core, mark) in parts.items())
+    def _ids(self, word: str) -> bytes:
+        parts = WORD(word)
+        if parts is None:
+            return array(self.dtype.char, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        core, marks = parts.groups()
+        if marks:
+            return self[core] + self[marks]
+        shown = core.lower()
+        if not shown.isascii():
+            shown = shown.encode().decode("latin-1").translate(self.letters)
+        return array(self.dtype.char, [token.id for token in self.model(shown)]).tobytes()
 
     def encode(self, batch: list[str]) -> Iterator[bytes]:
-        """The ids of each text, as bytes of `dtype`."""
-        cut = [text.replace("\n", " ").split(" ") for text in batch]
-        self.learn(set().union(*cut))
-        for words in cut:
-            yield b"".join(map(self.words.__getitem__, words))
+        """The ids of each text."""
+        for text in batch:
+            yield b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+            if len(self) > CACHED // 2:
+                self.elder = dict(self)
+                self.clear()
+                self[""] = b""
 
 
 @lru_cache(maxsize=2)

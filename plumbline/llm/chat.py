@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprinting.
 
 Records of any layout (JSON objects) are told apart by the fingerprint of their schema: a hash of
-their sorted field paths, where list items are `[]` and values don't count. Each known fingerprint
-selects a declarative mapping, which says where conversation, turn, role and text stand; one record
+their sorted field paths, where list items are `[]`, each with the type of its value; values don't
+count. Each known fingerprint selects a declarative mapping, which says where conversation, turn, role and text stand; one record
 may hold one turn, or a prompt with its answer, or a list of messages. The result is canonical turns.
 
 The template writes a user's turn as `[INST]text[/INST]`, an assistant's as `<s>text</s>` and that of
@@ -15,7 +15,10 @@ turns in order, in a pass over sorted partitions that holds one turn at a time.
 Defined results: null texts and roles are empty; turns with equal conversation and number are put in
 order by role, then text, and all stay; a null conversation is one of its own; a null turn number comes
 first. A record whose fingerprint is unknown gives one row in `unmapped`, no turn; the digests have
-a row for each such fingerprint, with the number of its records and nothing else.
+a row for each such fingerprint, with the number of its records and nothing else. A field of another type
+than the layout's (a number as text, a text as turn number, an integer beyond 64 bits) makes a fingerprint
+unknown; a line that is no JSON, or holds half a surrogate pair, has the fingerprint `MALFORMED`. Conversation
+ids are integers or, with ids="string", integers and texts, all kept as text.
 """
 
 from __future__ import annotations
@@ -23,24 +26,54 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from itertools import combinations, product
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.llm.common import settle
+
 CONTROLS = ("[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROLS, key=len, reverse=True))))
 _ESCAPED = re.compile(r"\\(\\?)")
 
 
+MALFORMED = "malformed"
+# Types of a field's values: s text, i integer of 64 bits, f other number, b boolean, n null, e empty.
+TEXT, NUMBER, ANY_ID = "sn", "in", "isn"
+
+
+def _type(value) -> str:
+    if value is None:
+        return "n"
+    if isinstance(value, str):
+        return "s"
+    if isinstance(value, bool):
+        return "b"
+    return "i" if isinstance(value, int) and -1 << 63 <= value < 1 << 63 else "f"
+
+
 def paths(value, prefix: str = "") -> set[str]:
-    """The field paths of a JSON value."""
+    """The field paths of a JSON value, with the types of their values."""
     if isinstance(value, dict):
-        return set().union(*(paths(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items())) if value else {prefix}
+        return set().union(*(paths(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items())) if value else {f"{prefix}:e"}
     if isinstance(value, list):
-        return set().union(*(paths(v, prefix + "[]") for v in value)) if value else {prefix + "[]"}
-    return {prefix}
+        return set().union(*(paths(v, prefix + "[]") for v in value)) if value else {prefix + "[]:e"}
+    return {f"{prefix}:{_type(value)}"}
+
+
+def parsed(line: str | None) -> tuple[object, str]:
+    """A record and its fingerprint; a null line is an empty record."""
+    try:
+        record = json.loads(line) if line is not None else {}
+        if line and "\\u" in line:
+            json.dumps(record, ensure_ascii=False).encode()
+        return record, fingerprint(paths(record))
+    except (ValueError, RecursionError):
+        return None, MALFORMED
 
 
 def fingerprint(fields: set[str]) -> str:
@@ -67,11 +100,17 @@ class Layout:
     text: str | None = None
     speakers: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
-    def fingerprints(self) -> Iterator[str]:
-        """Those of all choices of optional fields."""
-        for chosen in range(1 << len(self.optional)):
-            picked = {f for k, f in enumerate(self.optional) if chosen >> k & 1}
-            yield fingerprint({*self.fields, *picked})
+    def fingerprints(self, id_types: str = NUMBER) -> Iterator[str]:
+        """Those of all choices of optional fields and of the types that its values may have."""
+        choices = []
+        for field in (*self.fields, *self.optional):
+            types = id_types if field == self.conversation else NUMBER if field == self.turn else TEXT
+            # The items of a list may have several.
+            most = len(types) if "[]" in field else 1
+            found = [[f"{field}:{t}" for t in chosen] for n in range(1, most + 1) for chosen in combinations(types, n)]
+            choices.append(found + [[]] * (field in self.optional))
+        for picked in product(*choices):
+            yield fingerprint({path for part in picked for path in part})
 
     def turns(self, record: dict) -> Iterator[tuple[int | None, str, str]]:
         """Number, role and text of each turn of a record."""
@@ -160,30 +199,33 @@ def write_records(rows: DataFrame) -> DataFrame:
 
 
 def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, roles: Mapping[str, str] = ROLES,
-                    column: str = "record") -> DataFrame:
+                    column: str = "record", ids: str = "long") -> DataFrame:
     """conv_id, turn, role, text, layout of each turn, and unmapped: the fingerprint of a record no
-    mapping is known for (its other columns are then null). `records` has JSON objects in one column."""
-    by_print = {p: layout for layout in layouts for p in layout.fingerprints()}
+    mapping is known for (its other columns are then null). `records` has JSON objects in one column;
+    `ids` is the type of conv_id, long or string."""
+    id_types = ANY_ID if ids == "string" else NUMBER
+    by_print = {p: layout for layout in layouts for p in layout.fingerprints(id_types)}
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for shown in batch[column]:
-                record = json.loads(shown) if shown is not None else {}
-                own = fingerprint(paths(record))
+                record, own = parsed(shown)
                 layout = by_print.get(own)
                 if layout is None:
                     found.append((None, None, None, None, None, own))
                     continue
                 conversation = record.get(layout.conversation)
+                if ids == "string" and conversation is not None:
+                    conversation = str(conversation)
                 for turn, role, text in layout.turns(record):
                     role = roles.get(role, role) or "" if layout.messages else role or ""
                     found.append((conversation, turn, role, text or "", layout.name, None))
             out = pd.DataFrame(found, columns=["conv_id", "turn", "role", "text", "layout", "unmapped"])
-            yield out.astype({"conv_id": "Int64", "turn": "Int64"})
+            yield out.astype({"turn": "Int64"} | ({"conv_id": "Int64"} if ids == "long" else {}))
 
     return records.select(F.col(column).cast("string").alias(column)).mapInPandas(
-        mapped, "conv_id long, turn long, role string, text string, layout string, unmapped string")
+        mapped, f"conv_id {ids}, turn long, role string, text string, layout string, unmapped string")
 
 
 def escape(text: str) -> str:
@@ -223,69 +265,90 @@ def _role(escaped: str) -> str:
 def format_turns(turns: DataFrame) -> DataFrame:
     """Each turn with its formatted text and its loss mask (code points from mask_start to mask_end).
 
-    A conversation's text is that of its turns in order, with nothing between them.
+    A conversation's text is that of its turns in order, with nothing between them. Rows of unmapped
+    records, if there are any, stay as they are.
     """
+    kept = [c for c in ("conv_id", "turn", "role", "text", "unmapped") if c in turns.columns]
+
     def formatted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [format_turn(role, text) for role, text in zip(batch["role"], batch["text"], strict=True)]
-            out = batch[["conv_id", "turn", "role", "text"]].copy()
+            found = [(None, None, None) if text is None else format_turn(role, text) for role, text in zip(batch["role"], batch["text"], strict=True)]
+            out = batch[kept].copy()
             out["formatted"], out["mask_start"], out["mask_end"] = (
                 [f[k] for f in found] for k in range(3)) if found else ([], [], [])
-            yield out
+            yield out.astype({"mask_start": "Int32", "mask_end": "Int32"})
+
+    types = ", ".join(f"`{c}` {turns.schema[c].dataType.simpleString()}" for c in kept)
+    return turns.select(*kept).mapInPandas(formatted, f"{types}, formatted string, mask_start int, mask_end int")
 
-    known = turns.where("unmapped IS NULL") if "unmapped" in turns.columns else turns
-    return known.select("conv_id", "turn", "role", "text").mapInPandas(
-        formatted, "conv_id long, turn long, role string, text string, formatted string, mask_start int, mask_end int")
+
+# Fingerprints of unmapped records that a task counts at a time.
+COUNTED = 10_000
 
 
 def digests(formatted: DataFrame, grouped: bool = False) -> DataFrame:
-    """What is read back from the formatted turns of each conversation.
+    """What is read back from the formatted turns of each conversation, and the number of records of
+    each unmapped fingerprint, counted by every task for itself.
 
     `grouped`: the turns of a conversation already follow each other, in order, in one partition.
     """
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    ids = formatted.schema["conv_id"].dataType.simpleString()
+    schema = (f"conv_id {ids}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
+              "unmapped string, n_records long")
+    if "unmapped" not in formatted.columns:
+        formatted = formatted.withColumn("unmapped", F.lit(None).cast("string"))
+
+    def table(rows: list[tuple], lost: Counter) -> pd.DataFrame:
+        rows = [(*row, None, None) for row in rows] + [(None,) * 6 + item for item in lost.items()]
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+        return out.astype({c: "Int64" for c in ("n_turns", "loss_chars", "formatted_chars", "n_records", *["conv_id"] * (ids == "bigint"))})
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state, done = object(), None, []
+        now, state, done, lost = object(), None, [], Counter()
 
         def row():
             return (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
 
         for batch in batches:
-            for conv_id, piece, start, end in zip(
-                    batch["conv_id"].astype("Int64"), batch["formatted"], batch["mask_start"], batch["mask_end"], strict=True):
-                conv_id = None if conv_id is pd.NA else int(conv_id)
+            numbers = batch["conv_id"] if ids == "string" else batch["conv_id"].astype("Int64")
+            for conv_id, piece, start, end, unmapped in zip(
+                    numbers, batch["formatted"], batch["mask_start"], batch["mask_end"], batch["unmapped"], strict=True):
+                if unmapped is not None:
+                    lost[unmapped] += 1
+                    continue
+                conv_id = None if conv_id is None or conv_id is pd.NA else conv_id if ids == "string" else int(conv_id)
                 if state is None or conv_id != now:
                     if state is not None:
                         done.append(row())
                     now, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 role, text = read_turn(piece)
-                masked = unescape(piece[start:end])
+                masked = unescape(piece[int(start):int(end)])
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(masked)
                 state[3].update(masked.encode())
                 state[4] += len(piece)
-            yield _table(done)
-            done = []
-        if state is not None:
-            yield _table([row()])
-
-    ordered = formatted if grouped else formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "formatted", "mask_start", "mask_end").mapInPandas(read, schema)
-
-
-def _table(rows: list[tuple]) -> pd.DataFrame:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    return pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
-
-
-def format_conversations(records: DataFrame, grouped: bool = False) -> DataFrame:
+            if len(lost) > COUNTED:
+                yield table(done, lost)
+                done, lost = [], Counter()
+            elif done:
+                yield table(done, Counter())
+                done = []
+        yield table(done + ([row()] if state is not None else []), lost)
+
+    if not grouped:
+        # Unmapped records have no conversation; they stay spread as they are.
+        spread = F.when(F.col("unmapped").isNotNull(), F.spark_partition_id())
+        formatted = formatted.repartition("conv_id", spread).sortWithinPartitions("conv_id", "turn", "role", "text")
+    return formatted.select("conv_id", "formatted", "mask_start", "mask_end", "unmapped").mapInPandas(read, schema)
+
+
+def format_conversations(records: DataFrame, grouped: bool = False, ids: str = "long") -> DataFrame:
     """From records of any known layout to the digests of their formatted conversations.
 
     Records that no mapping is known for are rows of their own: `unmapped` is their fingerprint and
     `n_records` their number, all else is null. `grouped`: as `write_records` leaves them.
     """
-    turns = canonical_turns(records)
-    lost = turns.where("unmapped IS NOT NULL").groupBy("unmapped").agg(F.count("unmapped").alias("n_records"))
-    return digests(format_turns(turns), grouped).unionByName(lost, allowMissingColumns=True)
+    found = settle(digests(format_turns(canonical_turns(records, ids=ids)), grouped), "chat-digests")
+    lost = found.where("unmapped IS NOT NULL").groupBy("unmapped").agg(F.sum("n_records").alias("n_records"))
+    return found.where("unmapped IS NULL").drop("unmapped", "n_records").unionByName(lost, allowMissingColumns=True)

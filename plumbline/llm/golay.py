@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import settle, text_or_empty, texts
+from plumbline.llm.common import packed, settle, text_or_empty, texts, unpacked
 
 WORDS = 3     # words of a shingle
 SEED = 42     # of XXH64
@@ -249,6 +249,8 @@ def keep_first(docs: DataFrame, n_words: int = WORDS, max_bits: int = MAX_BITS,
     low = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash"))
     kept = _rooted(prints, low, max_bits, bucket).groupBy("root").agg(F.min("low").alias("low")).select(
         F.col("low.doc_id").alias("kept_"), F.col("low.text_hash").alias("hash_"))
-    rows = docs.withColumn("id__", F.col("doc_id").cast("long")).withColumn("same__", F.xxhash64(text_or_empty()))
-    first = rows.join(kept, rows["id__"].eqNullSafe(kept["kept_"]) & (rows["same__"] == kept["hash_"]), "left_semi")
-    return first.dropDuplicates(["id__", "same__"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The row goes along as one column, so that none of its columns can clash.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("hash"), packed(docs))
+    same = F.col("id").eqNullSafe(F.col("kept_")) & (F.col("hash") == F.col("hash_"))
+    first = rows.join(kept, same, "left_semi").dropDuplicates(["id", "hash"])
+    return first.select(*unpacked(docs))

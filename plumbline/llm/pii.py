@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import settle, text_or_empty
+from plumbline.llm.common import packed, settle, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 4
@@ -312,19 +312,20 @@ def _redacted(text: str, spans: str) -> str:
 
 def redact(docs: DataFrame, **settings) -> DataFrame:
     """The documents, all columns kept, with the spans in `text` replaced; n_chars follows the text."""
-    columns = docs.columns
     spans = find(docs, **settings).where("spans != ''").select(
         F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("spans").alias("spans_")).dropDuplicates(["id_", "hash_"])
-    rows = docs.withColumn("hash__", F.xxhash64(text_or_empty()))
-    on = rows["doc_id"].cast("long").eqNullSafe(spans["id_"]) & (rows["hash__"] == spans["hash_"])
-    joined = rows.join(spans, on, "left")
+    # The row goes along as one column, so that none of its columns can clash.
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("hash"), packed(docs))
+    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_")), "left")
 
     @F.pandas_udf("string")
     def replaced(text: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else _redacted(t, s) for t, s in zip(text, found, strict=True)])
 
-    clean = joined.withColumn("text", replaced("text", "spans_"))
-    if "n_chars" in columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("spans_").isNull(), F.col("n_chars")).otherwise(
-            F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return clean.select(*[F.col(f"`{c}`") for c in columns])
+    names = {c.lower(): c for c in docs.columns}
+    clean = joined.withColumn("clean", replaced(F.col("packed.text"), F.col("spans_")))
+    changed = {names["text"]: F.col("clean")}
+    if "n_chars" in names:
+        counted = F.length("clean").cast(docs.schema[names["n_chars"]].dataType)
+        changed[names["n_chars"]] = F.when(F.col("spans_").isNull(), F.col("packed.n_chars")).otherwise(counted)
+    return clean.select(*[changed[c].alias(c) if c in changed else F.col(f"packed.`{c}`").alias(c) for c in docs.columns])

@@ -111,9 +111,9 @@ def before_after(query: str) -> str:
 
 LOG = f"""SELECT 'FIX_' || {ID} || '_' || rule_name || '_' || column_name AS remediation_id, {ID} AS scan_id,
  {ID} || '_' || rule_name || '_' || column_name AS issue_id, table_name, column_name, rule_name AS issue_type,
- severity, n AS affected_rows, fix AS remediation_sql, 'EXECUTED' AS approval_status, 'steward' AS approved_by,
- TIMESTAMP '2024-06-01 00:00:00' AS approved_at, TIMESTAMP '2024-06-01 00:00:00' AS executed_at,
- 'SUCCESS' AS execution_result, CAST(b.health_score AS DOUBLE) AS before_score,
+ severity, n AS affected_rows, fix AS remediation_sql, 'PREVIEW' AS approval_status, 'steward' AS approved_by,
+ TIMESTAMP '2024-06-01 00:00:00' AS approved_at, CAST(NULL AS TIMESTAMP) AS executed_at,
+ 'NOT RUN' AS execution_result, CAST(b.health_score AS DOUBLE) AS before_score,
  CAST(a.health_score AS DOUBLE) AS after_score, TIMESTAMP '2024-06-01 00:00:00' AS created_at
  FROM graded JOIN scored b USING (table_name) JOIN scored_after a USING (table_name)
  WHERE n > 0 AND risk_level = 'LOW' AND {FIXABLE}"""
@@ -127,7 +127,7 @@ def one_log() -> str:
     after = graded([s.replace("FROM customer_dirty t", "FROM customer_fixed t")
                     for s in count_selects("customer_dirty")], "graded_after")
     query = LOG.replace(f"WHERE n > 0 AND risk_level = 'LOW' AND {FIXABLE}",
-                        "WHERE n > 0 AND rule_name = 'FUTURE_DATE' AND column_name = 'date_of_birth'")
+                        "WHERE n > 0 AND rule_name = 'FUTURE_DATE' AND column_name = 'date_of_birth'").replace("'PREVIEW'", "'APPROVED'")
     return with_views(query, before, SCORED, BIRTH_FIXED, after, SCORED_AFTER)
 
 
@@ -295,6 +295,11 @@ REPORTS = {
         "SELECT table_name, CAST(b.health_score AS DOUBLE) AS score_before, CAST(a.health_score AS DOUBLE) AS score_after, "
         "b.issues_found AS issues_before, a.issues_found AS issues_after FROM scored b JOIN scored_after a "
         "USING (table_name)"),
+    "run_cycle": before_after(
+        "SELECT table_name, CAST(b.health_score AS DOUBLE) AS score_before, CAST(a.health_score AS DOUBLE) AS score_after, "
+        "b.issues_found AS issues_before, a.issues_found AS issues_after, b.issues_found + a.issues_found AS issue_rows, "
+        f"CAST(2 AS BIGINT) AS history_rows, (SELECT count(*) FROM ({LOG}) x WHERE x.table_name = b.table_name) AS fixes "
+        "FROM scored b JOIN scored_after a USING (table_name)"),
     "health_by_month": with_views(
         "SELECT table_name, scan_date, total_rows, issues_found, rows_at_risk, health_score, previous_score, "
         "CAST(CAST(round(health_score * 10) AS BIGINT) - CAST(round(previous_score * 10) AS BIGINT) AS DOUBLE) / 10 "

@@ -111,6 +111,32 @@ def at_risk() -> str:
 BAD_EMAIL = f"(trim(email, ' ') <> '' AND NOT regexp_matches(email, {EMAIL}))"
 
 
+# Accepted values of columns that have a list of them.
+LISTED = {("customer_dirty", "segment"): f"({SEGMENTS})", ("orders_dirty", "order_status"): "('F', 'O', 'P')",
+          ("part_dirty", "category"): "('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD')"}
+
+
+def images() -> str:
+    """The rows that each low-risk fix changes: blanks, then unknown categories, then spaces around, then amounts."""
+    parts = []
+
+    def changed(table: str, rule: str, column: str, test: str, empties: str) -> None:
+        parts.append(f"SELECT '{table}' AS table_name, '{rule}' AS rule_name, '{column}' AS column_name, count(*) AS changed_rows, "
+                     f"count(*) FILTER (WHERE {empties}) AS emptied_rows FROM {table} WHERE {test} HAVING count(*) > 0")
+
+    for t in SCANNED:
+        for c in TEXT[t]:
+            filled, known = f"trim({c}, ' ') <> ''", "TRUE"
+            changed(t, "BLANK_STRING", c, f"trim({c}, ' ') = ''", "TRUE")
+            if (t, c) in LISTED:
+                known = f"{c} IN {LISTED[t, c]}"
+                changed(t, "INVALID_CATEGORY", c, f"{filled} AND NOT {known}", "TRUE")
+            changed(t, "WHITESPACE", c, f"{filled} AND {known} AND {c} <> trim({c}, ' ')", "FALSE")
+    off = "abs(total_amount - quantity * unit_price) > 0.01"
+    changed("orders_dirty", "AMOUNT_MISMATCH", "total_amount", off, "FALSE")
+    return " UNION ALL ".join(parts)
+
+
 def null_if(test: str, column: str) -> str:
     return f"CASE WHEN {test} THEN NULL ELSE {column} END AS {column}"
 
@@ -216,6 +242,11 @@ TABLES = {
     "fix_dedup": with_views(
         f"SELECT {ORDER_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY order_date, "
         "customer_id NULLS FIRST, delivery_date) AS rn FROM orders_dirty) x WHERE rn = 1 OR order_id IS NULL"),
+    "fix_images": with_views(images()),
+    "fix_undo": with_views(
+        "SELECT customer_id, CASE WHEN trim(name, ' ') = '' THEN NULL WHEN count(*) OVER (PARTITION BY customer_id) = 1 THEN name "
+        "ELSE trim(name, ' ') END AS name, CASE WHEN trim(email, ' ') <> '' THEN trim(email, ' ') END AS email, "
+        f"CASE WHEN trim(segment, ' ') <> '' AND segment IN ({SEGMENTS}) THEN trim(segment, ' ') END AS segment FROM customer_dirty"),
     "fix_rollback": with_views(" UNION ALL ".join(
         f"SELECT '{version}' AS version, customer_id, {name} AS name, {email} AS email, {segment} AS segment, "
         f"{name} <> trim({name}, ' ') AS is_padded FROM customer_dirty"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import PySparkException
@@ -14,7 +13,6 @@ from plumbline.schemas import QUALITY_CONTRACTS
 from plumbline.sources.values import literal_rows
 
 NAME_LENGTH = 100
-_SUBQUERY = re.compile(r"\(\s*(select|with)\b", re.IGNORECASE).search
 EVALUATED = (
     "contract_id bigint, table_name string, natural_language_rule string, severity string, created_at timestamp_ntz, "
     "violations bigint, status string"
@@ -50,22 +48,38 @@ def _is_valid(df: DataFrame, predicate: str) -> bool:
     try:
         boolean = isinstance(df.select(F.expr(f"(\n{predicate}\n)")).schema[0].dataType, T.BooleanType)
         # Only an expression over single rows can be a filter and be counted.
-        return boolean and bool(df.where(F.expr(predicate)).agg(_violations(predicate)).columns) and not _SUBQUERY(predicate)
+        return boolean and bool(df.where(F.expr(predicate)).agg(_violations(predicate)).columns) and not _has_subquery(df, predicate)
     except PySparkException:
         return False
 
 
+def _has_subquery(df: DataFrame, predicate: str) -> bool:
+    """Whether the parsed expression, not its text, looks at other rows."""
+    filtered = df.where(F.expr(f"(\n{predicate}\n)"))._jdf.queryExecution().analyzed()
+    return not filtered.subqueries().isEmpty()
+
+
+def _suspects(error: PySparkException, rows: Sequence[Row]) -> list[Row]:
+    """The contracts that hold the piece of text at which a pass failed."""
+    pieces = {c.fragment() for c in error.getQueryContext() if c.contextType().name == "SQL"}
+    return [r for r in rows if any(piece in r.generated_sql_check for piece in pieces if piece)]
+
+
 def _tally(df: DataFrame, rows: Sequence[Row]) -> dict[int, int | None]:
-    """Violations by contract, in one pass over the table. If the pass fails (a cast, a division), its
-    halves are tried, down to the contract that fails; that one has no count."""
+    """Violations by contract, in one pass over the table. If the pass fails (a cast, a division), the
+    error names the expression: the contracts that hold it are tried by themselves and the others
+    together again, so a failing contract costs one more pass. Without a name the halves are tried."""
     try:
         counts = df.agg(*[_violations(r.generated_sql_check).alias(f"v_{r.contract_id}") for r in rows]).first()
         return {r.contract_id: counts[f"v_{r.contract_id}"] for r in rows}
-    except PySparkException:
+    except PySparkException as error:
         if len(rows) == 1:
             return {rows[0].contract_id: None}
-    half = len(rows) // 2
-    return _tally(df, rows[:half]) | _tally(df, rows[half:])
+        suspects = _suspects(error, rows)
+    if len(suspects) == 1:
+        return {suspects[0].contract_id: None} | _tally(df, [r for r in rows if r != suspects[0]])
+    half = [r for r in rows if r in suspects] if 0 < len(suspects) < len(rows) else rows[:len(rows) // 2]
+    return _tally(df, half) | _tally(df, [r for r in rows if r not in half])
 
 
 def evaluate(contracts: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -12,7 +12,10 @@ from plumbline.functions.predicates import moment
 from plumbline.operators.history import HISTORY_COLUMNS, SCORE_COLUMNS, history_rows
 
 SCAN_TYPE = "DEEP"
-EXECUTED, SUCCESS = "EXECUTED", "SUCCESS"
+# What was approved and what became of it; a fix of a preview was not run.
+PREVIEW, APPROVED, EXECUTED = "PREVIEW", "APPROVED", "EXECUTED"
+NOT_RUN, SUCCESS, FAILED = "NOT RUN", "SUCCESS", "FAILED"
+EFFECTS = "table_name string, rule_name string, column_name string, changed_rows bigint, error string"
 
 
 def scan_id(moment_column: Column, table: Column | None = None) -> Column:
@@ -61,12 +64,25 @@ def issue_rows(issues: DataFrame, at: Column) -> DataFrame:
 
 
 def remediation_rows(
-    approved: DataFrame, compared: DataFrame, at: dt.date | dt.datetime, approved_by: str
+    approved: DataFrame, compared: DataFrame, at: dt.date | dt.datetime, approved_by: str, status: str = PREVIEW,
+    effects: DataFrame | None = None,
 ) -> DataFrame:
-    """The log of applied fixes: the approved issues with their table's score before and after."""
+    """The log of fixes: the approved issues with their table's score before and after.
+
+    `effects` (`EFFECTS`) says of fixes that were run how many rows each changed, or its error. Without, nothing
+    was run: the rows are those that the issue affects, and nothing was executed.
+    """
+    now = moment(at).cast("timestamp_ntz")
+    done = {"executed_at": F.lit(None).cast("timestamp_ntz"), "execution_result": F.lit(NOT_RUN)}
+    if effects is not None:
+        # A row for each fix.
+        approved = approved.join(F.broadcast(effects), ["table_name", "rule_name", "column_name"], "left").withColumn(
+            "affected_rows", F.coalesce("changed_rows", F.lit(0)).cast("bigint"))
+        failed = F.col("error").isNotNull()
+        done = {"executed_at": now, "execution_result": F.when(failed, F.concat(F.lit(f"{FAILED}: "), "error")).otherwise(SUCCESS)}
+        status = EXECUTED
     scores = compared.select(
         "table_name", F.col("score_before").alias("before_score"), F.col("score_after").alias("after_score"))
-    now = moment(at).cast("timestamp_ntz")
     return (
         approved.withColumn("scan_id", scan_id(now))
         .withColumn("issue_id", issue_id())
@@ -74,8 +90,8 @@ def remediation_rows(
         .select(
             F.concat_ws("_", F.lit("FIX"), "issue_id").alias("remediation_id"), "scan_id", "issue_id",
             "table_name", "column_name", F.col("rule_name").alias("issue_type"), "severity", "affected_rows",
-            "remediation_sql", F.lit(EXECUTED).alias("approval_status"), F.lit(approved_by).alias("approved_by"),
-            now.alias("approved_at"), now.alias("executed_at"), F.lit(SUCCESS).alias("execution_result"),
+            "remediation_sql", F.lit(status).alias("approval_status"), F.lit(approved_by).alias("approved_by"),
+            now.alias("approved_at"), *[value.alias(name) for name, value in done.items()],
             "before_score", "after_score", now.alias("created_at"),
         )
     )

@@ -5,15 +5,17 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline import schemas
 from plumbline.functions.predicates import moment
 from plumbline.operators import records
-from plumbline.operators.fixes import apply_fixes, choose
+from plumbline.operators.fixes import apply_fixes, choose, failure, fix_images, safe_rules
 from plumbline.operators.issues import fix_queue
-from plumbline.plans.scan import AFTER, BEFORE, Scan, Workspace, fixed_tables, scan, scan_before_after
-from plumbline.sources.store import Store
+from plumbline.plans.scan import AFTER, BEFORE, Scan, Workspace, scan, scan_before_after
+from plumbline.sources.store import Round, Store
+from plumbline.sources.values import literal_rows
 
 DATABASE, SCHEMA = "warehouse", "quality"
 
@@ -51,7 +53,7 @@ def before_after(ws: Workspace, names: Sequence[str]) -> DataFrame:
 
 
 def remediation_log(ws: Workspace, names: Sequence[str], approved_by: str) -> DataFrame:
-    """The log rows that applying the safe fixes writes."""
+    """The log rows of the safe fixes as a preview: nothing is run, and the rows say so."""
     both = scan_before_after(ws, names)
     found = both.issues.where(F.col("phase") == BEFORE)
     return records.remediation_rows(safe_issues(found), _compared(both), ws.as_of, approved_by)
@@ -67,41 +69,62 @@ def approve(
         (F.col("phase") == BEFORE) & (F.col("rule_name") == rule_name)
         & F.col("column_name").isin([b.column for b in chosen])
     )
-    log = records.remediation_rows(approved, _compared(both), ws.as_of, approved_by)
+    log = records.remediation_rows(approved, _compared(both), ws.as_of, approved_by, records.APPROVED)
     return apply_fixes(ws.tables[name], chosen), log
 
 
-def save_scan(done: Scan, store: Store, at: dt.datetime, label: str) -> Scan:
-    """Keep a scan: its counters once, then result, history and issue rows made from them."""
+def save_scan(done: Scan, kept: Round, at: dt.datetime) -> Scan:
+    """Adds a scan to a round: its counters once, then result, history and issue rows made from them."""
     ws, now = done.workspace, moment(at)
-    kept = Scan(ws, done.rules, store.materialise(f"counters/{label}", done.counts), done.by)
-    scores = kept.scores
+    written = Scan(ws, done.rules, kept.put("counters", done.counts), done.by)
+    scores = written.scores
     names = sorted({b.table for b in done.rules})
     widths = {name: len(ws.tables[name].columns) for name in names}
-    store.put("scan_results", records.conform(
-        records.scan_result_rows(scores, widths, DATABASE, SCHEMA, now), schemas.SCAN_RESULTS), run=label)
-    store.put("health_score_history", records.conform(
-        records.scan_history_rows(scores, DATABASE, SCHEMA, now), schemas.HEALTH_SCORE_HISTORY),
-        scan_date=f"{at:%Y-%m-%d}", run=label)
-    store.put("scan_issues", records.conform(records.issue_rows(kept.issues, now), schemas.SCAN_ISSUES), run=label)
-    return kept
+    kept.put("scan_results", records.conform(
+        records.scan_result_rows(scores, widths, DATABASE, SCHEMA, now), schemas.SCAN_RESULTS))
+    kept.put("health_score_history", records.conform(
+        records.scan_history_rows(scores, DATABASE, SCHEMA, now), schemas.HEALTH_SCORE_HISTORY), by="scan_date")
+    kept.put("scan_issues", records.conform(records.issue_rows(written.issues, now), schemas.SCAN_ISSUES))
+    return written
+
+
+def _apply(ws: Workspace, name: str, kept: Round) -> tuple[DataFrame, list[tuple]]:
+    """Adds a table with its safe fixes, and what each changed, to a round. A fix that fails is left out; its
+    error is returned as a row of `records.EFFECTS`."""
+    df, rules, failed = ws.tables[name], safe_rules(ws.bound([name])), []
+    try:
+        fixed = kept.put(f"fixed_{name}", apply_fixes(df, rules))
+    except PySparkException:
+        errors = [failure(df, b) for b in rules]
+        if not any(errors):
+            raise
+        failed = [(name, b.rule.name, b.column, 0, error) for b, error in zip(rules, errors, strict=True) if error]
+        rules = [b for b, error in zip(rules, errors, strict=True) if not error]
+        fixed = kept.put(f"fixed_{name}", apply_fixes(df, rules))
+    kept.put("fix_images", records.conform(fix_images(df, name, ws.key(name), rules), schemas.FIX_IMAGES))
+    return fixed, failed
 
 
 def run_cycle(ws: Workspace, names: Sequence[str], store: Store, approved_by: str, at: dt.datetime) -> DataFrame:
-    """Scan, save, apply the safe fixes as new snapshots, log them, scan those and save; the comparison.
+    """Scan, apply the safe fixes, log what they did, scan again; the comparison.
 
-    A round that was cut short can be run again with the same `at`: it replaces what it wrote.
+    Results, issues, history, log, images and fixed tables are one commit: a round that was cut short
+    leaves nothing behind that is read, and running it again with the same `at` replaces what it wrote.
     """
-    label = f"{at:%Y%m%d_%H%M%S}"
-    before = save_scan(scan(ws, names), store, at, f"{label}_before")
-    snapshots = {
-        name: store.write_snapshot(name, label, df) for name, df in fixed_tables(ws, names).items()
-    }
-    fixed = ws.replacing(snapshots)
-    later = at + dt.timedelta(seconds=1)
-    after = save_scan(scan(fixed, names), store, later, f"{label}_after")
+    kept = store.round(f"{at:%Y%m%d_%H%M%S}")
+    before = save_scan(scan(ws, names), kept, at)
+    snapshots, failed = {}, []
+    for name in names:
+        snapshots[name], errors = _apply(ws, name, kept)
+        failed += errors
+    after = save_scan(scan(ws.replacing(snapshots), names), kept, at + dt.timedelta(seconds=1))
     compared = compare(before.scores, after.scores)
-    store.put("remediation_log", records.conform(
-        records.remediation_rows(safe_issues(before.issues), compared, at, approved_by), schemas.REMEDIATION_LOG),
-        run=label)
+    images = ws.spark.read.schema(schemas.FIX_IMAGES).parquet(*kept.tables["fix_images"])
+    effects = images.groupBy("table_name", "rule_name", "column_name").agg(
+        F.count(F.lit(1)).alias("changed_rows")).withColumn("error", F.lit(None).cast("string"))
+    if failed:
+        effects = effects.unionByName(literal_rows(ws.spark, records.EFFECTS, failed))
+    kept.put("remediation_log", records.conform(
+        records.remediation_rows(safe_issues(before.issues), compared, at, approved_by, effects=effects), schemas.REMEDIATION_LOG))
+    kept.commit()
     return compared

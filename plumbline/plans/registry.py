@@ -266,6 +266,41 @@ def _remediations(ws: Workspace) -> DataFrame:
     return cycle.remediation_log(ws, SCANNED, APPROVER)
 
 
+def _round(ws: Workspace) -> DataFrame:
+    """A round of scans and fixes, read back from the tables that it wrote."""
+    store = Store(ws.spark, shared_folder(ws.spark, "round"))
+    at = dt.datetime.combine(AS_OF, dt.time())
+    cycle.run_cycle(ws, SCANNED, store, APPROVER, at)
+    results, later = store.read("scan_results"), F.col("scan_timestamp") > moment(at)
+
+    def of(phase: Column, column: str) -> Column:
+        return F.max(F.when(phase, F.col(column).cast("double" if column == "health_score" else "bigint")))
+
+    scores = results.groupBy("table_name").agg(
+        of(~later, "health_score").alias("score_before"), of(later, "health_score").alias("score_after"),
+        of(~later, "issues_found").alias("issues_before"), of(later, "issues_found").alias("issues_after"))
+    for name, count in (("scan_issues", "issue_rows"), ("health_score_history", "history_rows"), ("remediation_log", "fixes")):
+        counted = store.read(name).groupBy("table_name").agg(F.count(F.lit(1)).alias(count))
+        scores = scores.join(F.broadcast(counted), "table_name", "left")  # a row for each table
+    return scores.na.fill(0, ["issue_rows", "history_rows", "fixes"])
+
+
+def _images(ws: Workspace) -> DataFrame:
+    """How many rows each safe fix changes, and how many of them it leaves empty."""
+    made = _union([fixes.fix_images(ws.tables[name], name, ws.key(name), fixes.safe_rules(ws.bound([name]))) for name in SCANNED])
+    emptied = F.exists("changes", lambda c: c["new_value"].isNull())
+    return made.groupBy("table_name", "rule_name", "column_name").agg(
+        F.count(F.lit(1)).alias("changed_rows"), F.count_if(emptied).alias("emptied_rows"))
+
+
+def _undone(ws: Workspace) -> DataFrame:
+    """The customers with all safe fixes but the trimming of names."""
+    key, rules = ws.key("customer_dirty"), fixes.safe_rules(ws.bound(["customer_dirty"]))
+    fixed = fixes.apply_fixes(ws.tables["customer_dirty"], rules)
+    images = fixes.fix_images(ws.tables["customer_dirty"], "customer_dirty", key, rules)
+    return fixes.undo(fixed, images, key, "WHITESPACE", "name").select(*key, "name", "email", "segment")
+
+
 def _explained(done: Scan) -> DataFrame:
     return report.explanations(done.issues)
 
@@ -407,6 +442,9 @@ QUERIES: dict[str, Query] = {
     "fix_rollback": on_workspace(_rollback),
     "remediation_log": on_workspace(_remediations),
     "before_after": on_workspace(lambda ws: cycle.before_after(ws, SCANNED)),
+    "run_cycle": on_workspace(_round),
+    "fix_images": on_workspace(_images),
+    "fix_undo": on_workspace(_undone),
     # history
     "health_by_month": on_workspace(_health_by_month),
     "history_latest": on_history(history.latest),

@@ -58,3 +58,12 @@ HEALTH_SCORE_HISTORY = (
     "critical_issues bigint, rows_at_risk bigint, recorded_at timestamp_ntz"
 )
 SCORE_WEIGHTS = ("dimension string, weight decimal(5,2), description string")
+FIX_IMAGES = (
+    "table_name string, key_value string, rule_name string, column_name string, "
+    "changes array<struct<column_name: string, old_value: string, new_value: string>>"
+)
+# The tables that rounds of scans and fixes write.
+STORED = {
+    "scan_results": SCAN_RESULTS, "scan_issues": SCAN_ISSUES, "health_score_history": HEALTH_SCORE_HISTORY,
+    "remediation_log": REMEDIATION_LOG, "fix_images": FIX_IMAGES,
+}

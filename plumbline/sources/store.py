@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from plumbline.schemas import STORED
+from plumbline.sources.ledger import Ledger
 
 SHARED_FOLDER = "spark.checkpoint.dir"
 
@@ -31,6 +35,22 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Round:
+    """The tables that one unit of work writes; readers see all of them when it is committed, or none."""
+
+    def __init__(self, ledger: Ledger, label: str):
+        self.ledger, self.label, self.tables = ledger, label, {}
+
+    def put(self, name: str, rows: DataFrame, by: str | None = None) -> DataFrame:
+        """Writes rows of a table, and gives them back as they were written."""
+        folder = self.ledger.write(name, rows, by)
+        self.tables.setdefault(name, []).append(folder)
+        return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+    def commit(self) -> None:
+        self.ledger.commit(self.label, self.tables)
+
+
 class Store:
     """The engine's tables below a root folder."""
 
@@ -40,15 +60,24 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, name: str, rows: DataFrame, **partition: str) -> None:
-        """Add one run's rows as a partition; doing a run again replaces its rows."""
-        folders = "/".join(f"{key}={value}" for key, value in partition.items())
-        kept = rows.drop(*partition)
-        kept.write.mode("overwrite").parquet(f"{self.path(name)}/{folders}")
+    @property
+    def ledger(self) -> Ledger:
+        return Ledger(self.spark, self.path("rounds"))
+
+    def round(self, label: str) -> Round:
+        """A unit of work; committing a label again replaces what it wrote before."""
+        return Round(self.ledger, label)
 
     def read(self, name: str) -> DataFrame:
+        """The committed rows of a stored table, or a table that was written whole."""
+        if name in STORED:
+            return self.ledger.read(name, StructType.fromDDL(STORED[name]))
         return self.spark.read.parquet(self.path(name))
 
+    def read_fixed(self, table: str) -> DataFrame:
+        """A table as the last committed round left it."""
+        return self.spark.read.parquet(self.ledger.folders(f"fixed_{table}")[-1])
+
     def materialise(self, name: str, df: DataFrame) -> DataFrame:
         """Write once and read back, so that later steps neither recompute nor depend on the first run."""
         df.write.mode("overwrite").parquet(self.path(name))

@@ -37,6 +37,18 @@ def test_a_failing_contract_does_not_take_the_others_down(spark):
                    (6, None, lost), (7, 0, "PASSING")]
 
 
+def test_a_failing_contract_costs_one_more_pass(spark, monkeypatch):
+    data = literal_rows(spark, "a int, s string", [(1, "(select one)"), (0, "with")])
+    contracts = c.contract_table(spark, [c.contract(i, "t", "x", f"a < {i}") for i in range(40)] + [
+        c.contract(50, "t", "x", "10 / a > 1"), c.contract(51, "t", "x", "CAST(s AS INT) > 1"), c.contract(52, "t", "x", "s = '(select one)'"),
+        c.contract(53, "t", "x", "a IN (SELECT 1)"), c.contract(54, "t", "x", "EXISTS (WITH w AS (SELECT 1) SELECT * FROM w)")])
+    passes, whole = [], c._tally
+    monkeypatch.setattr(c, "_tally", lambda df, rows: passes.append(len(rows)) or whole(df, rows))
+    got = {r.contract_id: r.violations for r in c.evaluate(contracts, {"t": data}).collect()}
+    assert {i for i, n in got.items() if n is None} == {50, 51, 53, 54} and got[52] == 1 and got[1] == 1 and got[2] == 2
+    assert len(passes) == 3
+
+
 def test_many_contracts_are_counted_in_chunks(spark):
     data = literal_rows(spark, "a int", [(1,), (0,)])
     contracts = c.contract_table(spark, [c.contract(i, "t", "x", f"a < {i % 3}") for i in range(c.MAX_COUNTERS + 20)])

@@ -1,15 +1,19 @@
 """The persisted round: results, history, issues, log, snapshots."""
 
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 
 from plumbline import schemas
 from plumbline.operators import history, records
-from plumbline.operators.fixes import apply_fixes, safe_rules
-from plumbline.plans.cycle import approve, before_after, run_cycle
+from plumbline.binding import Binding
+from plumbline.operators.fixes import apply_fixes, safe_rules, undo
+from plumbline.plans.cycle import approve, before_after, remediation_log, run_cycle
+from plumbline.plans.scan import Workspace
 from plumbline.sources import seed
 from plumbline.sources.store import SHARED_FOLDER, Store, shared_folder
+from plumbline.sources.values import literal_rows
 from pyspark.sql.types import StructType
 from tests.conftest import rows
 
@@ -76,6 +80,56 @@ def test_remediation_log(done):
     assert records.newest_remediations(log).count() == 6
 
 
+def test_a_round_that_is_cut_short_leaves_nothing(spark, demo, monkeypatch):
+    store = Store(spark, shared_folder(spark, "cut"))
+    tables = ("scan_results", "scan_issues", "health_score_history", "remediation_log", "fix_images")
+    with monkeypatch.context() as patch:
+        patch.setattr(records, "remediation_rows", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            run_cycle(demo, ["PRODUCTS"], store, "steward", AS_OF)
+    assert [store.read(t).count() for t in tables] == [0] * 5
+    run_cycle(demo, ["PRODUCTS"], store, "steward", AS_OF)
+    assert [store.read(t).count() > 0 for t in tables] == [True] * 5
+    assert store.read_fixed("PRODUCTS").count() == demo.tables["PRODUCTS"].count()
+
+
+def test_images_say_what_each_fix_did(spark, demo, done):
+    store = done[0]
+    images = store.read("fix_images")
+    logged = {(r.table_name, r.issue_type, r.column_name): r.affected_rows for r in store.read("remediation_log").collect()}
+    counted = images.groupBy("table_name", "rule_name", "column_name").count().collect()
+    assert {(r.table_name, r.rule_name, r.column_name): r["count"] for r in counted} == {k: n for k, n in logged.items() if n}
+    blank = images.where("rule_name = 'BLANK_STRING'").first()
+    assert [tuple(c) for c in blank.changes] == [("email", "", None)]
+
+
+def test_one_fix_is_undone_alone(spark, demo, done):
+    store = done[0]
+    fixed, original = store.read_fixed("CUSTOMERS"), demo.tables["CUSTOMERS"]
+    undone = undo(fixed, store.read("fix_images").where("table_name = 'CUSTOMERS'"), ["customer_id"], "WHITESPACE", "city")
+    assert undone.schema.names == original.schema.names
+    once = original.groupBy("customer_id").count().where("count = 1").select("customer_id")
+    assert rows(undone.join(once, "customer_id").select("customer_id", "city")) == rows(original.join(once, "customer_id").select("customer_id", "city"))
+    assert rows(undone.select("customer_id", "first_name")) == rows(fixed.select("customer_id", "first_name"))
+
+
+def test_a_failing_fix_is_logged_beside_good_ones(spark):
+    amounts = literal_rows(spark, "order_id bigint, total_amount decimal(4,2), quantity bigint, unit_price decimal(10,2), note string", [
+        (1, Decimal("1.00"), 1000, Decimal("99999.00"), " padded "), (2, Decimal("2.00"), 1, Decimal("2.00"), "x")])
+    ws = Workspace(spark, {"T": amounts}, {"T": Binding(amounts=(("total_amount", "quantity", "unit_price"),))}, AS_OF)
+    store = Store(spark, shared_folder(spark, "failing"))
+    run_cycle(ws, ["T"], store, "steward", AS_OF)
+    got = {r.issue_type: (r.affected_rows, r.execution_result) for r in store.read("remediation_log").collect()}
+    assert got["WHITESPACE"] == (1, "SUCCESS")
+    assert got["AMOUNT_MISMATCH"][0] == 0 and got["AMOUNT_MISMATCH"][1].startswith("FAILED: ")
+    assert store.read_fixed("T").where("note = 'padded'").count() == 1
+
+
+def test_previews_say_that_nothing_was_run(demo):
+    log = remediation_log(demo, ["PRODUCTS"], "steward").first()
+    assert (log.approval_status, log.execution_result, log.executed_at) == ("PREVIEW", "NOT RUN", None)
+
+
 def test_snapshots_allow_rollback(spark, demo):
     store = Store(spark, shared_folder(spark, "snapshots"))
     first = store.write_snapshot("CUSTOMERS", "v1", demo.tables["CUSTOMERS"])

@@ -11,7 +11,7 @@ from plumbline.operators.violations import orphan_keys
 from plumbline.plans.registry import QUERIES, past_scores
 from plumbline.plans.scan import scan, scan_before_after
 
-RUNS_JOBS = {"fix_rollback"} | {name for name in QUERIES if name.startswith("stream_")}
+RUNS_JOBS = {"fix_rollback", "run_cycle"} | {name for name in QUERIES if name.startswith("stream_")}
 
 
 @pytest.fixture(scope="module")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from plumbline.sources import generators as g  # the fixed lists only
 
 AS_OF = "DATE '2024-06-01'"
@@ -13,8 +15,9 @@ def pick(values, index: str) -> str:
     return f"([{items}])[{index}]"
 
 
-def spread(salt: int, size) -> str:
-    return f"((((id % 2147483648) * 1103515245 + {salt} * 12345) // 64) % {size})"
+def spread(name: str, size) -> str:
+    salt = zlib.crc32(name.encode())
+    return f"((((id % 2147483648) * 1103515245 + CAST({salt} AS BIGINT) * 12345) // 64) % {size})"
 
 
 def days(amount: str) -> str:
@@ -30,35 +33,35 @@ n AS (SELECT id, {pick(g.FIRST_NAMES, '(id - 1) % 20 + 1')} AS fn,
  {pick(g.LAST_NAMES, '((id - 1) // 20) % 15 + 1')} AS ln FROM s)
 SELECT id AS customer_id, fn AS first_name, ln AS last_name,
  lower(fn) || '.' || lower(ln) || id || '@' || {pick(g.DOMAINS, '(id - 1) % 5 + 1')} AS email,
- '+91-7' || lpad(CAST({spread(0, 1000000000)} AS VARCHAR), 9, '0') AS phone,
+ '+91-7' || lpad(CAST({spread("line", 1000000000)} AS VARCHAR), 9, '0') AS phone,
  id || ' ' || {pick(g.STREETS, '(id - 1) % 5 + 1')} AS address,
  {pick(column(g.CITIES, 0), '(id - 1) % 8 + 1')} AS city, {pick(column(g.CITIES, 1), '(id - 1) % 8 + 1')} AS state,
  'India' AS country, '400' || lpad(CAST(id % 300 + 1 AS VARCHAR), 3, '0') AS postal_code,
- CAST({AS_OF} - {days(spread(100, 25000) + ' + 6000')} AS DATE) AS date_of_birth,
- {NOW} - {days(spread(200, 2000))} AS registration_date,
+ CAST({AS_OF} - {days(spread("date_of_birth", 25000) + ' + 6000')} AS DATE) AS date_of_birth,
+ {NOW} - {days(spread("registration_date", 2000))} AS registration_date,
  {pick(g.SEGMENTS, '(id - 1) % 4 + 1')} AS customer_segment,
- 300 + {spread(300, 551)} AS credit_score, CAST(100000 + {spread(42, 4900000)} AS DOUBLE) AS annual_income,
- TRUE AS is_active, {NOW} - {days(spread(400, 30))} AS last_login FROM n"""
+ 300 + {spread("credit_score", 551)} AS credit_score, CAST(100000 + {spread("annual_income", 4900000)} AS DOUBLE) AS annual_income,
+ TRUE AS is_active, {NOW} - {days(spread("last_login", 30))} AS last_login FROM n"""
 
 PRODUCTS = f"""WITH s AS (SELECT CAST(p_partkey + 1 AS BIGINT) AS id FROM part)
 SELECT id AS product_id, 'Product_' || id AS product_name,
  {pick(column(g.CATEGORIES, 0), '(id - 1) % 15 + 1')} AS category,
  {pick(column(g.CATEGORIES, 1), '(id - 1) % 15 + 1')} AS sub_category,
  {pick(g.BRANDS, '(id - 1) % 5 + 1')} AS brand,
- CAST(50 + {spread(100, 9950)} AS DOUBLE) AS unit_price, CAST(25 + {spread(200, 4975)} AS DOUBLE) AS cost_price,
- 10 + {spread(500, 491)} AS stock_quantity, 5 + {spread(600, 46)} AS reorder_level,
- CAST(10 + {spread(300, 2990)} AS DOUBLE) / 100 AS weight_kg, TRUE AS is_active,
- CAST({AS_OF} - {days(spread(700, 900) + ' + 30')} AS DATE) AS created_date, {NOW} AS last_updated FROM s"""
+ CAST(50 + {spread("unit_price", 9950)} AS DOUBLE) AS unit_price, CAST(25 + {spread("cost_price", 4975)} AS DOUBLE) AS cost_price,
+ 10 + {spread("stock_quantity", 491)} AS stock_quantity, 5 + {spread("reorder_level", 46)} AS reorder_level,
+ CAST(10 + {spread("weight_kg", 2990)} AS DOUBLE) / 100 AS weight_kg, TRUE AS is_active,
+ CAST({AS_OF} - {days(spread("created_date", 900) + ' + 30')} AS DATE) AS created_date, {NOW} AS last_updated FROM s"""
 
 CUSTOMER_COUNT = "(SELECT count(*) FROM customer)"
 PART_COUNT = "(SELECT count(*) FROM part)"
 ORDERS = f"""WITH s AS (SELECT CAST(o_orderkey + 1 AS BIGINT) AS id FROM orders),
-n AS (SELECT id, 1 + {spread(0, CUSTOMER_COUNT)} AS customer_id, 1 + {spread(1000, PART_COUNT)} AS product_id,
- {spread(2000, 730)} AS age, {spread(3000, 7)} AS transit, 1 + {spread(4000, 10)} AS quantity,
- 50 + {spread(500, 9950)} AS price FROM s)
+n AS (SELECT id, 1 + {spread("customer_id", CUSTOMER_COUNT)} AS customer_id, 1 + {spread("product_id", PART_COUNT)} AS product_id,
+ {spread("age", 730)} AS age, {spread("transit", 7)} AS transit, 1 + {spread("quantity", 10)} AS quantity,
+ 50 + {spread("unit_price", 9950)} AS price FROM s)
 SELECT id AS order_id, customer_id, product_id, {NOW} - {days('age')} AS order_date,
  {NOW} - {days('age - 3 - transit')} AS delivery_date, quantity, CAST(price AS DOUBLE) AS unit_price,
- CAST(quantity * price AS DOUBLE) AS total_amount, CAST({spread(600, 2500)} AS DOUBLE) / 100 AS discount_pct,
+ CAST(quantity * price AS DOUBLE) AS total_amount, CAST({spread("discount_pct", 2500)} AS DOUBLE) / 100 AS discount_pct,
  {pick(g.PAYMENT_METHODS, '(id - 1) % 5 + 1')} AS payment_method,
  {pick(g.STATUSES, '(id - 1) % 5 + 1')} AS order_status, customer_id || ' Main St' AS shipping_address,
  {pick(column(g.ORDER_CITIES, 0), 'id % 6 + 1')} AS city, {pick(column(g.ORDER_CITIES, 1), 'id % 6 + 1')} AS state,

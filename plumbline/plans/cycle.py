@@ -14,7 +14,7 @@ from plumbline.operators import records
 from plumbline.operators.fixes import apply_fixes, choose, failure, fix_images, safe_rules
 from plumbline.operators.issues import fix_queue
 from plumbline.plans.scan import AFTER, BEFORE, Scan, Workspace, scan, scan_before_after
-from plumbline.sources.store import Round, Store
+from plumbline.sources.store import Round, Store, settle
 from plumbline.sources.values import literal_rows
 
 DATABASE, SCHEMA = "warehouse", "quality"
@@ -47,6 +47,11 @@ def _compared(both: Scan) -> DataFrame:
     )
 
 
+def _counted(both: Scan) -> Scan:
+    """A scan whose counters are written once, for when several results are made from them."""
+    return Scan(both.workspace, both.rules, settle(both.counts, "counters"), both.by)
+
+
 def before_after(ws: Workspace, names: Sequence[str]) -> DataFrame:
     """What the safe fixes would change, without writing anything."""
     return _compared(scan_before_after(ws, names))
@@ -54,7 +59,7 @@ def before_after(ws: Workspace, names: Sequence[str]) -> DataFrame:
 
 def remediation_log(ws: Workspace, names: Sequence[str], approved_by: str) -> DataFrame:
     """The log rows of the safe fixes as a preview: nothing is run, and the rows say so."""
-    both = scan_before_after(ws, names)
+    both = _counted(scan_before_after(ws, names))
     found = both.issues.where(F.col("phase") == BEFORE)
     return records.remediation_rows(safe_issues(found), _compared(both), ws.as_of, approved_by)
 
@@ -64,7 +69,7 @@ def approve(
 ) -> tuple[DataFrame, DataFrame]:
     """One fix, whatever its risk: the fixed table and the log rows."""
     chosen = choose(ws.bound([name]), rule_name, columns)
-    both = scan_before_after(ws, [name], lambda bound: choose(bound, rule_name, columns))
+    both = _counted(scan_before_after(ws, [name], lambda bound: choose(bound, rule_name, columns)))
     approved = both.issues.where(
         (F.col("phase") == BEFORE) & (F.col("rule_name") == rule_name)
         & F.col("column_name").isin([b.column for b in chosen])

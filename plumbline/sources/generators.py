@@ -1,12 +1,16 @@
 """Clean demo tables generated from a relation of ids.
 
-Attributes come from small dimension lists joined on a key computed from the id, and from an
-arithmetic spread of the id; the same ids always give the same rows, on any number of tasks.
+A table is described by its attributes: some walk through a small list that is joined by position, some
+are drawn from a range by spreading the id, and a few are put together from those. The same ids
+always give the same rows, on any number of tasks.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import zlib
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -51,142 +55,126 @@ ORDER_CITIES = (  # by id modulo 6
 SPREAD_FACTOR, SPREAD_STEP, SPREAD_MODULUS = 1103515245, 12345, 2147483648
 
 
-def dimension(spark: SparkSession, values, *columns: str) -> DataFrame:
-    """A literal list with a one-based `idx`."""
-    rows = [(i, *(v if isinstance(v, tuple) else (v,))) for i, v in enumerate(values, start=1)]
-    return literal_rows(spark, "idx bigint, " + ", ".join(f"{c} string" for c in columns), rows)
+@dataclass(frozen=True)
+class Listed:
+    """Columns that take the entries of a list in turn, a new one after every `step` ids from `first` on."""
 
+    columns: tuple[str, ...]
+    values: Sequence
+    step: int = 1
+    first: int = 1
 
-def spread(key: Column, salt: int, size: int) -> Column:
-    """An even-looking number below `size` for a key."""
-    stepped = (key % SPREAD_MODULUS) * SPREAD_FACTOR + salt * SPREAD_STEP
-    return F.call_function("div", stepped, F.lit(64).cast("long")) % size
+    def position(self) -> Column:
+        """One-based position of an id's entry."""
+        turn = F.col("id") - self.first
+        if self.step > 1:
+            turn = F.floor(turn / self.step)
+        return (turn % len(self.values) + 1).cast("long")
+
+    def entries(self, spark: SparkSession, index: str) -> DataFrame:
+        rows = [(i, *(v if isinstance(v, tuple) else (v,))) for i, v in enumerate(self.values, start=1)]
+        return literal_rows(spark, f"{index} bigint, " + ", ".join(f"{c} string" for c in self.columns), rows)
 
 
-def _join_dimensions(ids: DataFrame, *dims: tuple[DataFrame, Column]) -> DataFrame:
-    for i, (dim, index) in enumerate(dims):
-        ids = ids.withColumn(f"k{i}", index).join(
-            F.broadcast(dim.withColumnRenamed("idx", f"k{i}")), f"k{i}").drop(f"k{i}")
-    return ids
+@dataclass(frozen=True)
+class Drawn:
+    """A column with one of `size` values from `low` on: a number, its hundredth, or a time so many days ago."""
 
+    name: str
+    low: int
+    size: int
+    kind: str = "number"
 
-def _cycle(size: int, step: int = 1) -> Column:
-    """One-based position in a list that is walked through every `step` ids."""
-    position = F.col("id") - 1
-    if step > 1:
-        position = F.floor(position / step)
-    return (position % size + 1).cast("long")
+    def value(self, as_of: dt.date | dt.datetime) -> Column:
+        number = spread(F.col("id"), self.name, self.size) + self.low
+        if self.kind == "hundredth":
+            return number.cast("decimal(10,0)") / 100
+        if self.kind == "day":
+            return F.date_sub(moment(as_of).cast("date"), number.cast("int"))
+        if self.kind == "time":
+            return _ago(as_of, number)
+        return number
 
 
-def _as_schema(df: DataFrame, ddl: str) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(ddl).fields])
+def spread(key: Column, name: str, size: int) -> Column:
+    """An even-looking number below `size` for a key; every attribute, by its name, has another."""
+    stepped = (key % SPREAD_MODULUS) * SPREAD_FACTOR + zlib.crc32(name.encode()) * SPREAD_STEP
+    return F.call_function("div", stepped, F.lit(64).cast("long")) % size
 
 
-def _days_before(as_of: dt.date | dt.datetime, days: Column, data_type: str) -> Column:
-    if data_type == "date":
-        return F.date_sub(moment(as_of).cast("date"), days.cast("int"))
+def _ago(as_of: dt.date | dt.datetime, days: Column) -> Column:
     return moment(as_of).cast("timestamp_ntz") - F.make_dt_interval(days.cast("int"))
 
 
+# The attributes of the demo tables; ranges are fixed values.
+CUSTOMER = (
+    Listed(("first_name",), FIRST_NAMES), Listed(("last_name",), LAST_NAMES, step=20), Listed(("domain",), DOMAINS),
+    Listed(("city", "state"), CITIES), Listed(("street",), STREETS), Listed(("customer_segment",), SEGMENTS),
+    Drawn("line", 0, 1_000_000_000), Drawn("date_of_birth", 6000, 25000, "day"), Drawn("registration_date", 0, 2000, "time"),
+    Drawn("credit_score", 300, 551), Drawn("annual_income", 100_000, 4_900_000), Drawn("last_login", 0, 30, "time"),
+)
+PRODUCT = (
+    Listed(("category", "sub_category"), CATEGORIES), Listed(("brand",), BRANDS),
+    Drawn("unit_price", 50, 9950), Drawn("cost_price", 25, 4975), Drawn("stock_quantity", 10, 491), Drawn("reorder_level", 5, 46),
+    Drawn("weight_kg", 10, 2990, "hundredth"), Drawn("created_date", 30, 900, "day"),
+)
+ORDER = (
+    Listed(("payment_method",), PAYMENT_METHODS), Listed(("order_status",), STATUSES),
+    Listed(("city", "state"), ORDER_CITIES, first=0), Drawn("age", 0, 730), Drawn("transit", 3, 7), Drawn("quantity", 1, 10),
+    Drawn("unit_price", 50, 9950), Drawn("discount_pct", 0, 2500, "hundredth"),
+)
+
+
+def _build(ids: DataFrame, attributes: Sequence, as_of, ddl: str, **composed: Column) -> DataFrame:
+    """The attributes of every id, then the columns that are composed of them, in the stored types."""
+    for i, listed in enumerate(a for a in attributes if isinstance(a, Listed)):
+        # A list of a few entries.
+        ids = ids.withColumn(f"k{i}", listed.position()).join(
+            F.broadcast(listed.entries(ids.sparkSession, f"k{i}")), f"k{i}").drop(f"k{i}")
+    drawn = ids.withColumns({a.name: a.value(as_of) for a in attributes if isinstance(a, Drawn)})
+    whole = drawn.withColumns(composed)
+    return whole.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(ddl).fields])
+
+
 def customers(ids: DataFrame, as_of: dt.date | dt.datetime) -> DataFrame:
     """Clean customers for a relation with a bigint column `id`."""
-    spark, k = ids.sparkSession, F.col("id")
-    joined = _join_dimensions(
-        ids,
-        (dimension(spark, FIRST_NAMES, "first_name"), _cycle(20)),
-        (dimension(spark, LAST_NAMES, "last_name"), _cycle(15, step=20)),
-        (dimension(spark, DOMAINS, "domain"), _cycle(5)),
-        (dimension(spark, CITIES, "city", "state"), _cycle(8)),
-        (dimension(spark, STREETS, "street"), _cycle(5)),
-        (dimension(spark, SEGMENTS, "customer_segment"), _cycle(4)),
-    )
-    return _as_schema(joined.withColumns({
-        "customer_id": k,
-        "email": F.concat(F.lower("first_name"), F.lit("."), F.lower("last_name"), k, F.lit("@"), "domain"),
-        "phone": F.concat(F.lit("+91-7"), F.lpad(spread(k, 0, 1_000_000_000).cast("string"), 9, "0")),
-        "address": F.concat_ws(" ", k, "street"),
-        "country": F.lit("India"),
-        "postal_code": F.concat(F.lit("400"), F.lpad((k % 300 + 1).cast("string"), 3, "0")),
-        "date_of_birth": _days_before(as_of, spread(k, 100, 25000) + 6000, "date"),
-        "registration_date": _days_before(as_of, spread(k, 200, 2000), "timestamp"),
-        "credit_score": spread(k, 300, 551) + 300,
-        "annual_income": spread(k, 42, 4_900_000) + 100_000,
-        "is_active": F.lit(True),
-        "last_login": _days_before(as_of, spread(k, 400, 30), "timestamp"),
-    }), CUSTOMERS)
+    k = F.col("id")
+    return _build(
+        ids, CUSTOMER, as_of, CUSTOMERS, customer_id=k, country=F.lit("India"), is_active=F.lit(True),
+        email=F.concat(F.lower(F.concat_ws(".", "first_name", "last_name")), k, F.lit("@"), "domain"),
+        phone=F.concat(F.lit("+91-7"), F.lpad(F.col("line").cast("string"), 9, "0")),
+        address=F.concat_ws(" ", k, "street"), postal_code=(k % 300 + 400_001).cast("string"))
 
 
 def dimension_usage(ids: DataFrame) -> DataFrame:
-    """The customer dimension lists with the number of ids that fall on each entry."""
-    spark = ids.sparkSession
-    lists = (
-        ("first_name", FIRST_NAMES, _cycle(20)), ("last_name", LAST_NAMES, _cycle(15, step=20)),
-        ("domain", DOMAINS, _cycle(5)), ("city", tuple(city for city, _ in CITIES), _cycle(8)),
-        ("state", tuple(state for _, state in CITIES), _cycle(8)), ("street", STREETS, _cycle(5)),
-        ("segment", SEGMENTS, _cycle(4)),
-    )
+    """The entries of the customers' lists with the number of ids that fall on each."""
+    lists = [(name.removeprefix("customer_"), part, listed) for listed in CUSTOMER if isinstance(listed, Listed)
+             for part, name in enumerate(listed.columns)]
     # Every id is read once and folded to one row per entry and list.
     positions = ids.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("dimension"), index.alias("idx")) for name, _, index in lists
+        F.struct(F.lit(name).alias("dimension"), listed.position().alias("idx")) for name, _, listed in lists
     ])))
     used = positions.groupBy("dimension", "idx").agg(F.count(F.lit(1)).alias("members"))
-    entries = literal_rows(spark, "dimension string, idx bigint, value string", [
-        (name, i, value) for name, values, _ in lists for i, value in enumerate(values, start=1)
+    entries = literal_rows(ids.sparkSession, "dimension string, idx bigint, value string", [
+        (name, i, value[part] if isinstance(value, tuple) else value)
+        for name, part, listed in lists for i, value in enumerate(listed.values, start=1)
     ])
     return entries.join(used, ["dimension", "idx"], "left").withColumn(
         "members", F.coalesce("members", F.lit(0).cast("long")))
 
 
 def products(ids: DataFrame, as_of: dt.date | dt.datetime) -> DataFrame:
-    spark, k = ids.sparkSession, F.col("id")
-    joined = _join_dimensions(
-        ids,
-        (dimension(spark, CATEGORIES, "category", "sub_category"), _cycle(15)),
-        (dimension(spark, BRANDS, "brand"), _cycle(5)),
-    )
-    return _as_schema(joined.withColumns({
-        "product_id": k,
-        "product_name": F.concat(F.lit("Product_"), k),
-        "unit_price": spread(k, 100, 9950) + 50,
-        "cost_price": spread(k, 200, 4975) + 25,
-        "stock_quantity": spread(k, 500, 491) + 10,
-        "reorder_level": spread(k, 600, 46) + 5,
-        "weight_kg": (spread(k, 300, 2990) + 10).cast("decimal(10,0)") / 100,
-        "is_active": F.lit(True),
-        "created_date": _days_before(as_of, spread(k, 700, 900) + 30, "date"),
-        "last_updated": moment(as_of),
-    }), PRODUCTS)
+    """Clean products for a relation with a bigint column `id`."""
+    k = F.col("id")
+    return _build(ids, PRODUCT, as_of, PRODUCTS, product_id=k, product_name=F.concat(F.lit("Product_"), k),
+                  is_active=F.lit(True), last_updated=moment(as_of))
 
 
 def orders(ids: DataFrame, as_of: dt.date | dt.datetime, n_customers: int, n_products: int) -> DataFrame:
     """Clean orders that reference customers 1..n_customers and products 1..n_products."""
-    spark, k = ids.sparkSession, F.col("id")
-    joined = _join_dimensions(
-        ids,
-        (dimension(spark, PAYMENT_METHODS, "payment_method"), _cycle(5)),
-        (dimension(spark, STATUSES, "order_status"), _cycle(5)),
-    )
-
-    def by_remainder(part: int) -> Column:
-        choice = F.when(k % 6 == 0, ORDER_CITIES[0][part])
-        for remainder in range(1, 5):
-            choice = choice.when(k % 6 == remainder, ORDER_CITIES[remainder][part])
-        return choice.otherwise(ORDER_CITIES[5][part])
-
-    age, quantity, price = spread(k, 2000, 730), spread(k, 4000, 10) + 1, spread(k, 500, 9950) + 50
-    customer = spread(k, 0, n_customers) + 1
-    return _as_schema(joined.withColumns({
-        "order_id": k,
-        "customer_id": customer,
-        "product_id": spread(k, 1000, n_products) + 1,
-        "order_date": _days_before(as_of, age, "timestamp"),
-        "delivery_date": _days_before(as_of, age - 3 - spread(k, 3000, 7), "timestamp"),
-        "quantity": quantity,
-        "unit_price": price,
-        "total_amount": quantity * price,
-        "discount_pct": spread(k, 600, 2500).cast("decimal(10,0)") / 100,
-        "shipping_address": F.concat(customer, F.lit(" Main St")),
-        "city": by_remainder(0),
-        "state": by_remainder(1),
-        "country": F.lit("India"),
-    }), ORDERS)
+    k = F.col("id")
+    references = (Drawn("customer_id", 1, n_customers), Drawn("product_id", 1, n_products))
+    return _build(
+        ids, (*ORDER, *references), as_of, ORDERS, order_id=k, country=F.lit("India"),
+        order_date=_ago(as_of, F.col("age")), delivery_date=_ago(as_of, F.col("age") - F.col("transit")),
+        total_amount=F.col("quantity") * F.col("unit_price"), shipping_address=F.concat("customer_id", F.lit(" Main St")))

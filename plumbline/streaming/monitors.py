@@ -105,7 +105,7 @@ def run_to_latest(aggregate: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(aggregate.schema).parquet(f"{folder}/table")
 
 
-def landed(df: DataFrame, folder: str, name: str, files: int = 4) -> str:
+def landed(df: DataFrame, folder: str, name: str, files: int = 3) -> str:
     """A table as files that arrive one after another; rows beside each other go to different files."""
     dealt = df.withColumn("file_", F.monotonically_increasing_id() % files)
     dealt.repartitionByRange(files, "file_").drop("file_").write.parquet(f"{folder}/{name}.parquet")
@@ -183,8 +183,8 @@ def _empty(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.createDataFrame([], stream.schema)
 
 
-# Parts of the index of seen keys; a batch reads those that its own keys fall into.
-KEY_PARTS = 256
+# Parts of the index of seen keys, a file each; a batch reads those that its own keys fall into.
+KEY_PARTS = 32
 
 
 def run_first_occurrences(stream: DataFrame, key: Sequence[str], folder: str, parts: int = KEY_PARTS) -> DataFrame:
@@ -209,7 +209,7 @@ def run_first_occurrences(stream: DataFrame, key: Sequence[str], folder: str, pa
         same = reduce(lambda a, b: a & b, [col(c).eqNullSafe(col(f"{c}_seen")) for c in key])
         fresh = ledger.write("rows", arrived.join(seen, same, "left_anti").select(*[col(c) for c in columns]))
         kept = stream.sparkSession.read.schema(stream.schema).parquet(fresh)
-        return {"rows": [fresh], "keys": [ledger.write("keys", kept.select(*[col(c) for c in key], part), by="part")]}
+        return {"rows": [fresh], "keys": [ledger.write("keys", kept.select(*[col(c) for c in key], part).repartition("part"), by="part")]}
 
     def fold(number: int, tables: dict) -> dict[str, list[str]]:
         whole = ledger.read("keys", key_schema, _epoch(number), tuple(tables["keys"]))

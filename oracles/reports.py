@@ -270,6 +270,10 @@ REPORTS = {
         'SELECT severity AS "Severity", column_name AS "Column", rule_category AS "Category", rule_name AS "Rule", '
         'n AS "Rows", pct AS "%", description AS "Description" FROM graded '
         "WHERE n > 0 AND severity IN ('CRITICAL', 'HIGH', 'MEDIUM')"),
+    "issue_list_filtered": on_scan(
+        'SELECT severity AS "Severity", column_name AS "Column", rule_category AS "Category", rule_name AS "Rule", '
+        'n AS "Rows", pct AS "%", description AS "Description" FROM graded '
+        "WHERE n > 0 AND severity IN ('CRITICAL', 'HIGH') AND rule_category IN ('VALIDITY', 'INTEGRITY')"),
     "issue_categories": on_scan("SELECT DISTINCT rule_category FROM graded WHERE n > 0"),
     "issues_by_severity": on_scan(
         "SELECT table_name, severity, count(*) AS issues, list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], severity) "

@@ -8,8 +8,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.binding import Binding, ForeignKey, ParentDate
+from plumbline.operators.scoring import load_weights
 from plumbline.plans.scan import Workspace
 from plumbline.sources import defects
+from plumbline.sources.seed import score_weights
 from plumbline.sources.tables import load
 
 AS_OF = dt.date(2024, 6, 1)
@@ -103,4 +105,6 @@ class Tables(Mapping):
 
 
 def open_workspace(spark: SparkSession, directory: str) -> Workspace:
-    return Workspace(spark, Tables(spark, directory), BINDINGS, AS_OF)
+    # A row for each dimension, read to build the plan.
+    weights = load_weights(score_weights(spark))
+    return Workspace(spark, Tables(spark, directory), BINDINGS, AS_OF, weights)

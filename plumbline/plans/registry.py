@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.binding import col
-from plumbline.config import AS_OF, BASE_TABLES, SCANNED, open_workspace
+from plumbline.config import AS_OF, SCANNED, open_workspace
 from plumbline.functions.numbers import dimension_band, health_band
 from plumbline.functions.predicates import moment
 from plumbline.operators import (
@@ -22,7 +22,7 @@ from plumbline.rules import DIMENSIONS
 from plumbline.sources import generators, seed
 from plumbline.sources.defects import dirty_events
 from plumbline.sources.store import Store, shared_folder
-from plumbline.sources.tables import load, row_counts, sample_rows
+from plumbline.sources.tables import row_counts, sample_rows, stored_tables
 from plumbline.streaming import monitors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,7 +360,7 @@ def _stream_health(ws: Workspace) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     # tables and generated data
-    "table_row_counts": lambda spark, d: row_counts({name: load(spark, d, name) for name in BASE_TABLES}),
+    "table_row_counts": lambda spark, d: row_counts(stored_tables(spark, d)),
     "sample_rows": on_workspace(lambda ws: _plain(sample_rows(ws.tables["orders_dirty"], ["order_id"]))),
     "gen_dim_values": on_workspace(lambda ws: generators.dimension_usage(_ids(ws, "customer", "c_custkey"))),
     "gen_customers": on_workspace(
@@ -415,6 +415,8 @@ QUERIES: dict[str, Query] = {
     "score_band": on_scan(_bands),
     "rows_at_risk_distinct": on_workspace(_at_risk),
     "issue_list": on_scan(lambda done: issue_ops.issue_list(done.issues)),
+    "issue_list_filtered": on_scan(lambda done: issue_ops.issue_list(
+        done.issues, ("CRITICAL", "HIGH"), ("VALIDITY", "INTEGRITY"))),
     "issue_categories": on_scan(lambda done: issue_ops.issue_categories(done.issues)),
     "issues_by_severity": on_scan(lambda done: issue_ops.issues_by_severity(done.issues)),
     "top_critical": on_scan(lambda done: issue_ops.rule_report(issue_ops.top_critical(done.issues))),

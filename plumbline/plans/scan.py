@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections import ChainMap
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,6 +14,7 @@ from plumbline.binding import Binding, BoundRule, ForeignKey, ParentDate, bind,
 from plumbline.operators import issues as issue_ops, keyed, scoring
 from plumbline.operators.fixes import apply_fixes, safe_rules
 from plumbline.operators.rowscan import COUNTER_COLUMNS, CURRENT, count_row_rules
+from plumbline.rules import WEIGHTS
 from plumbline.sources.values import literal_rows
 
 BEFORE, AFTER = "before", "after"
@@ -28,6 +29,7 @@ class Workspace:
     tables: Mapping[str, DataFrame]
     bindings: Mapping[str, Binding] = field(default_factory=dict)
     as_of: dt.date | dt.datetime = field(default_factory=dt.datetime.now)
+    weights: Mapping[str, str] = field(default_factory=lambda: WEIGHTS)  # of the dimensions in the health score
 
     def binding(self, name: str) -> Binding:
         return self.bindings.get(name, Binding())
@@ -40,7 +42,7 @@ class Workspace:
 
     def replacing(self, tables: Mapping[str, DataFrame]) -> Workspace:
         """The same workspace with other versions of some tables."""
-        return Workspace(self.spark, ChainMap(dict(tables), self.tables), self.bindings, self.as_of)
+        return replace(self, tables=ChainMap(dict(tables), self.tables))
 
     def key(self, name: str) -> list[str]:
         return key_columns(self.tables[name].schema, self.binding(name))
@@ -66,7 +68,7 @@ class Scan:
 
     @property
     def scores(self) -> DataFrame:
-        return scoring.score_tables(self.graded, ("table_name", *self.by))
+        return scoring.score_tables(self.graded, ("table_name", *self.by), self.workspace.weights)
 
 
 def _keyed_counts(ws: Workspace, df: DataFrame, index: int, bound: BoundRule, by, phase: str) -> DataFrame:

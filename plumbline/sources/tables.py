@@ -14,6 +14,14 @@ def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def stored_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+    """The Parquet tables of a folder, by name, as its file system lists them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [name.removesuffix(".parquet") for name in (status.getPath().getName() for status in found) if name.endswith(".parquet")]
+    return {name: load(spark, directory, name) for name in sorted(names)}
+
+
 def catalog_tables(spark: SparkSession, database: str) -> dict[str, DataFrame]:
     """The stored tables of a database, by name."""
     listed = spark.catalog.listTables(database)

@@ -8,7 +8,7 @@ from plumbline import rules
 from plumbline.operators import history
 from plumbline.operators.scoring import load_weights
 from plumbline.plans.cycle import before_after
-from plumbline.plans.scan import AFTER, BEFORE, scan, scan_before_after
+from plumbline.plans.scan import AFTER, BEFORE, Workspace, scan, scan_before_after
 from plumbline.sources import seed
 from tests.conftest import rows
 
@@ -88,6 +88,14 @@ def test_safe_fixes_can_lower_the_mean(demo):
     assert round(sum(r.score_after for r in compared) / 3, 2) == 66.87
 
 
+def test_stored_weights_make_the_score(demo):
+    """Another weight table, another health score; versions of the tables keep the weights."""
+    weighted = Workspace(demo.spark, demo.tables, demo.bindings, demo.as_of, {**{d: "0" for d in rules.DIMENSIONS}, "COMPLETENESS": "1.00"})
+    for ws in (weighted, weighted.replacing({})):
+        got = scan(ws, ["PRODUCTS"]).scores.first()
+        assert got.health_score == got.completeness_score == 74.4
+
+
 def test_seeded_history(spark):
     past = seed.seeded_history(spark, AS_OF.date())
     assert past.count() == 18

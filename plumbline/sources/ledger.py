@@ -56,17 +56,17 @@ class Ledger:
             return []
         names = sorted(status.getPath().getName() for status in self._files.listStatus(folder))
         found: list[dict] = []
-        for name in names:
-            key = name.removesuffix(".json")
-            if name.startswith(".") or (before is not None and key >= before):
+        for name in reversed(names):  # only those since the last that stands for all before it are opened
+            if name.startswith(".") or (before is not None and name.removesuffix(".json") >= before):
                 continue
             stream = self._files.open(self._path(f"{self.root}/{COMMITS}/{name}"))
             try:
-                entry = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                found.append(json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
             finally:
                 stream.close()
-            found = [entry] if entry["upto"] else [*found, entry]
-        return found
+            if found[-1]["upto"]:
+                break
+        return found[::-1]
 
     def folders(self, table: str, before: str | None = None) -> list[str]:
         return [folder for entry in self.committed(before) for folder in entry["tables"].get(table, ())]

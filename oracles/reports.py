@@ -64,6 +64,20 @@ def catalog_scan() -> str:
         f"JOIN (VALUES {mapping}) m(r, c, s) ON m.r = g.rule_name WHERE g.n > 0", graded(selects))
 
 
+def active_scan() -> str:
+    """Without two rules that are switched off, and with one that only the catalog knows."""
+    tables = ("customer_dirty", "orders_dirty", "part_dirty")
+    mapping = ", ".join(f"('{a}', '{b}', '{s}')" for a, b, s, _ in CATALOG if a not in ("PHONE_FORMAT", "WHITESPACE"))
+    bulk = "count(*) FILTER (WHERE quantity > 45)"
+    return with_views(
+        "SELECT g.table_name, g.column_name, m.c AS catalog_rule, g.rule_name, m.s AS severity, g.n AS affected_rows, "
+        "g.total AS total_rows, g.pct AS affected_percentage FROM graded g "
+        f"JOIN (VALUES {mapping}) m(r, c, s) ON m.r = g.rule_name WHERE g.n > 0 "
+        "UNION ALL SELECT 'orders_dirty', 'quantity', 'BULK_ORDER', 'BULK_ORDER', 'LOW', "
+        f"{bulk}, count(*), CAST(({bulk} * 20000 + count(*)) // (2 * count(*)) AS DOUBLE) / 100 FROM orders_dirty HAVING {bulk} > 0",
+        graded(selects_of(tables, declared=True)))
+
+
 WIDTHS = "CAST(CASE table_name " + " ".join(
     f"WHEN '{t}' THEN {len(COLUMNS[t])}" for t in SCANNED) + " END AS BIGINT)"
 SCAN_COLUMNS = (
@@ -254,6 +268,7 @@ REPORTS = {
         "SELECT table_name, column_name, rule_category, rule_name, severity, n AS affected_rows, total AS total_rows, "
         "pct AS affected_percentage, description AS issue_description, impact AS business_impact, "
         "action AS recommended_action, fix AS remediation_sql, risk_level, confidence FROM graded WHERE n > 0"),
+    "scan_issues_active": active_scan(),
     "scan_issues_catalog": catalog_scan(),
     "scan_results": on_scores(f"SELECT {ID} AS scan_id, {SCAN_COLUMNS} FROM scored"),
     "history_row": on_scores(

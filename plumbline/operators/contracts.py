@@ -42,7 +42,7 @@ def _violations(predicate: str):
     return F.count_if(F.expr(f"(\n{predicate}\n)"))
 
 
-def _is_valid(df: DataFrame, predicate: str) -> bool:
+def is_valid(df: DataFrame, predicate: str) -> bool:
     """Whether the text is one boolean expression over the columns of a row, as it is going to be
     counted: aggregates, windows and subqueries are refused. Runs nothing."""
     try:
@@ -94,7 +94,7 @@ def evaluate(contracts: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame
     found: dict[int, int | None] = {}
     for name in sorted({r.table_name for r in rows} & set(tables)):
         df = tables[name]
-        valid = [r for r in rows if r.table_name == name and _is_valid(df, r.generated_sql_check)]
+        valid = [r for r in rows if r.table_name == name and is_valid(df, r.generated_sql_check)]
         for start in range(0, len(valid), MAX_COUNTERS):
             found |= _tally(df, valid[start:start + MAX_COUNTERS])
     return literal_rows(contracts.sparkSession, EVALUATED, [

@@ -17,12 +17,14 @@ from plumbline.operators import (
 )
 from plumbline.operators.keyed import duplicate_key_groups
 from plumbline.plans import cycle, report
-from plumbline.plans.scan import Scan, Workspace, scan
+from plumbline.plans.scan import Scan, Workspace, compile_catalog, scan
 from plumbline.rules import DIMENSIONS
+from plumbline.schemas import RULE_PREDICATES
 from plumbline.sources import generators, seed
 from plumbline.sources.defects import dirty_events
 from plumbline.sources.store import Store, shared_folder
 from plumbline.sources.tables import row_counts, sample_rows, stored_tables
+from plumbline.sources.values import literal_rows
 from plumbline.streaming import monitors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +223,23 @@ def _catalog_scan(ws: Workspace) -> DataFrame:
     )
 
 
+# Rules that a user added to the catalog, and what they look for.
+OWN_RULES = (("BULK_ORDER", "VALIDITY", "Orders of more than 45 pieces", "NUMBER", "LOW"),
+             ("RETIRED_RULE", "VALIDITY", "Not looked at any more", "NUMBER", "LOW"))
+OWN_PREDICATES = (("BULK_ORDER", "orders_dirty", "quantity", "quantity > 45"), ("RETIRED_RULE", "orders_dirty", "quantity", "quantity > 1"),
+                  ("BULK_ORDER", "part_dirty", "unit_price", "no_such_column > 1"))
+
+
+def _active_scan(ws: Workspace) -> DataFrame:
+    """The issues of the rules that the stored catalog switches on, its own ones included."""
+    catalog = seed.rule_catalog(ws.spark, dt.datetime(2024, 1, 1), ("PHONE_FORMAT", "WHITESPACE_CHECK", "RETIRED_RULE"), OWN_RULES)
+    predicates = literal_rows(ws.spark, RULE_PREDICATES, OWN_PREDICATES)
+    tables = ("customer_dirty", "orders_dirty", "part_dirty")
+    names, own = compile_catalog(ws, catalog, predicates, tables)
+    return issue_ops.with_catalog(scan(ws, tables, names, own=own).issues, catalog).select(
+        "table_name", "column_name", "catalog_rule", "rule_name", "severity", "affected_rows", "total_rows", "affected_percentage")
+
+
 def _bands(done: Scan) -> DataFrame:
     scores = done.scores
     rows = [F.struct(
@@ -405,6 +424,7 @@ QUERIES: dict[str, Query] = {
     # scans, issues, scores
     "scan_issues": on_scan(lambda done: issue_ops.issue_report(done.issues)),
     "scan_issues_catalog": on_workspace(_catalog_scan),
+    "scan_issues_active": on_workspace(_active_scan),
     "scan_results": on_scan(lambda done: _scan_rows(done.workspace, done.scores, moment(AS_OF))
                             .drop("scan_timestamp")),
     "history_row": on_scan(lambda done: records.scan_history_rows(

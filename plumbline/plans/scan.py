@@ -10,11 +10,12 @@ from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.binding import Binding, BoundRule, ForeignKey, ParentDate, bind, col, key_columns
+from plumbline.binding import Binding, BoundRule, ForeignKey, ParentDate, bind, col, key_columns, type_family
 from plumbline.operators import issues as issue_ops, keyed, scoring
+from plumbline.operators.contracts import is_valid
 from plumbline.operators.fixes import apply_fixes, safe_rules
 from plumbline.operators.rowscan import COUNTER_COLUMNS, CURRENT, count_row_rules
-from plumbline.rules import WEIGHTS
+from plumbline.rules import RULES, WEIGHTS, Rule
 from plumbline.sources.values import literal_rows
 
 BEFORE, AFTER = "before", "after"
@@ -71,6 +72,29 @@ class Scan:
         return scoring.score_tables(self.graded, ("table_name", *self.by), self.workspace.weights)
 
 
+# Report order and grades of rules that only the catalog knows.
+OWN_SEQ, OWN_RISK, OWN_CONFIDENCE = 100, "MEDIUM", 90.0
+
+
+def compile_catalog(ws: Workspace, catalog: DataFrame, predicates: DataFrame, names: Sequence[str]) -> tuple[set[str], list[BoundRule]]:
+    """The stored rules that are to run: names of `rules.RULES`, and rules bound to a predicate of their own
+    (`schemas.RULE_PREDICATES`). Inactive rules are left out here, so that nothing counts them; so are
+    predicates that are no test of a row of their table. Catalog and predicates are configuration and read at once.
+    """
+    active = {row.rule_name: row for row in catalog.where("is_active").collect()}
+    own = []
+    for i, row in enumerate(sorted(predicates.collect(), key=lambda r: (r.rule_name, r.table_name))):
+        if row.rule_name not in active or row.table_name not in names or not is_valid(ws.tables[row.table_name], row.predicate):
+            continue
+        stored, schema = active[row.rule_name], ws.tables[row.table_name].schema
+        rule = Rule(OWN_SEQ + i, stored.rule_name, stored.rule_category, stored.severity_default, OWN_RISK, OWN_CONFIDENCE,
+                    "{n} rows of {t}: " + stored.rule_description, "", "Review {c}", "", stored.rule_name)
+        own.append(BoundRule(
+            rule, row.table_name, schema.names.index(row.column_name), row.column_name, type_family(schema[row.column_name].dataType),
+            lambda get, text=row.predicate: F.expr(f"(\n{text}\n)"), (row.column_name,)))
+    return {rule.name for rule in RULES if rule.catalog in active}, own
+
+
 def _keyed_counts(ws: Workspace, df: DataFrame, index: int, bound: BoundRule, by, phase: str) -> DataFrame:
     name, detail = bound.rule.name, bound.detail
     if name == "DUPLICATE_KEY":
@@ -127,9 +151,11 @@ def scan(
     names: Sequence[str],
     rule_set: str | Iterable[str] = "executed",
     period: Mapping[str, Column] | None = None,
+    own: Sequence[BoundRule] = (),
 ) -> Scan:
-    """Scan tables; with `period` (a date expression per table) every period is scanned by itself."""
-    rules = ws.bound(names, rule_set)
+    """Scan tables; with `period` (a date expression per table) every period is scanned by itself. `own` are
+    bound rules beside those of the rule set."""
+    rules = [*ws.bound(names, rule_set), *own]
     by = ("scan_date",) if period else ()
     branches = []
     for name in sorted(names):

@@ -62,6 +62,8 @@ FIX_IMAGES = (
     "table_name string, key_value string, rule_name string, column_name string, "
     "changes array<struct<column_name: string, old_value: string, new_value: string>>"
 )
+# What a rule of the catalog looks for, where it is no rule of `rules.RULES`: true on an offending row.
+RULE_PREDICATES = "rule_name string, table_name string, column_name string, predicate string"
 # The tables that rounds of scans and fixes write.
 STORED = {
     "scan_results": SCAN_RESULTS, "scan_issues": SCAN_ISSUES, "health_score_history": HEALTH_SCORE_HISTORY,

@@ -8,8 +8,10 @@ from plumbline import rules
 from plumbline.operators import history
 from plumbline.operators.scoring import load_weights
 from plumbline.plans.cycle import before_after
-from plumbline.plans.scan import AFTER, BEFORE, Workspace, scan, scan_before_after
+from plumbline.plans.scan import AFTER, BEFORE, Workspace, compile_catalog, scan, scan_before_after
+from plumbline.schemas import RULE_PREDICATES
 from plumbline.sources import seed
+from plumbline.sources.values import literal_rows
 from tests.conftest import rows
 
 AS_OF = dt.datetime(2026, 1, 1, 12)
@@ -121,6 +123,18 @@ def test_trend_directions(spark):
     assert history.trust_change(flat).first().message == "Stable since last scan."
 
 
+def test_inactive_rules_are_not_counted(demo):
+    catalog = seed.rule_catalog(demo.spark, AS_OF, ("NULL_CHECK", "OWN"), (("OWN", "VALIDITY", "x", "NUMBER", "LOW"), ("KEPT", "VALIDITY", "x", "NUMBER", "LOW")))
+    predicates = literal_rows(demo.spark, RULE_PREDICATES, [
+        ("OWN", "PRODUCTS", "unit_price", "unit_price > 1"), ("KEPT", "PRODUCTS", "unit_price", "unit_price IS NULL OR unit_price > 0"),
+        ("KEPT", "PRODUCTS", "unit_price", "sum(unit_price) > 1"), ("KEPT", "ORDERS", "quantity", "quantity > 1")])
+    names, own = compile_catalog(demo, catalog, predicates, ["PRODUCTS"])
+    assert "NULL_CHECK" not in names and "BLANK_STRING" in names and [b.rule.name for b in own] == ["KEPT"]
+    done = scan(demo, ["PRODUCTS"], names, own=own)
+    assert {b.rule.name for b in done.rules} <= names | {"KEPT"}
+    assert done.issues.where("rule_name = 'KEPT'").first().affected_rows > 0
+
+
 def test_rule_catalog_and_weights(spark):
     assert seed.rule_catalog(spark, AS_OF).count() == 16
     assert load_weights(seed.score_weights(spark)) == rules.WEIGHTS
